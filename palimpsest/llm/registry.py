@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from .mixing import op8_mixing
+from .packing import op2_best_fit_packing
+from .token_counts import op6_token_counts
 from .token_ids import op9_token_ids
+from .url_reputation import op7_url_reputation
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_token_counts": op6_token_counts,
+    "op7_url_reputation": op7_url_reputation,
+    "op8_mixing": op8_mixing,
     "op9_token_ids": op9_token_ids,
 }
 
