@@ -117,33 +117,37 @@ def pack(pieces: DataFrame, max_tokens: int) -> DataFrame:
     )
     while True:
         rows, parts = ranged(state, ["size", "kind", F.xxhash64("id"), "id"], "gaps")
-        rows = rows.join(F.broadcast(parts.select("part", "before")), "part").select("kind", "size", "id", (F.col("before") + F.col("idx")).alias("pos"))
-        classes = rows.groupBy("kind", "size").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b")).collect()
-        items = {r["size"]: (r["a"], r["b"]) for r in classes if r["kind"] == 1}
-        gaps = {r["size"]: (r["a"], r["b"]) for r in classes if r["kind"] == 0}
+        before = {r["part"]: r["before"] for r in parts.collect()}
+        # contiguous runs of a sorted order: two for each size and one more for each partition at most
+        classes = rows.groupBy("kind", "size", "part").agg(F.min("idx").alias("a"), F.max("idx").alias("b")).collect()
+        spans: list[dict[int, tuple[int, int]]] = [{}, {}]
+        for r in classes:
+            a, b = before[r["part"]] + r["a"], before[r["part"]] + r["b"] + 1
+            old = spans[r["kind"]].get(r["size"], (a, b))
+            spans[r["kind"]][r["size"]] = (min(a, old[0]), max(b, old[1]))
+        gaps, items = spans
         if not items:
             break
-        low = band(max(items), max_tokens)
-        matches, openings = sweep(items, gaps, low, max_tokens)
-        plan = [(1, s, a, b, g, ga, k) for s, a, b, g, ga, _, k in matches] + [(2, s, a, b, 0, a, 1) for s, a, b in openings]
-        plan = F.broadcast(spark.createDataFrame(plan, "how int, size long, a long, b long, gap long, gap_at long, k long"))
-        # sizes are unique to a class and [a, b) apart, so a piece meets at most one line of the plan
-        met = rows.where("kind = 1").alias("r").join(plan.alias("p"), (F.col("r.size") == F.col("p.size")) & F.col("r.pos").between(F.col("p.a"), F.col("p.b") - 1), "left")
-        met = met.select("id", "r.size", "how", "gap", (F.col("gap_at") + F.floor((F.col("pos") - F.col("a")) / F.col("k"))).alias("at"), ((F.col("pos") - F.col("a")) % F.col("k") * F.col("r.size")).alias("shift"))
-        open_ = rows.where("kind = 0").select(F.col("id").alias("sequence_id"), F.col("size").alias("free"), F.col("pos").alias("at"))
-        placed.append(met.where("how = 1").join(open_, "at").select("id", "sequence_id", (max_tokens - F.col("free") + F.col("shift")).alias("offset")))
-        placed.append(met.where("how = 2").select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-        took = [(g, ga, gb, s, k, b - a) for s, a, b, g, ga, gb, k in matches]
-        took = F.broadcast(spark.createDataFrame(took, "gap long, ga long, gb long, took long, k long, n long"))
-        shrunk = open_.join(took, (F.col("free") == F.col("gap")) & F.col("at").between(F.col("ga"), F.col("gb") - 1), "left")
-        held = F.least("k", F.col("n") - (F.col("at") - F.col("ga")) * F.col("k"))
-        smallest = min(items)
-        state = (
-            shrunk.select(F.lit(0).alias("kind"), F.coalesce(F.col("free") - held * F.col("took"), "free").alias("size"), F.col("sequence_id").alias("id"))
-            .union(met.where("how = 2").select(F.lit(0).alias("kind"), (max_tokens - F.col("size")).alias("size"), "id"))
-            .where(F.col("size") >= smallest)
-            .union(met.where("how is null").select(F.lit(1).alias("kind"), "size", "id"))
-        )
+        matches, openings = sweep(items, gaps, band(max(items), max_tokens), max_tokens)
+        # kind, size, places [a, b), what happens (1: match, 2: open), place of the first gap, pieces a gap, their size, pieces in all
+        plan = [(1, s, a, b, 1, ga, k, s, 0) for s, a, b, g, ga, gb, k in matches] + [(1, s, a, b, 2, a, 1, s, 0) for s, a, b in openings]
+        plan += [(0, g, ga, gb, 1, ga, k, s, b - a) for s, a, b, g, ga, gb, k in matches]
+        lines = spark.createDataFrame(plan, "kind int, size long, a long, b long, how int, gap_at long, k long, took long, n long").coalesce(1)
+        met = rows.join(F.broadcast(parts.select("part", "before").coalesce(1)), "part").withColumn("pos", F.col("before") + F.col("idx")).alias("r")
+        # lines of one kind and size have places of their own, so a row meets at most one
+        met = met.join(F.broadcast(lines).alias("p"), (F.col("r.kind") == F.col("p.kind")) & (F.col("r.size") == F.col("p.size")) & F.col("pos").between(F.col("a"), F.col("b") - 1), "left")
+        rank = F.col("pos") - F.col("a")
+        met = met.select("r.kind", "r.size", "id", "how", F.when(F.col("r.kind") == 0, F.col("pos")).otherwise(F.col("gap_at") + F.floor(rank / F.col("k"))).alias("at"), (rank % F.col("k") * F.col("r.size")).alias("shift"), (F.least("k", F.col("n") - rank * F.col("k")) * F.col("took")).alias("filled"))
+        met = stored(met, "met")
+        open_ = met.where("kind = 0 and how = 1").select("at", F.col("id").alias("sequence_id"), F.col("size").alias("free"))
+        matched = met.where("kind = 1 and how = 1").join(open_, "at").select("id", "sequence_id", (max_tokens - F.col("free") + F.col("shift")).alias("offset"))
+        opened = met.where("how = 2").select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        placed.append(stored(matched.union(opened), "placed"))
+        state = met.where("kind = 0 or how is null or how = 2").select(
+            F.when((F.col("kind") == 1) & F.col("how").isNull(), 1).otherwise(0).alias("kind"),
+            F.when(F.col("kind") == 0, F.col("size") - F.coalesce("filled", F.lit(0))).when(F.col("how") == 2, max_tokens - F.col("size")).otherwise(F.col("size")).alias("size"),
+            "id",
+        ).where(F.col("size") >= min(items))
     return reduce(DataFrame.union, placed)
 
 
