@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_lookup_sketches
+from .language_id import op3_language_id
 from .mixing import op8_mixing
 from .packing import op2_best_fit_packing
+from .pii import op1_feistel_pseudonyms
+from .quality import op10_robust_quality
 from .token_counts import op6_token_counts
 from .token_ids import op9_token_ids
 from .url_reputation import op7_url_reputation
 
 QUERIES = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
+    "op5_lookup_sketches": op5_lookup_sketches,
     "op6_token_counts": op6_token_counts,
     "op7_url_reputation": op7_url_reputation,
     "op8_mixing": op8_mixing,
     "op9_token_ids": op9_token_ids,
+    "op10_robust_quality": op10_robust_quality,
 }
 
 ORACLES: dict[str, str] = {}
