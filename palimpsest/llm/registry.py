@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op5_lookup_sketches
+from .jaccard import op4_jaccard_join
 from .language_id import op3_language_id
 from .mixing import op8_mixing
 from .packing import op2_best_fit_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_lookup_sketches": op5_lookup_sketches,
     "op6_token_counts": op6_token_counts,
     "op7_url_reputation": op7_url_reputation,
