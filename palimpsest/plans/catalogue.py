@@ -2,6 +2,88 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from pyspark.sql import functions as F
+
+from palimpsest.operators import paragraphs, retrieval, sessions
+
+
+def _read(name):
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_documents, _embeddings, _turns, _events = map(_read, ("documents", "embeddings", "conversations", "events"))
+
+
+def _search(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir)
+    found = retrieval.top_k(rows, rows.where("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _pairs(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return paragraphs.exact_pairs(docs.where("source = 'src1'"), docs.where("source = 'src2'"))
+
+
+QUERIES: dict = {
+    "semantic_search_topk": _search,
+    "paragraph_lines": lambda s, d: paragraphs.paragraph_lines(_documents(s, d)),
+    "repeated_lines": lambda s, d: paragraphs.repeated_lines(_documents(s, d)),
+    "strip_repeated_lines": lambda s, d: paragraphs.strip_repeated_lines(_documents(s, d)),
+    "exact_pairs_multiset": _pairs,
+    "chapter_forward_fill": lambda s, d: paragraphs.chapter_forward_fill(_documents(s, d)),
+    "latest_version_per_family": lambda s, d: paragraphs.latest_versions(_documents(s, d), "source"),
+    "duplicate_uploads": lambda s, d: paragraphs.duplicate_uploads(_documents(s, d)),
+    "session_summary": lambda s, d: sessions.session_summary(_turns(s, d)),
+    "last_n_messages": lambda s, d: sessions.last_messages(_turns(s, d), 3),
+    "progress_monotone": lambda s, d: sessions.progress_monotone(_events(s, d)),
+    "task_state_latest": lambda s, d: sessions.task_state_latest(_events(s, d)),
+    "progress_tumbling": lambda s, d: sessions.progress_tumbling(_events(s, d)),
+}
+
+_LINES = """lines as (
+  select doc_id, cast(i as int) as line_no, parts[i + 1] as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+       lateral (select unnest(range(len(parts))) as i)
+), placed as (
+  select doc_id, line_no, line, line_no // 20 + 1 as page,
+         cast(coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) as start
+  from lines
+)"""
+_REPEATED = _LINES + """, repeated as (
+  select l.doc_id, l.line, count(*) as n, max(p.pages) as pages
+  from placed l join (select doc_id, max(page) as pages from placed group by doc_id) p using (doc_id)
+  where trim(l.line) <> '' and length(l.line) < 100 group by l.doc_id, l.line
+  having count(*) >= greatest(3, floor(max(p.pages) * 0.3))
+)"""
+
+ORACLES: dict[str, str] = {
+    "semantic_search_topk": """with n as (select vec_id, cast(embedding as double[]) as e from embeddings),
+s as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as score
+      from n q, n v where q.vec_id % 100 = 0)
+select query_id, vec_id, cast(rank as int) as rank, round(score, 6) as score
+from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as rank from s) where rank <= 10""",
+    "paragraph_lines": f"with {_LINES} select doc_id, line_no, line, start, page from placed",
+    "repeated_lines": f"with {_REPEATED} select doc_id, line, n from repeated",
+    "strip_repeated_lines": f"""with {_REPEATED}
+select doc_id, cast(row_number() over (partition by doc_id order by line_no) as int) as paragraph_no, line
+from placed p where not exists (select 1 from repeated r where r.doc_id = p.doc_id and r.line = p.line)""",
+    "exact_pairs_multiset": f"""with {_LINES},
+o as (select l.*, row_number() over (partition by l.line order by l.doc_id, l.line_no) as k from lines l join documents d using (doc_id) where d.source = 'src1' and trim(l.line) <> ''),
+n as (select l.*, row_number() over (partition by l.line order by l.doc_id, l.line_no) as k from lines l join documents d using (doc_id) where d.source = 'src2' and trim(l.line) <> '')
+select o.line, o.doc_id as old_doc, o.line_no as old_line, n.doc_id as new_doc, n.line_no as new_line from o join n on o.line = n.line and o.k = n.k""",
+    "chapter_forward_fill": f"""with {_LINES}
+select doc_id, line_no, coalesce(last_value(case when length(line) <= 20 and line like '%.' then line end ignore nulls)
+  over (partition by doc_id order by line_no rows between unbounded preceding and current row), '') as chapter from lines""",
+    "latest_version_per_family": "select source, max(doc_id) as latest, count(*) as versions from documents group by source",
+    "duplicate_uploads": """select min(doc_id) as first_doc, count(*) as copies, left(sha256(coalesce(text, '')), 8) as short_id
+from documents group by sha256(coalesce(text, '')) having count(*) > 1""",
+    "session_summary": """select conv_id, count(*) as n_messages, count(*) filter (where role = 'user') as n_user,
+coalesce(left(arg_min(text, turn) filter (where role = 'user'), 30), '') as title from conversations group by conv_id""",
+    "last_n_messages": """select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 3""",
+    "progress_monotone": """select event_id, user_id, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as progress from events""",
+    "task_state_latest": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type from events group by user_id",
+    "progress_tumbling": "select time_bucket(interval '60 minutes', ts) as window_start, event_type, count(*) as n from events group by all",
+}
+
+FLAGSHIP = "semantic_search_topk"
