@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import hidden, stored, table
 from .pieces import Powers, mix, runs, span_hashes
 
 MIN_ROWS = 200
@@ -212,9 +212,12 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, source) that the rules keep, with all their columns."""
     key = F.xxhash64("text", F.lit(1))
-    stats = stored(text_statistics(docs.withColumn("_key", key), ("doc_id", "lang", "source", "_key")), "statistics")
-    good = robust_verdicts(stats).where("kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_key").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (key == F.col("_key"))
+    stats = stored(text_statistics(docs.select("doc_id", "text", "lang", "source", key.alias("_key")), ("doc_id", "lang", "source", "_key")), "statistics")
+    names = {c: hidden(docs, f"{c}_of_rules") for c in ("doc_id", "lang", "source", "_key")}
+    good = robust_verdicts(stats).where("kept").select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    same = key == F.col(names.pop("_key"))
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
     return docs.join(good, same, "left_semi")
 
 

@@ -36,6 +36,7 @@ STEP = 256
 BLOCK = 1 << 16
 
 _DOCS = "array<struct<doc_id:bigint,n_tokens:bigint>>"
+_FILE = f"shard int, block int, start bigint, docs {_DOCS}, offsets binary, payload binary"
 _DOCS_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))
 
 
@@ -198,12 +199,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None) ->
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("shard", "block", "start", "docs")), pa.array([offsets]), pa.array([payload])], ["shard", "block", "start", "docs", "offsets", "payload"])
 
     blocks = raw.where("ids is not null").select("shard", "block", "start", "docs", "ids", "width")
-    blocks.mapInArrow(run, f"shard int, block int, start bigint, docs {_DOCS}, offsets binary, payload binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks.mapInArrow(run, _FILE).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """The documents of a file set: doc_id, start, n_tokens, and ids (array) or, with digest, ids_crc32."""
-    code = spark.read.parquet(f"{path}/code").collect()
+    code = spark.read.schema("id int, bits int").parquet(f"{path}/code").collect()
     lengths = np.zeros(max((r["id"] for r in code), default=0) + 1, np.int32)
     for r in code:
         lengths[r["id"]] = r["bits"]
@@ -223,7 +224,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     out = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("shard")[i].as_py()] * len(n), pa.int32()), docs.field("doc_id"), pa.array(batch.column("start")[i].as_py() + ends - n, pa.int64()), docs.field("n_tokens"), out], ["shard", "doc_id", "start", "n_tokens", "out"])
 
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_FILE).parquet(f"{path}/blocks")
     rows = blocks.select("shard", "start", "docs", "offsets", "payload").mapInArrow(run, f"shard int, doc_id bigint, start bigint, n_tokens bigint, out {'bigint' if digest else 'array<int>'}")
     sizes = blocks.select("shard", F.aggregate("docs", F.lit(0).cast("long"), lambda a, d: a + d["n_tokens"]).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     # one row a file: bounded by the number of partitions written
