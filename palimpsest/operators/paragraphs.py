@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import match_key
+from palimpsest.operators.ranks import rank_within
+
 #: Lines of a page where a text has no pages of its own.
 PAGE_LINES = 20
 
@@ -37,8 +40,7 @@ def exact_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
 
     def ranked(docs: DataFrame, side: str) -> DataFrame:
         lines = paragraph_lines(docs).where(F.trim("line") != "")
-        k = F.row_number().over(Window.partitionBy("line").orderBy("doc_id", "line_no"))
-        return lines.select("line", k.alias("k"), F.col("doc_id").alias(f"{side}_doc"), F.col("line_no").alias(f"{side}_line"))
+        return rank_within(lines.select("line", "doc_id", "line_no"), "line", ["doc_id", "line_no"]).select("line", "k", F.col("doc_id").alias(f"{side}_doc"), F.col("line_no").alias(f"{side}_line"))
 
     return ranked(old, "old").join(ranked(new, "new"), ["line", "k"]).select("line", "old_doc", "old_line", "new_doc", "new_line")
 
@@ -61,3 +63,59 @@ def duplicate_uploads(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     groups = docs.select("doc_id", digest.alias("sha")).groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     return groups.where("copies > 1").select("first_doc", "copies", F.left("sha", F.lit(8)).alias("short_id"))
+
+
+def unmatched_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """line, kind and n: copies of a paragraph that only the old (removed) or the new side (added) has."""
+
+    def counted(docs: DataFrame, n: str) -> DataFrame:
+        lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where(F.trim("line") != "")
+        return lines.groupBy("line").agg(F.count(F.lit(1)).alias(n))
+
+    both = counted(old, "a").join(counted(new, "b"), "line", "full_outer").select("line", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("d"))
+    return both.where("d <> 0").select("line", F.when(F.col("d") > 0, "added").otherwise("removed").alias("kind"), F.abs("d").alias("n"))
+
+
+def repeated_neighbours(docs: DataFrame, least: int = 20) -> DataFrame:
+    """doc_id, line_no of lines equal to the line before (white space and case aside) of `least` characters or more."""
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    pairs = F.arrays_zip(F.slice("lines", F.lit(1), F.size("lines") - 1).alias("a"), F.slice("lines", F.lit(2), F.size("lines") - 1).alias("b"))
+    rows = lines.select("doc_id", F.posexplode(pairs).alias("i", "p"))
+    same = (F.length(F.trim("p.a")) >= least) & (match_key(F.col("p.a")) == match_key(F.col("p.b")))
+    return rows.where(same).select("doc_id", (F.col("i") + 1).alias("line_no"))
+
+
+def line_context(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """doc_id, line_no, context: each line with the `radius` lines on either side, joined by line feeds."""
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    low = F.greatest(F.col("line_no") - radius, F.lit(0))
+    around = F.slice("lines", low + 1, F.col("line_no") + radius - low + 1)
+    rows = lines.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("line_no"))
+    return rows.select("doc_id", "line_no", F.array_join(around, "\n").alias("context"))
+
+
+def parse_issues(docs: DataFrame, shortest: int = 10, longest: int = 600) -> DataFrame:
+    """doc_id, line_no, kind and risk of lines that look badly parsed.
+
+    short_fragment: under `shortest` characters and no heading; long_paragraph: over
+    twice `longest`; duplicate_paragraph: equal to the line before.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    n = F.length(F.trim("line"))
+    kind = F.when((n < shortest) & ~F.col("line").endswith("."), "short_fragment").when(n > 2 * longest, "long_paragraph")
+    odd = lines.select("doc_id", "line_no", kind.alias("kind"), F.lit("low").alias("risk")).where("kind is not null")
+    again = repeated_neighbours(docs).select("doc_id", "line_no", F.lit("duplicate_paragraph").alias("kind"), F.lit("high").alias("risk"))
+    return odd.unionByName(again)
+
+
+def parse_status(docs: DataFrame) -> DataFrame:
+    """doc_id, n_issues, n_high and status (ok, review or failed) of every document."""
+    found = parse_issues(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_issues"), F.count_if(F.col("risk") == "high").alias("n_high"))
+    out = docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), F.coalesce("n_high", F.lit(0)).alias("n_high"))
+    return out.withColumn("status", F.when(F.col("n_high") > 0, "failed").when(F.col("n_issues") > 0, "review").otherwise("ok"))
+
+
+def ranked_issues(docs: DataFrame, most: int = 20) -> DataFrame:
+    """The `most` issues to look at first: high risk before low, then by document, line and kind."""
+    high = F.when(F.col("risk") == "high", 0).otherwise(1)
+    return parse_issues(docs).orderBy(high, "doc_id", "line_no", "kind").limit(most)

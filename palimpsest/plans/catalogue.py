@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import paragraphs, retrieval, sessions
+from palimpsest.functions.text import citations
+from palimpsest.operators import changes, matching, paragraphs, retrieval, sessions, store, tables
+from palimpsest.sources import html
+from palimpsest.streaming import progress
 
 
 def _read(name):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents, _embeddings, _turns, _events = map(_read, ("documents", "embeddings", "conversations", "events"))
+_documents, _embeddings, _turns, _events, _pages = map(_read, ("documents", "embeddings", "conversations", "events", "pages"))
+_orders, _customers, _parts = map(_read, ("orders", "customer", "part"))
 
 
 def _search(spark, sf_dir):
@@ -25,6 +29,80 @@ def _pairs(spark, sf_dir):
     return paragraphs.exact_pairs(docs.where("source = 'src1'"), docs.where("source = 'src2'"))
 
 
+def _hits(spark, sf_dir, k):
+    rows = _embeddings(spark, sf_dir)
+    return retrieval.top_k(rows, rows.where("vec_id % 100 = 0"), k)
+
+
+def _candidates(spark, sf_dir):
+    found = _hits(spark, sf_dir, 4).where("query_id <> vec_id and score >= 0.3")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _greedy(spark, sf_dir):
+    edges = _hits(spark, sf_dir, 50).where("query_id <> vec_id")
+    return matching.greedy_match(edges.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 6).alias("score")), 0.1)
+
+
+def _active_hits(spark, sf_dir):
+    rows, labels = _embeddings(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    active = rows.join(labels.where("toxic = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
+    found = retrieval.top_k(active, rows.where("vec_id % 100 = 0"), 5)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _conflicts(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "source", "text")
+    pairs = matching.conflict_pairs(_hits(spark, sf_dir, 10).join(docs, "vec_id"), score=0.1, low=0.2)
+    return pairs.withColumn("likeness", F.round("likeness", 6))
+
+
+def _second(docs):
+    """A later version of each document, derived from its lines: some go, some are rewritten, one comes."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 7 == 3, None).when(i % 5 == 2, F.concat(x, F.lit(" 30 GB"))).otherwise(x))
+    kept = F.filter(lines, lambda x: x.isNotNull())
+    return docs.withColumn("text", F.array_join(F.concat(kept, F.array(F.concat(F.lit("Added to "), F.col("doc_id").cast("string")))), "\n"))
+
+
+def _changes(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return changes.line_changes(docs, _second(docs))
+
+
+def _rules(spark, sf_dir):
+    found = _changes(spark, sf_dir).where("kind = 'modified'")
+    category = F.coalesce(changes.rule_category(F.col("old_line"), F.col("new_line")), F.lit("open"))
+    return found.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _buckets(spark, sf_dir):
+    return changes.substantive(_changes(spark, sf_dir)).groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _order_versions(spark, sf_dir):
+    old = _orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = old.where("o_orderkey % 17 <> 0").withColumn("o_orderstatus", F.expr("case when o_orderkey % 10 = 3 then 'X' else o_orderstatus end"))
+    return old.where("o_orderkey % 19 <> 5"), new, "o_orderkey", ["o_orderstatus", "o_orderpriority"]
+
+
+def _headings(spark, sf_dir):
+    lines = paragraphs.paragraph_lines(_documents(spark, sf_dir))
+    found = lines.where((F.length("line") <= 20) & F.endswith("line", F.lit(".")))
+    pages = lines.select("doc_id", "page", F.col("page").alias("table_no")).distinct()
+    return tables.chapters_asof(pages, found.select("doc_id", "page", F.col("line_no").alias("pos"), F.col("line").alias("chapter")))
+
+
+def _promoted(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    oldest = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    return store.promote(store.latest_active(docs, "source"), oldest.where("source <> 'src1'"), "source")
+
+
+def _removed(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return store.remove(_documents(spark, sf_dir).select("doc_id", "source"), labels.where("toxic = 1"))
+
+
 QUERIES: dict = {
     "semantic_search_topk": _search,
     "paragraph_lines": lambda s, d: paragraphs.paragraph_lines(_documents(s, d)),
@@ -39,6 +117,38 @@ QUERIES: dict = {
     "progress_monotone": lambda s, d: sessions.progress_monotone(_events(s, d)),
     "task_state_latest": lambda s, d: sessions.task_state_latest(_events(s, d)),
     "progress_tumbling": lambda s, d: sessions.progress_tumbling(_events(s, d)),
+    "library_candidates": _candidates,
+    "search_active_only": _active_hits,
+    "greedy_match_vectors": _greedy,
+    "conflict_pairs_scored": _conflicts,
+    "added_removed_paragraphs": lambda s, d: paragraphs.unmatched_lines(*(_documents(s, d).where(f"source = '{x}'") for x in ("src1", "src2"))),
+    "duplicate_adjacent_lines": lambda s, d: paragraphs.repeated_neighbours(_documents(s, d)),
+    "neighbor_context": lambda s, d: paragraphs.line_context(_documents(s, d)),
+    "parse_qa_issues": lambda s, d: paragraphs.parse_issues(_documents(s, d)),
+    "parse_qa_status": lambda s, d: paragraphs.parse_status(_documents(s, d)),
+    "llm_candidate_ranking": lambda s, d: paragraphs.ranked_issues(_documents(s, d)),
+    "version_compare": _changes,
+    "change_kind_counts": lambda s, d: changes.change_counts(_changes(s, d)),
+    "summary_quota": lambda s, d: changes.summary_quota(_changes(s, d), {"modified": 20, "added": 5, "removed": 5}).select("doc_id", "kind", "old_no", "new_no", "rank"),
+    "absorbed_passages": lambda s, d: changes.absorbed_out(_changes(s, d)),
+    "prefilter_rules": _rules,
+    "substantive_changes": _buckets,
+    "table_row_diff": lambda s, d: tables.row_diff(*_order_versions(s, d)),
+    "table_cell_diff": lambda s, d: tables.cell_diff(*_order_versions(s, d)),
+    "table_to_rows_text": lambda s, d: tables.rows_text(_customers(s, d), "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"]),
+    "template_table_filter": lambda s, d: tables.template_filter(_documents(s, d), "source", ["lang", "text"]),
+    "row_token_jaccard": lambda s, d: tables.neighbour_likeness(_orders(s, d), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"]).withColumn("likeness", F.round("likeness", 6)),
+    "assign_chapter_asof": _headings,
+    "promote_version": _promoted,
+    "remove_documents": _removed,
+    "doc_ids": lambda s, d: store.document_ids(_documents(s, d), "source"),
+    "store_counters": lambda s, d: store.counters(store.latest_active(_documents(s, d), "source")),
+    "normalize_citations": lambda s, d: _turns(s, d).select("conv_id", "turn", citations(F.concat("text", F.lit("［ "), "turn", F.lit("］"))).alias("text")),
+    "html_title_text": lambda s, d: html.title_text(_pages(s, d)),
+    "html_table_rows": lambda s, d: html.table_rows(_pages(s, d)).withColumn("cells", F.array_join("cells", "|")),
+    "progress_sessions": lambda s, d: progress.sessions(_events(s, d)),
+    "progress_state_changes": lambda s, d: progress.state_changes(_events(s, d)),
+    "progress_stream_windows": lambda s, d: progress.drained(progress.windowed(progress.event_stream(s, d)), "windows"),
 }
 
 _LINES = """lines as (
@@ -86,4 +196,91 @@ coalesce(left(arg_min(text, turn) filter (where role = 'user'), 30), '') as titl
     "progress_tumbling": "select time_bucket(interval '60 minutes', ts) as window_start, event_type, count(*) as n from events group by all",
 }
 
+_SCORES = """n as (select vec_id, cast(embedding as double[]) as e from embeddings),
+s as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) as score
+      from n q, n v where q.vec_id % 100 = 0)"""
+_ODD = _LINES + """, two as (select *, lag(line) over (partition by doc_id order by line_no) as prev from lines),
+key as (select *, lower(regexp_replace(line, '\\s+', '', 'g')) as a, lower(regexp_replace(prev, '\\s+', '', 'g')) as b from two),
+again as (select doc_id, line_no from key where length(trim(prev)) >= 20 and a = b),
+issues as (select doc_id, line_no, case when length(trim(line)) < 10 and line not like '%.' then 'short_fragment' else 'long_paragraph' end as kind, 'low' as risk from lines
+  where (length(trim(line)) < 10 and line not like '%.') or length(trim(line)) > 1200
+  union all select doc_id, line_no, 'duplicate_paragraph', 'high' from again)"""
+_CHANGED = """l2 as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: case when (i - 1) % 7 = 3 then null when (i - 1) % 5 = 2 then x || ' 30 GB' else x end) as parts from documents),
+versions as (select doc_id, 'old' as side, string_split(coalesce(text, ''), chr(10)) as parts from documents
+  union all select doc_id, 'new', list_append(list_filter(parts, lambda x: x is not null), 'Added to ' || doc_id) from l2),
+vlines as (select doc_id, side, cast(i as int) as no, parts[i + 1] as line, lower(regexp_replace(parts[i + 1], '\\s+', '', 'g')) as key
+  from versions, lateral (select unnest(range(len(parts))) as i) where trim(parts[i + 1]) <> ''),
+vk as (select *, row_number() over (partition by doc_id, side, key order by no) as k from vlines),
+mates as (select coalesce(a.doc_id, b.doc_id) as doc_id, a.no as old_no, b.no as new_no, a.line as old_line, b.line as new_line
+  from (select * from vk where side = 'old') a full join (select * from vk where side = 'new') b on a.doc_id = b.doc_id and a.key = b.key and a.k = b.k),
+og as (select *, coalesce(last_value(case when new_no is not null then old_no end ignore nulls) over (partition by doc_id order by old_no), -1) as gap from mates where old_no is not null),
+ng as (select *, coalesce(last_value(case when old_no is not null then old_no end ignore nulls) over (partition by doc_id order by new_no), -1) as gap from mates where new_no is not null),
+oa as (select doc_id, gap, old_no, old_line, row_number() over (partition by doc_id, gap order by old_no) as i from og where new_no is null),
+na as (select doc_id, gap, new_no, new_line, row_number() over (partition by doc_id, gap order by new_no) as i from ng where old_no is null),
+met as (select coalesce(o.doc_id, n.doc_id) as doc_id, old_no, new_no, old_line, new_line,
+  list_distinct(list_transform(range(1, length(old_line)), lambda j: substring(old_line, j, 2))) as ga, list_distinct(list_transform(range(1, length(new_line)), lambda j: substring(new_line, j, 2))) as gb
+  from oa o full join na n on o.doc_id = n.doc_id and o.gap = n.gap and o.i = n.i),
+judged as (select *, old_no is not null and new_no is not null and len(ga) > 0 and len(gb) > 0 and len(list_intersect(ga, gb)) / greatest(len(list_distinct(list_concat(ga, gb))), 1) >= 0.45 as alike from met),
+changes as (select doc_id, 'modified' as kind, old_no, new_no, old_line, new_line from judged where alike
+  union all select doc_id, 'removed', old_no, -1, old_line, null from judged where not alike and old_no is not null
+  union all select doc_id, 'added', -1, new_no, null, new_line from judged where not alike and new_no is not null)"""
+_ORDERS = """o as (select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 19 <> 5),
+n as (select o_orderkey, case when o_orderkey % 10 = 3 then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority from orders where o_orderkey % 17 <> 0)"""
+_LATEST = "l as (select d.*, case when doc_id = max(doc_id) over (partition by source) then 'active' else 'inactive' end as status from documents d)"
+
+ORACLES |= {
+    "library_candidates": f"""with {_SCORES}
+select query_id, vec_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from s) where r <= 4 and query_id <> vec_id and score >= 0.3""",
+    "search_active_only": f"""with {_SCORES}, a as (select * from s where vec_id not in (select doc_id from labels where toxic = 1 and doc_id is not null))
+select query_id, vec_id, cast(r as int) as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from a) where r <= 5""",
+    "conflict_pairs_scored": f"""with {_SCORES}, h as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from s),
+t as (select query_id, vec_id, r, source, trim(text) as t, list_distinct(list_transform(range(1, length(trim(text))), lambda j: substring(trim(text), j, 2))) as g from h join documents d on d.doc_id = h.vec_id where r <= 10 and score > 0.1),
+p as (select a.query_id, a.vec_id as id_a, b.vec_id as id_b, len(list_intersect(a.g, b.g)) / greatest(len(list_distinct(list_concat(a.g, b.g))), 1) as likeness
+from t a join t b on a.query_id = b.query_id and a.r < b.r and a.source is distinct from b.source and a.t <> b.t)
+select query_id, id_a, id_b, round(likeness, 6) as likeness from p where likeness > 0.2 and likeness < 0.95""",
+    "added_removed_paragraphs": f"""with {_LINES}, c as (select line, count(*) filter (where d.source = 'src2') - count(*) filter (where d.source = 'src1') as d
+from lines l join documents d using (doc_id) where trim(line) <> '' and d.source in ('src1', 'src2') group by line)
+select line, case when d > 0 then 'added' else 'removed' end as kind, abs(d) as n from c where d <> 0""",
+    "duplicate_adjacent_lines": f"with {_ODD} select doc_id, line_no from again",
+    "neighbor_context": f"with {_LINES} select doc_id, line_no, string_agg(line, chr(10)) over (partition by doc_id order by line_no rows between 2 preceding and 2 following) as context from lines",
+    "parse_qa_issues": f"with {_ODD} select doc_id, line_no, kind, risk from issues",
+    "parse_qa_status": f"""with {_ODD}, c as (select doc_id, count(*) as n_issues, count(*) filter (where risk = 'high') as n_high from issues group by doc_id)
+select doc_id, coalesce(n_issues, 0) as n_issues, coalesce(n_high, 0) as n_high, case when n_high > 0 then 'failed' when n_issues > 0 then 'review' else 'ok' end as status from documents left join c using (doc_id)""",
+    "llm_candidate_ranking": f"with {_ODD} select doc_id, line_no, kind, risk from issues order by case when risk = 'high' then 0 else 1 end, doc_id, line_no, kind limit 20",
+    "version_compare": f"with {_CHANGED} select * from changes",
+    "change_kind_counts": f"with {_CHANGED} select kind, count(*) as n from changes group by kind",
+    "summary_quota": f"""with {_CHANGED} select doc_id, kind, old_no, new_no, cast(r as int) as rank from (select *, row_number() over (partition by kind order by doc_id, case when kind = 'added' then new_no else old_no end) as r from changes)
+where r <= case kind when 'modified' then 20 else 5 end""",
+    "absorbed_passages": f"""with {_CHANGED} select c.* from changes c where not (kind = 'removed' and length(old_line) >= 15 and exists (
+select 1 from changes m where m.kind = 'modified' and m.doc_id = c.doc_id and (contains(m.old_line, c.old_line) or contains(m.new_line, c.old_line))))""",
+    "table_row_diff": f"""with {_ORDERS}, d as (select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey,
+case when o.o_orderkey is null then 'added' when n.o_orderkey is null then 'removed' when o.o_orderstatus <> n.o_orderstatus then 'modified' end as kind from o full join n on o.o_orderkey = n.o_orderkey)
+select o_orderkey, kind, case when kind = 'modified' then 1 else 0 end as n_cells from d where kind is not null""",
+    "table_cell_diff": f"""with {_ORDERS} select o.o_orderkey, 'o_orderstatus' as "column", o.o_orderstatus as old_value, n.o_orderstatus as new_value from o join n on o.o_orderkey = n.o_orderkey where o.o_orderstatus <> n.o_orderstatus""",
+    "table_to_rows_text": "select c_custkey, concat_ws('；', 'c_name=' || c_name, 'c_nationkey=' || c_nationkey, 'c_mktsegment=' || c_mktsegment) as text from customer",
+    "template_table_filter": """with c as (select source, count(*) * 2 as n_cells, sum(cast(trim(coalesce(lang, '')) in ('', '-', '—', '/', 'N/A') as int) + cast(trim(coalesce(text, '')) in ('', '-', '—', '/', 'N/A') as int)) as n_empty from documents group by source)
+select source, n_cells, cast(n_empty as bigint) as n_empty from c where n_empty < 0.6 * n_cells""",
+    "row_token_jaccard": """with r as (select o_custkey, o_orderkey, list_distinct([o_orderstatus, o_orderpriority]) as c from orders),
+w as (select o_orderkey, c, lag(c) over (partition by o_custkey order by o_orderkey) as p from r)
+select o_orderkey, round(len(list_intersect(c, p)) / len(list_distinct(list_concat(c, p))), 6) as likeness from w where p is not null""",
+    "assign_chapter_asof": f"""with {_LINES}, h as (select doc_id, page, arg_max(line, line_no) as line from placed where length(line) <= 20 and line like '%.' group by doc_id, page),
+p as (select distinct doc_id, page from placed)
+select p.doc_id, cast(p.page as bigint) as table_no, cast(p.page as bigint) as page, coalesce(last_value(h.line ignore nulls) over (partition by p.doc_id order by p.page), '') as chapter from p left join h on p.doc_id = h.doc_id and p.page = h.page""",
+    "promote_version": f"""with {_LATEST}, m as (select source, min(doc_id) as first from documents where source is not null and source <> 'src1' group by source)
+select doc_id, source, case when m.first is null then status when doc_id = m.first then 'active' else 'inactive' end as status from l left join m using (source)""",
+    "remove_documents": "select doc_id, source from documents where doc_id is null or doc_id not in (select doc_id from labels where toxic = 1 and doc_id is not null)",
+    "doc_ids": "select doc_id, coalesce(source, '') || '#' || left(sha256(coalesce(text, '')), 8) as stored_id from documents",
+    "store_counters": f"""with {_LATEST}, x as (select status, length(coalesce(text, '')) as c, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) as p from l)
+select count(*) as n_documents, count(*) filter (where status = 'active') as n_active, cast(coalesce(sum(c), 0) as bigint) as n_chars, cast(coalesce(sum(p), 0) as bigint) as n_paragraphs from x""",
+    "normalize_citations": "select conv_id, turn, coalesce(text || '[' || turn || ']', '') as text from conversations",
+    "html_title_text": """with b as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t-\\r]+', ' ', 'g')) as title,
+regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<title\\b.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from pages)
+select page_id, title, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t-\\r]+', ' ', 'g')) as text from b""",
+    "progress_sessions": """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events),
+h as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from h group by user_id, k""",
+    "progress_state_changes": """select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as p, row_number() over (partition by user_id order by ts, event_id) as r from events)
+where event_type is distinct from p""",
+}
+
 FLAGSHIP = "semantic_search_topk"
