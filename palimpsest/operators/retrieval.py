@@ -7,21 +7,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.durable import written
+
 #: Library rows that one block of queries is compared with at a time.
 BLOCK = 4096
-#: Queries of one call; a query block is sent to every task, so its size is checked.
-MOST_QUERIES = 20_000
+#: Queries of one pass over the library; a block of them is sent to every task, so its size is fixed.
+QUERY_BLOCK = 20_000
 
 
 def top_k(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, rank (from 1) and score of the k nearest library rows of each query.
 
-    A task keeps k rows for each query and block; the final ranking sees those alone.
-    Ties go to the smaller vec_id; vectors of length 0 have score 0.
+    Queries go in blocks of QUERY_BLOCK, each one pass over the library; with more than
+    one block the hits of each are stored.  A task keeps k rows for each query and batch;
+    the final ranking sees those alone.  Ties go to the smaller vec_id; vectors of length
+    0 have score 0.
     """
-    rows = queries.select("vec_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries a call")
+    found, block = None, []
+    for r in queries.select("vec_id", "embedding").toLocalIterator():
+        if len(block) == QUERY_BLOCK:
+            hits = written(_nearest(library, block, k), "hits")
+            found, block = (hits if found is None else found.unionByName(hits)), []
+        block.append(r)
+    last = _nearest(library, block, k)
+    return last if found is None else found.unionByName(last)
+
+
+def _nearest(library: DataFrame, rows: list, k: int) -> DataFrame:
+    """top_k of one block of query rows."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     names = [r["vec_id"] for r in rows]
     asked = unit(np.array([r["embedding"] for r in rows], np.float64)) if rows else np.zeros((0, 1))

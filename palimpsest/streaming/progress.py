@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """New files of a table in folder as a stream; the schema is that of the files there now."""
+    """New files of a table in folder as a stream, times with the session's zone; the schema is that of the files there now."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
