@@ -170,7 +170,8 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     est = stored(start.select("g", F.array(*(F.col(f"q{i}")[1] for i in range(_P))).alias("m"), inv.alias("inv")), "mcd")
     for _ in range(steps):
         far = rows.join(est, "g").select("g", "x", _distance().alias("d"))
-        near = far.groupBy("g").agg(F.percentile_approx("d", KEPT, 1000).alias("most"))
+        # stored, so that its true size decides the join, and a large group isn't dealt by its name
+        near = stored(far.groupBy("g").agg(F.percentile_approx("d", KEPT, 1000).alias("most")), "nearest")
         kept = far.join(near, "g").where("d <= most")
         sums = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(c) for c in x)).alias("s"), F.array(*(F.sum(a * b) for a in x for b in x)).alias("c"))
         est = stored(_estimates(sums), "mcd")
