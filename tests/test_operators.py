@@ -59,6 +59,22 @@ def test_rules(spark):
         assert r.got == r.want, r
 
 
+def test_change_buckets(spark):
+    cases = [
+        ("modified", "限30分钟", "限15分钟", "keep"),
+        ("modified", "a b", "ab", "noise"),
+        ("modified", "one two three", "one two", "noise"),
+        ("modified", "old R3-21", "old R4-22", "noise"),
+        ("modified", "red", "blue", "open"),
+        ("added", None, "修订记录表 1", "noise"),
+        ("added", None, "R3-21", "noise"),
+        ("removed", "text", None, "keep"),
+    ]
+    rows = spark.createDataFrame(cases, "kind string, old_line string, new_line string, want string")
+    for r in changes.substantive(rows).collect():
+        assert r.bucket == r.want, r
+
+
 def test_text_functions(spark):
     rows = spark.createDataFrame([("限 30分钟，75 % 版次：R3",), ("a",), (None,)], "t string")
     got = rows.select(text.quantities(F.col("t")).alias("q"), F.size(text.bigrams(F.col("t"))).alias("n"), text.citations(F.lit("见［ 3 ］")).alias("c")).collect()
