@@ -1,34 +1,19 @@
-"""Version compare: changes between two versions of the same documents, and their rules."""
+"""Version compare: changes between two versions of the same documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import (
     TRACKING_HINTS,
-    any_of,
     bigrams,
-    heading_core,
     jaccard,
     match_key,
     quantities,
     strip_revision_noise,
 )
 
-# Fixed values that the results depend on.
-COVER_PAGE = ("受控状态", "版次", "手册编号", "文件编号", "发布日期", "下载时间", "打印", "有效", "修订日期", "修订次数", "批准人")
-VALID_PAGE = ("有效页", "状态符号", "修订次数", "页号", "页码")
-REVISION_TABLE = ("修订版次", "修订日期", "修订原因", "修订人", "修订记录")
-NORMATIVE = ("应", "必须", "负责", "适用于", "禁止", "不得", "审批", "申请", "权限")
-OBJECTS = {
-    "email": ("企业邮箱", "电子邮箱", "电子邮件", "邮箱", "邮件"),
-    "storage": ("移动存储设备", "移动存储", "U盘", "USB"),
-    "office_computer": ("办公电脑", "办公计算机"),
-    "vpn": ("VPN",),
-    "video_conference": ("视频会议系统", "视频会议"),
-    "network": ("办公网络", "有线网络", "互联网", "IP地址"),
-}
 #: Least likeness of a removed and an added line in the same gap that makes them one rewritten line.
 REWRITTEN = 0.45
 
@@ -89,35 +74,6 @@ def absorbed_out(changes: DataFrame, least: int = 15) -> DataFrame:
     return changes.join(gone, ["doc_id", "old_no", "kind"], "left_anti").select(*changes.columns)
 
 
-def _heading(text: Column) -> Column:
-    core = heading_core(text)
-    return text.rlike(r"^\s*(?:第\s*)?\d") & (F.length(core) > 0) & (F.length(core) <= 40) & (any_of(core, NORMATIVE) == 0)
-
-
-def _object(text: Column) -> Column:
-    return F.coalesce(*[F.when(any_of(text, words) > 0, name) for name, words in OBJECTS.items()], F.lit(""))
-
-
-def _safe(text: Column) -> Column:
-    bare = F.regexp_replace(text, r"\s+", "")
-    return F.replace(F.replace(bare, F.lit("所有员工"), F.lit("全体员工")), F.lit("本规定适用于"), F.lit("适用于"))
-
-
-def rule_category(a: Column, b: Column) -> Column:
-    """The category of the first rule that decides a pair of texts; null: undecided."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    both = F.concat(a, F.lit("\n"), b)
-    oa, ob = _object(a), _object(b)
-    return (
-        F.when(_heading(a) & _heading(b) & (heading_core(a) == heading_core(b)), "structural")
-        .when((a != b) & (_safe(a) == _safe(b)), "wording")
-        .when((oa != "") & (ob != "") & (oa != ob), "scope")
-        .when((any_of(both, COVER_PAGE) >= 3) & (F.length(a) < 600) & (F.length(b) < 600), "metadata")
-        .when(any_of(both, VALID_PAGE) >= 2, "structural")
-        .when(any_of(both, REVISION_TABLE) >= 2, "metadata")
-    )
-
-
 def substantive(changes: DataFrame) -> DataFrame:
     """changes with bucket: noise (tracking rows, revision stamps, white space, cut tails), keep (quantities differ) or open."""
     old, new = F.coalesce("old_line", F.lit("")), F.coalesce("new_line", F.lit(""))

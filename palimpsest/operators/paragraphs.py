@@ -30,7 +30,11 @@ def repeated_lines(docs: DataFrame, least: int = 3, share: float = 0.3, longest:
 
 def strip_repeated_lines(docs: DataFrame) -> DataFrame:
     """The lines that are left without `repeated_lines`, numbered anew from 1."""
-    lines = paragraph_lines(docs).join(repeated_lines(docs).select("doc_id", "line"), ["doc_id", "line"], "left_anti")
+    return renumbered(paragraph_lines(docs).join(repeated_lines(docs).select("doc_id", "line"), ["doc_id", "line"], "left_anti"))
+
+
+def renumbered(lines: DataFrame) -> DataFrame:
+    """doc_id, paragraph_no (from 1 in each document) and line of the lines that a filter left."""
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     return lines.select("doc_id", number.alias("paragraph_no"), "line")
 

@@ -1,4 +1,4 @@
-"""Registered queries by name, and their SQL."""
+"""Registered queries on paragraphs, searches, changes, tables, stores, pages and streams, and their SQL."""
 
 from __future__ import annotations
 
@@ -69,12 +69,6 @@ def _changes(spark, sf_dir):
     return changes.line_changes(docs, _second(docs))
 
 
-def _rules(spark, sf_dir):
-    found = _changes(spark, sf_dir).where("kind = 'modified'")
-    category = F.coalesce(changes.rule_category(F.col("old_line"), F.col("new_line")), F.lit("open"))
-    return found.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _buckets(spark, sf_dir):
     return changes.substantive(_changes(spark, sf_dir)).groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,7 +125,6 @@ QUERIES: dict = {
     "change_kind_counts": lambda s, d: changes.change_counts(_changes(s, d)),
     "summary_quota": lambda s, d: changes.summary_quota(_changes(s, d), {"modified": 20, "added": 5, "removed": 5}).select("doc_id", "kind", "old_no", "new_no", "rank"),
     "absorbed_passages": lambda s, d: changes.absorbed_out(_changes(s, d)),
-    "prefilter_rules": _rules,
     "substantive_changes": _buckets,
     "table_row_diff": lambda s, d: tables.row_diff(*_order_versions(s, d)),
     "table_cell_diff": lambda s, d: tables.cell_diff(*_order_versions(s, d)),
@@ -282,5 +275,3 @@ select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as ses
     "progress_state_changes": """select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as p, row_number() over (partition by user_id order by ts, event_id) as r from events)
 where event_type is distinct from p""",
 }
-
-FLAGSHIP = "semantic_search_topk"

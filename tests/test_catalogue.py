@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from palimpsest.plans import catalogue
+from palimpsest.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,13 +17,13 @@ def rows(frame):
     return sorted(tuple(str(clean(v)) for v in r) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_as_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    want = db.execute(catalogue.ORACLES[name]).fetchdf()
-    got = catalogue.QUERIES[name](spark, DATA).toPandas()
+    want = db.execute(registry.ORACLES[name]).fetchdf()
+    got = registry.QUERIES[name](spark, DATA).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
