@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import is_noise, quantities
-from palimpsest.operators import answers, changes, fragments, overlap, paragraphs, retrieval, rules, segments, store
+from palimpsest.operators import answers, fragments, overlap, paragraphs, rules, segments, store
 from palimpsest.plans import catalogue as base
 
 
