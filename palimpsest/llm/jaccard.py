@@ -14,6 +14,11 @@ is connected in this way is a cloud, and every link lies within one.  Clouds are
 by size, cut into blocks, and blocks whose sizes may match are compared exactly, with
 one matrix product each; a block pair returns a spanning forest of its links, not the
 links.  Nothing is capped: a large cloud has more blocks, not larger ones.
+
+Where segments would get too small (lower thresholds), sets are indexed by prefixes
+instead: of two sets at the threshold, the first len - ceil(threshold * len) + 1 n-grams
+of each, in one order of all n-grams, share one.  The order has n-grams that are common
+in a sample last, so that unrelated sets rarely meet; any order finds every pair.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .pieces import _CLASS, _WS, Powers, mix, runs, span_hashes
 
 #: Classes of a block.
 BLOCK = 128
+#: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
+SAMPLE, COMMON = 20_000, 1 << 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = (_CLASS == _WS)
@@ -132,8 +139,38 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """row, doc_id, n_shingles, k1, k2 (digest of the set) and sigs of every row of docs."""
+def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and places by count, of n-grams that several documents of a sample have (docs: row, text)."""
+    rows = max(1, docs.count())
+    some = docs.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE << 30) // rows))
+
+    def run(parts):
+        powers = Powers()
+        for batch in parts:
+            for s in shingle_sets(batch.column(0), n, powers):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64())], ["gram"])
+
+    counts = some.select("text").mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = counts.orderBy(F.desc("n"), "gram").limit(COMMON).collect()
+    grams = np.array([r["gram"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], len(grams) - order
+
+
+def prefixes(items: np.ndarray, bands: Bands, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Index entries (uint64) of one set: its prefix in each of its groups."""
+    grams, places = common
+    kept = len(items) + (-bands.num * len(items) // bands.den) + 1
+    late = np.zeros(len(items), np.int64)
+    if len(grams):
+        at = np.minimum(np.searchsorted(grams, items), len(grams) - 1)
+        late = np.where(grams[at] == items, places[at], 0)
+    first = items[np.lexsort((items, late))[:kept]]
+    return np.concatenate([mix(first + mix(np.array([g + 1], np.uint64))[0]) for g in bands.groups(len(items))])
+
+
+def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, k1, k2 (digest of the set) and sigs of every row of docs; sigs are prefixes if common is given."""
 
     def run(parts):
         powers, bands = Powers(), Bands(num, den)
@@ -145,7 +182,7 @@ def indexed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     sizes.append(len(s))
                     k1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
                     k2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
-                    sigs.append(signatures(s, bands) if len(s) else s)
+                    sigs.append(s if not len(s) else signatures(s, bands) if common is None else prefixes(s, bands, common))
                 ends = np.r_[0, np.cumsum([len(x) for x in sigs])]
                 flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["row", "doc_id", "n_shingles", "k1", "k2", "sigs"])
@@ -199,14 +236,15 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int,
     return left[i], right[j]
 
 
-def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, by_prefix: bool = False) -> DataFrame:
     """row, doc_id, n_shingles and component of every row of docs (row long unique, doc_id, text).
 
     component is the least row that a row is linked with, over any number of links; rows
     without words are linked with nothing.  Null texts have no words; a null doc_id is
-    carried along; repeated rows are equal sets and so one component.
+    carried along; repeated rows are equal sets and so one component.  by_prefix indexes
+    prefixes in place of segments; the pairs are the same.
     """
-    sets = stored(indexed(docs, n, num, den), "sets")
+    sets = stored(indexed(docs, n, num, den, common_grams(docs, n) if by_prefix else None), "sets")
     some = sets.where("n_shingles > 0")
     classes = stored(some.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("c")), "classes")
     reps = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
@@ -266,11 +304,11 @@ def _numbered(docs: DataFrame, name: str = "row") -> DataFrame:
     return stored(docs.withColumn(name, F.monotonically_increasing_id()), "documents")
 
 
-def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, by_prefix: bool = False) -> DataFrame:
     """Of each component the row with the least doc_id, with all columns of docs; rows without words stay."""
     row = hidden(docs, "row_of_join")
     kept = _numbered(docs, row)
-    groups = similar_groups(kept.select(F.col(row).alias("row"), "doc_id", "text"), n, num, den)
+    groups = similar_groups(kept.select(F.col(row).alias("row"), "doc_id", "text"), n, num, den, by_prefix)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
     return kept.join(first, row, "left_semi").select(*docs.columns)
 

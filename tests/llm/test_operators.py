@@ -197,3 +197,31 @@ def test_urls(spark):
     assert got[5].verdict == "block" and got[5].rule is None
     assert (got[2].host, got[2].path, got[3].host, got[7].host, got[7].path) == ("", "", "", "h", "")
     assert url_reputation.judge_urls(pages.limit(0), outcomes, url_reputation.RULES).count() == 0
+
+
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(40):
+        base = rng.choices(words, k=rng.choice([3, 8, 30, 100, 250]))
+        texts.append(base)
+        texts.append(base + rng.choices(words, k=len(base) // 5))
+        for part in (0.01, 0.03, 0.06):
+            texts.append([rng.choice(words) if rng.random() < part else w for w in base])
+    base = rng.choices(words, k=100)
+    texts += [base, base + rng.choices(words, k=20)]  # 96 of 116 five-word shingles, 98 of 118 of three words
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} or {tuple(t)} for t in texts]
+    up = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            inter = len(a & sets[j])
+            if 100 * inter >= 80 * (len(a) + len(sets[j]) - inter):
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == set(up) and len(texts) - 1 not in got
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
