@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs by its own content (at line ends, and at sentence ends
-before some initials, so long lines are cut too and edits move no other cut).  The set
+A text is cut into paragraphs by its own content: at line ends and at sentence ends of any
+script; a longer stretch without either is cut after words (characters, in scripts without
+spaces) that their hashes pick, and where none is picked at a fixed length.  Edits move no
+cut of another stretch.  The set
 of their 64-bit digests goes into three tables of cells; a cell holds how many digests
 fell into it, their exclusive or, and the exclusive or of their check values.  The
 sketches of two versions subtract cell by cell, so what both share is gone; cells that
@@ -26,12 +28,21 @@ SECOND, THIRD, FOURTH = 24, 32, 64
 #: Digests of both texts that a block holds on average.
 BLOCK = 24
 _ROUNDS = 16
-_CUTS = r"[\r\n]+|(?<=[.!?])[ \t]+(?=[A-I])"
+#: Line ends, and sentence ends: full stops of scripts that set no space after them cut by themselves.
+_CUTS = r"[\r\n]+|(?<=[.!?\u2026\u061f\u06d4\u0589\u1362][\"')\]\u2019\u201d\u00bb]{0,2})[ \t\u00a0]+|(?<=[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u17d4\u104b\u0f0d])"
+#: After a space, or a character of a script without spaces.
+_UNITS = r"(?<=\s)|(?<=[\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff])"
+#: Characters of a stretch that is cut after words too; one unit in so many ends a part, and a part has PART characters at most.
+LONG, UNITS, PART = 120, 8, 200
 
 
 def paragraphs(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text; those without a visible character are none."""
-    parts = F.filter(F.split(text, _CUTS), lambda p: F.trim(p) != "")
+    marked = lambda u: F.when(F.pmod(F.xxhash64(F.trim(u)), F.lit(UNITS)) == 0, F.concat(u, F.lit("\n"))).otherwise(u)
+    cut = lambda p: F.split(F.regexp_replace(F.array_join(F.transform(F.split(p, _UNITS), marked), ""), f"([^\n]{{{PART}}})", "$1\n"), "\n")
+    whole = F.split(text, _CUTS)
+    parts = F.flatten(F.transform(whole, lambda p: F.when(F.length(p) > LONG, cut(p)).otherwise(F.array(p))))
+    parts = F.filter(F.transform(parts, F.trim), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 

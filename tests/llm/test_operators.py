@@ -225,3 +225,28 @@ def test_pipeline_near_duplicates(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == set(up) and len(texts) - 1 not in got
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_half_shared_texts_share_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    cjk, cyrillic = (["".join(map(chr, rng.choices(range(lo, hi), k=8))) for _ in range(500)] for lo, hi in ((0x4E00, 0x9000), (0x430, 0x450)))
+    make = {
+        "lower": lambda: " ".join(rng.choices(words, k=7)) + ". ",
+        "late initial": lambda: "The " + " ".join(rng.choices(words, k=7)) + ". ",
+        "chinese": lambda: "".join(rng.choices(cjk, k=2)) + "\u3002",
+        "cyrillic": lambda: " ".join(rng.choices(cyrillic, k=7)) + "! ",
+        "no sentence": lambda: " ".join(rng.choices(words, k=20)) + " ",
+        "chinese, no sentence": lambda: "".join(rng.choices(cjk, k=20)),
+        "one character": lambda: "x" * 300,
+    }
+    rows = []
+    for name, one in make.items():
+        head = "".join(one() for _ in range(10))
+        rows.append((name, head + "".join(one() for _ in range(10)), head + "other" + "".join(one() for _ in range(10))))
+    docs = spark.createDataFrame(rows, "name string, a string, b string")
+    p = {c: fingerprints.paragraphs(F.col(c)) for c in "ab"}
+    got = docs.select("name", F.size(F.array_intersect(p["a"], p["b"])).alias("n")).collect()
+    assert all(r.n > 0 for r in got) and len(got) == len(make), got
