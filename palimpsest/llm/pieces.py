@@ -102,10 +102,11 @@ class PieceTable:
         self.powers = Powers()
         self._clear()
 
-    def _clear(self) -> None:
-        self.mask = np.uint64(4 * self.bound - 1)
-        self.keys = np.zeros(4 * self.bound, np.uint64)
-        self.at = np.zeros(4 * self.bound, np.int32)
+    def _clear(self, room: int | None = None) -> None:
+        slots = 4 * (room or self.bound)
+        self.mask = np.uint64(slots - 1)
+        self.keys = np.zeros(slots, np.uint64)
+        self.at = np.zeros(slots, np.int32)
         self.n = 0
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.values, self.used = np.zeros(1 << 18, np.int32), 0
@@ -148,7 +149,11 @@ class PieceTable:
         self.n, self.used = self.n + n, self.used + m
 
     def lookup(self, raw: bytes, borders: np.ndarray, trim: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece starts, entry of each piece, lens of entries) for concatenated texts."""
+        """(piece starts, entry of each piece, lens of entries) for concatenated texts.
+
+        Distinct pieces beyond the bound make the table larger for this run; the next
+        run that doesn't fit starts with the bound again.
+        """
         data = np.frombuffer(raw, np.uint8)
         starts = split(data, borders, raw)
         ends = np.r_[starts[1:], len(data)]
@@ -167,11 +172,9 @@ class PieceTable:
             miss = np.flatnonzero(entry < 0)
             fresh, first = np.unique(hashes[miss], return_index=True)
             if self.n + len(fresh) > self.bound:
-                if len(fresh) > self.bound:
-                    raise ValueError("a batch has more distinct pieces than the table can hold")
-                self._clear()
                 miss = np.arange(len(hashes))
                 fresh, first = np.unique(hashes, return_index=True)
+                self._clear(max(self.bound, 1 << (len(fresh) - 1).bit_length()))
             where = miss[first]
             values, lens = self.encode_new([raw[a:b] for a, b in zip(begins[where].tolist(), ends[where].tolist(), strict=True)])
             self._insert(fresh, values, lens)

@@ -250,3 +250,15 @@ def test_half_shared_texts_share_paragraphs(spark):
     p = {c: fingerprints.paragraphs(F.col(c)) for c in "ab"}
     got = docs.select("name", F.size(F.array_intersect(p["a"], p["b"])).alias("n")).collect()
     assert all(r.n > 0 for r in got) and len(got) == len(make), got
+
+
+def test_more_pieces_than_the_table_holds():
+    from palimpsest.llm.pieces import Encoder
+
+    texts = ["a b", " ".join(f"w{i} {i}" for i in range(400)), "a b c", "", " ".join(f"x{i}" for i in range(20))]
+    for path in (BYTES, WORDS):
+        tok, small = tokenizers.Tokenizer.from_file(path), Encoder(path, 16)
+        for text in (texts, texts[1:2], texts):
+            ids, counts = small.ids(text)
+            want = [tok.encode(t, add_special_tokens=False).ids for t in text]
+            assert ids.tolist() == [i for t in want for i in t] and counts.tolist() == list(map(len, want))
