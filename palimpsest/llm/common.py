@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-palimpsest-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -55,6 +57,18 @@ def hidden(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Parts that a hot key of a salted join is dealt to.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, named: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows left-joined with named (one row a key); rows of one key go to SALTS tasks, by a hash of `spread`."""
+    salt = hidden(rows, "salt")
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    right = named.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, salt], "left").drop(salt)
+
+
 def ranged(df: DataFrame, by: list, name: str = "ranged") -> tuple[DataFrame, DataFrame]:
     """df range-sorted by the columns `by` and stored, with (part, idx); and parts: part, rows, before.
 

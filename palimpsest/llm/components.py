@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step: edges (a, b) with a > b."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # a hub's edges are dealt by their other ends
+    large = salted_join(both, least, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     large = stored(large, "large-star")
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a")
+    small = salted_join(large, low, ["a"], "b")
     return small.select("a", F.col("m").alias("b")).union(small.select(F.col("b"), F.col("m"))).where("a <> b").distinct()
 
 

@@ -8,12 +8,15 @@ indexed exactly (it accounts for no difference) or with its one-deletion neighbo
 segments finds every pair if m + 2 x > H.  `allocate` takes the cheapest one: index rows
 against segments so small that unrelated sets share them.
 
-Sets that are equal are one class, found by a digest of the whole set.  Classes that
-share an index entry are connected through the least of them, never pair by pair; what
-is connected in this way is a cloud, and every link lies within one.  Clouds are sorted
-by size, cut into blocks, and blocks whose sizes may match are compared exactly, with
-one matrix product each; a block pair returns a spanning forest of its links, not the
-links.  Nothing is capped: a large cloud has more blocks, not larger ones.
+Sets that are equal are one class, found by a cryptographic digest of the sorted set.
+Classes that share an index entry are compared with the least of them ("hub") first, in
+groups of a hub and some others: first each class with the hub that it shares most
+entries with, then with its other hubs as far as the two aren't connected yet.  What
+still has unconnected classes under one entry is sorted into blocks, and two blocks are
+compared if they have such an entry in common.  A comparison is a matrix product over
+the n-grams of its texts, told apart by their words' bytes; it returns a spanning forest
+of its links, not the links.  Nothing is capped: many classes under one entry give more
+blocks, not larger ones.
 
 Where segments would get too small (lower thresholds), sets are indexed by prefixes
 instead: of two sets at the threshold, the first len - ceil(threshold * len) + 1 n-grams
@@ -23,6 +26,7 @@ in a sample last, so that unrelated sets rarely meet; any order finds every pair
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,46 +34,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hidden, ranged, stored, table
+from .common import hidden, ranged, salted_join, stored, table
 from .components import components
-from .pieces import _CLASS, _WS, Powers, mix, runs, span_hashes
+from .pieces import _CLASS, _WS, PieceTable, WordTable, mix, plain_table, runs, same_windows
 
 #: Classes of a block.
 BLOCK = 128
 #: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
 SAMPLE, COMMON = 20_000, 1 << 16
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = (_CLASS == _WS)
-
-
-def shingle_sets(texts, n: int, powers: Powers):
-    """The sorted distinct n-gram hashes (uint64) of each text; fewer words than n: their sequence."""
-    for lo, hi, raw, borders in runs(texts):
-        data = _LOWER[np.frombuffer(raw, np.uint8)]
-        if not len(data):
-            yield from (np.zeros(0, np.uint64) for _ in range(hi - lo))
-            continue
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
+_SPACE = _CLASS == _WS
+
+
+def word_entries(texts, words: PieceTable):
+    """(entries of all words, edges of the texts in them) for runs of texts."""
+    for _, hi, raw, borders in runs(texts):
+        raw = raw.translate(_LOWER)
+        data = np.frombuffer(raw, np.uint8)
         solid = ~_SPACE[data]
         first = np.zeros(len(data) + 1, bool)
         first[borders] = True
-        starts = np.flatnonzero(solid & (np.r_[True, ~solid[:-1]] | first[:-1]))
-        stops = np.flatnonzero(solid & (np.r_[~solid[1:], True] | np.r_[first[1:-1], True])) + 1
-        words = span_hashes(data, starts, stops, powers)
-        edges = np.searchsorted(starts, np.r_[borders, len(data)])
-        grams = mix(words)
+        starts = np.flatnonzero(solid & (np.r_[True, ~solid[:-1]][: len(data)] | first[:-1]))
+        stops = np.flatnonzero(solid & (np.r_[~solid[1:], True][: len(data)] | np.r_[first[1:-1], True][: len(data)])) + 1
+        yield words.find(raw, starts, stops), np.searchsorted(starts, np.r_[borders, len(data)])
+
+
+def shingle_sets(texts, n: int, words: WordTable):
+    """(sorted distinct hashes, exact size, digest) of the n-gram set of each text; fewer words than n: their sequence.
+
+    Hashes serve the index and may meet; the size counts n-grams by their words, and the
+    digest (16 bytes) is that of all words of the sorted set.
+    """
+    for entry, edges in word_entries(texts, words):
+        names = words.digests(entry)
+        grams = mix(names[:, 0])
         for k in range(1, n):
-            grams = mix(grams[: len(words) - k] + words[k:]) if len(words) > k else np.zeros(0, np.uint64)
+            grams = mix(grams[: max(0, len(entry) - k)] + names[k:, 0])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a >= n:
-                yield np.unique(grams[a : b - n + 1])
+                order = np.argsort(grams[a : b - n + 1], kind="stable") + a
+                hashes = grams[order]
+                new = np.r_[True, hashes[1:] != hashes[:-1]]
+                met = np.flatnonzero(~new)
+                rows = lambda at: np.stack([names[at + k] for k in range(n)], axis=1)
+                if all((entry[order[met] + k] == entry[order[met - 1] + k]).all() for k in range(n)):
+                    size, content = int(new.sum()), rows(order[new]).tobytes()
+                else:  # different n-grams of one hash
+                    distinct = sorted({r.tobytes() for r in rows(order)})
+                    size, content = len(distinct), b"".join(distinct)
+                yield hashes[new], size, hashlib.blake2b(content, digest_size=16).digest()
             elif b > a:
-                whole = np.array([b - a], np.uint64)
-                for w in words[a:b]:
-                    whole = mix(whole + w)
-                yield whole
+                made = hashlib.blake2b(names[a:b].tobytes(), digest_size=16, person=b"short").digest()
+                yield np.frombuffer(made, np.uint64)[:1], 1, made
             else:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros(0, np.uint64), 0, bytes(16)
+
+
+def exact_sets(texts, n: int, words: PieceTable) -> list[np.ndarray]:
+    """The n-gram set of each text as numbers that are equal for equal words, and only for them."""
+    words.trim()
+    got = list(word_entries(texts, words))
+    entry = np.concatenate([e for e, _ in got]) if got else np.zeros(0, np.int64)
+    spans, at = [], 0
+    for e, edges in got:
+        spans += [(at + a, at + b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        at += len(e)
+    grams = same_windows(entry, n) if len(entry) >= n else entry[:0]
+    short: dict[bytes, int] = {}
+    out = []
+    for a, b in spans:
+        if b - a >= n:
+            out.append(np.unique(grams[a : b - n + 1]))
+        else:
+            out.append(np.array([-1 - short.setdefault(entry[a:b].tobytes(), len(short))][: b - a], np.int64))
+    return out
 
 
 class Bands:
@@ -119,10 +157,13 @@ def allocate(differ: int, size: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
-    """Index entries (uint64) of one set."""
+def signatures(items: np.ndarray, size: int, bands: Bands) -> np.ndarray:
+    """Index entries (uint64) of one set of so many n-grams, given by their distinct hashes.
+
+    Hashes that meet make differences smaller, never larger, so no pair is lost.
+    """
     out = []
-    for g in bands.groups(len(items)):
+    for g in bands.groups(size):
         m, x = bands.shape(g)
         salt = mix(np.array([g + 1], np.uint64))[0]
         mixed = mix(items + salt)
@@ -145,9 +186,10 @@ def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     some = docs.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE << 30) // rows))
 
     def run(parts):
-        powers = Powers()
+        words = WordTable()
         for batch in parts:
-            for s in shingle_sets(batch.column(0), n, powers):
+            words.trim()
+            for s, _, _ in shingle_sets(batch.column(0), n, words):
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64())], ["gram"])
 
     counts = some.select("text").mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
@@ -157,35 +199,39 @@ def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], len(grams) - order
 
 
-def prefixes(items: np.ndarray, bands: Bands, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Index entries (uint64) of one set: its prefix in each of its groups."""
+def prefixes(items: np.ndarray, size: int, bands: Bands, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Index entries (uint64) of one set: its prefix in each of its groups.
+
+    items has the distinct hashes of its `size` n-grams; n-grams whose hashes meet count once.
+    """
     grams, places = common
-    kept = len(items) + (-bands.num * len(items) // bands.den) + 1
+    kept = size + (-bands.num * size // bands.den) + 1
     late = np.zeros(len(items), np.int64)
     if len(grams):
         at = np.minimum(np.searchsorted(grams, items), len(grams) - 1)
         late = np.where(grams[at] == items, places[at], 0)
     first = items[np.lexsort((items, late))[:kept]]
-    return np.concatenate([mix(first + mix(np.array([g + 1], np.uint64))[0]) for g in bands.groups(len(items))])
+    return np.concatenate([mix(first + mix(np.array([g + 1], np.uint64))[0]) for g in bands.groups(size)])
 
 
 def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """row, doc_id, n_shingles, k1, k2 (digest of the set) and sigs of every row of docs; sigs are prefixes if common is given."""
 
     def run(parts):
-        powers, bands = Powers(), Bands(num, den)
+        words, bands = WordTable(), Bands(num, den)
         for batch in parts:
             for lo in range(0, batch.num_rows, 512):
+                words.trim()
                 part = batch.slice(lo, 512)
-                sizes, k1, k2, sigs = [], [], [], []
-                for s in shingle_sets(part.column(2), n, powers):
-                    sizes.append(len(s))
-                    k1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                    k2.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
-                    sigs.append(s if not len(s) else signatures(s, bands) if common is None else prefixes(s, bands, common))
+                sizes, keys, sigs = [], [], []
+                for s, size, key in shingle_sets(part.column(2), n, words):
+                    sizes.append(size)
+                    keys.append(key)
+                    sigs.append(s if not size else signatures(s, size, bands) if common is None else prefixes(s, size, bands, common))
                 ends = np.r_[0, np.cumsum([len(x) for x in sigs])]
                 flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["row", "doc_id", "n_shingles", "k1", "k2", "sigs"])
+                k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["row", "doc_id", "n_shingles", "k1", "k2", "sigs"])
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>")
 
@@ -236,67 +282,108 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int,
     return left[i], right[j]
 
 
+_words: list[PieceTable] = []
+
+
+def _forest(table: pa.Table, left: np.ndarray, right: np.ndarray, n: int, num: int, den: int) -> pa.Table:
+    """A spanning forest (a, b) of the links between the rows left and right of table (c, text)."""
+    forest = []
+    if len(left) and len(right):
+        if not _words:  # one table for each worker process, kept over groups
+            _words.append(plain_table(1 << 18))
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
+        forest = _roots(len(texts), *links(exact_sets(texts, n, _words[0]), left, right, num, den))
+    c = table.column("c").to_numpy()
+    return pa.table({"a": pa.array([int(c[x]) for x, _ in forest], pa.int64()), "b": pa.array([int(c[y]) for _, y in forest], pa.int64())})
+
+
+def _with_hubs(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among pairs (c, hub): groups of a hub and at most about BLOCK of its classes."""
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    cuts = stored(sizes.where(F.col("members") > BLOCK).select("hub", F.ceil(F.col("members") / BLOCK).alias("cuts")), "cuts")
+    dealt = pairs.join(cuts, "hub", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1).cast("long")))
+    dealt = dealt.select("c", "hub", F.pmod(F.xxhash64("c"), F.col("cuts")).alias("cut"), F.lit(False).alias("is_hub"))
+    hubs = dealt.select(F.col("hub").alias("c"), "hub", "cut", F.lit(True).alias("is_hub")).distinct()
+    groups = dealt.union(hubs).join(texts, "c")
+
+    def compare(group):
+        is_hub = group.column("is_hub").to_numpy(zero_copy_only=False)
+        every = np.arange(len(is_hub))
+        return _forest(group, every[is_hub], every[~is_hub], n, num, den)
+
+    return groups.groupBy("hub", "cut").applyInArrow(compare, "a bigint, b bigint")
+
+
 def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, by_prefix: bool = False) -> DataFrame:
-    """row, doc_id, n_shingles and component of every row of docs (row long unique, doc_id, text).
+    """row, doc_id, n_shingles and component of every row of docs (row long unique, doc_id long, text).
 
     component is the least row that a row is linked with, over any number of links; rows
     without words are linked with nothing.  Null texts have no words; a null doc_id is
-    carried along; repeated rows are equal sets and so one component.  by_prefix indexes
-    prefixes in place of segments; the pairs are the same.
+    carried along; repeated rows are equal sets and so one component; an empty table has
+    no rows; other columns are left out.  A long text is held whole by the tasks that
+    index and compare it.  by_prefix indexes prefixes in place of segments; the links are
+    the same.
     """
     sets = stored(indexed(docs, n, num, den, common_grams(docs, n) if by_prefix else None), "sets")
     some = sets.where("n_shingles > 0")
-    classes = stored(some.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("c")), "classes")
+    classes = stored(some.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("c"), F.count(F.lit(1)).alias("rows")), "classes")
     reps = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
-    entries = reps.select(F.col("row").alias("c"), F.explode("sigs").alias("sig"))
-    hubs = stored(entries.groupBy("sig").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("sig", "hub"), "hubs")
-    met = stored(entries.join(hubs, "sig").where("c <> hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct(), "met")
-    clouds = components(met)
-    clouds = stored(clouds.select(F.col("node").alias("c"), F.col("root").alias("cloud")).union(clouds.select("root", "root").distinct()), "clouds")
-
-    texts = docs.select("row", "text").join(clouds, F.col("row") == F.col("c")).select("cloud", "c", "text")
-
-    def again(parts):
-        powers = Powers()
-        for batch in parts:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                got = list(shingle_sets(part.column(2), n, powers))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["cloud", "c", "n", "items"])
-
-    rows, parts = ranged(texts.mapInArrow(again, "cloud bigint, c bigint, n bigint, items binary"), ["cloud", "n", "c"], "members")
+    entries = reps.select(F.col("row").alias("c"), F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
+    hubs = entries.groupBy("sig").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("sig", "hub")
+    # entries of one class alone say nothing; the others with the hub of theirs
+    shared = stored(entries.join(stored(hubs, "hubs"), "sig"), "shared")
+    texts = docs.select(F.col("row").alias("c"), "text")
+    pairs = stored(shared.where("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("common")), "pairs")
+    best = pairs.groupBy("c").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub"))
+    found = stored(_with_hubs(best, texts, n, num, den), "links")
+    roots = stored(components(found), "roots")
+
+    rooted = lambda d, c, r: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
+    apart = rooted(rooted(pairs.select("c", "hub"), "c", "c_root"), "hub", "hub_root").where("c_root <> hub_root").select("c", "hub")
+    more = stored(_with_hubs(apart.join(best, ["c", "hub"], "left_anti"), texts, n, num, den), "links")
+    found = found.union(more)
+    roots = stored(components(found), "roots")
+
+    # every class has met its hubs; what isn't connected under one entry meets block by block
+    rest = rooted(shared.where("c <> hub"), "c", "root")
+    mixed = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("sig", "members")
+    rest = stored(rest.join(stored(mixed, "mixed"), "sig").select("c", "n", "sig", "members"), "rest")
+    if not rest.isEmpty():
+        found = found.union(_by_blocks(rest, texts, n, num, den))
+        roots = stored(components(found), "roots")
+
+    named = classes.where("rows > 1").join(roots, F.col("c") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("root", "c").alias("component"))
+    out = salted_join(sets.select("row", "doc_id", "n_shingles", "k1", "k2"), named, ["n_shingles", "k1", "k2"], "row")
+    # a class of one row has no name there
+    out = out.join(roots, F.col("row") == F.col("node"), "left")
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "root", "row").alias("component"))
+
+
+def _by_blocks(rest: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the classes of rest (c, n, sig, members) that share a sig.
+
+    Classes stand in the order of their fullest sig and of size, so that a sig lies in few
+    blocks.  Block pairs without a common sig, or too different in size, don't meet.
+    """
+    own = rest.groupBy("c", "n").agg(F.max(F.struct("members", "sig")).alias("top"))
+    rows, parts = ranged(own.select("c", "n", F.col("top.sig").alias("top")), ["top", "n", "c"], "members")
     rows = rows.join(F.broadcast(parts.select("part", "before").coalesce(1)), "part")
-    rows = rows.withColumn("block", F.floor((F.col("before") + F.col("idx")) / BLOCK))
-    # a block meets itself and later blocks of its last cloud, as far as sizes can be alike
-    spans = rows.groupBy("block").agg(F.min(F.struct("cloud", "n")).alias("lo"), F.max(F.struct("cloud", "n")).alias("hi"))
-    spans = stored(spans.select("block", F.col("lo.cloud").alias("first"), F.col("lo.n").alias("first_n"), F.col("hi.cloud").alias("last"), F.col("hi.n").alias("last_n")), "spans")
-    later = spans.select(F.col("block").alias("to"), F.col("first").alias("cloud"), F.col("first_n").alias("from_n"))
-    reach = spans.select(F.col("block").alias("at"), F.col("last").alias("cloud"), "last_n").join(later, "cloud").where((F.col("to") > F.col("at")) & (num * F.col("from_n") <= den * F.col("last_n")))
-    tasks = stored(spans.select(F.col("block").alias("i"), F.col("block").alias("j")).union(reach.select(F.col("at"), F.col("to"))), "tasks")
+    rows = stored(rows.select("c", "n", F.floor((F.col("before") + F.col("idx")) / BLOCK).alias("block")), "blocks")
+    spans = rows.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # a row for each sig and block, however many classes a block has there
+    places = stored(rest.join(rows, "c").select("sig", "block").distinct().join(spans, "block"), "places")
+    other = places.select("sig", F.col("block").alias("j"), F.col("least").alias("j_least"), F.col("most").alias("j_most"))
+    near = (num * F.col("least") <= den * F.col("j_most")) & (num * F.col("j_least") <= den * F.col("most"))
+    tasks = stored(places.join(other, "sig").where((F.col("block") <= F.col("j")) & near).select(F.col("block").alias("i"), "j").distinct(), "tasks")
     place = tasks.select(F.col("i").alias("block"), "i", "j").union(tasks.where("i <> j").select("j", "i", "j"))
-    dealt = rows.select("block", "cloud", "c", "n", "items").join(place, "block")
+    dealt = rows.join(place, "block").join(texts, "c").select("block", "c", "i", "j", "text")
 
     def compare(task):
-        cloud, c, block = (task.column(k).to_numpy() for k in ("cloud", "c", "block"))
-        items = [np.frombuffer(x, np.uint64) for x in task.column("items").to_pylist()]
+        block, every = task.column("block").to_numpy(), np.arange(task.num_rows)
         i, j = task.column("i")[0].as_py(), task.column("j")[0].as_py()
-        a, b = [], []
-        for one in np.unique(cloud):
-            here = np.flatnonzero(cloud == one)
-            left, right = here[block[here] == i], here[block[here] == j]
-            if len(left) and len(right) and (i != j or len(here) > 1):
-                x, y = links(items, left, right, num, den)
-                a.append(x)
-                b.append(y)
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        forest = _roots(len(c), a, b)
-        return pa.table({"a": pa.array([int(c[x]) for x, _ in forest], pa.int64()), "b": pa.array([int(c[y]) for _, y in forest], pa.int64())})
-
-    found = components(dealt.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint"))
-    named = classes.join(found, F.col("c") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("root", "c").alias("component"))
-    keyed = ["n_shingles", "k1", "k2"]
-    out = sets.select("row", "doc_id", *keyed).join(named, keyed, "left")
-    return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"))
+        return _forest(task, every[block == i], every[block == j], n, num, den)
+
+    return stored(dealt.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def _numbered(docs: DataFrame, name: str = "row") -> DataFrame:
@@ -305,7 +392,10 @@ def _numbered(docs: DataFrame, name: str = "row") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, by_prefix: bool = False) -> DataFrame:
-    """Of each component the row with the least doc_id, with all columns of docs; rows without words stay."""
+    """Of each component the row with the least doc_id, with all columns of docs; rows without words stay.
+
+    A null doc_id comes after all others; of rows with one doc_id the first of the scan stays.
+    """
     row = hidden(docs, "row_of_join")
     kept = _numbered(docs, row)
     groups = similar_groups(kept.select(F.col(row).alias("row"), "doc_id", "text"), n, num, den, by_prefix)
@@ -314,7 +404,9 @@ def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, by_pref
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of all documents: three words, 90 of 100."""
     docs = _numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     groups = stored(similar_groups(docs), "similar")
-    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return groups.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    named = salted_join(groups, least.where("rows > 1").select("component", "component_id"), ["component"], "row")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

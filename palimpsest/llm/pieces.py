@@ -4,14 +4,16 @@ Both tokenizers used here (byte-level BPE, and BPE with word ends) first split a
 text by a fixed pattern and then merge inside each part, so the ids of a text are
 the ids of its parts in order.  `split` cuts a batch of texts only at places where
 that pattern always has a boundary; `PieceTable` asks the tokenizer library for
-the ids of the pieces it has not met yet and looks the others up by a 64-bit hash.
-The table is a cache with a fixed bound: once full it starts anew, so memory does
-not grow with the corpus and every piece still gets its ids from the library.
+the ids of the pieces it has not met yet and finds the others by a hash and their bytes.
+The table is a cache with a bound: once over it, it starts anew, so memory does not grow
+with the corpus and every piece still gets its ids from the library.  A long text is a
+run of its own; hashes and comparisons go over it in slices.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 
 import numpy as np
@@ -21,6 +23,9 @@ _WS, _LETTER, _PUNCT, _APOS, _HIGH = 1, 2, 4, 8, 16
 #: White space outside ASCII (UTF-8); fixed values of the Unicode standard.
 _WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
+#: Bytes that are hashed and compared at a time (a longer piece stands alone).
+SLICE = 1 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,7 +67,7 @@ class Powers:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """64-bit hashes of the byte spans [starts, ends) of data."""
+    """64-bit hashes of the byte spans [starts, ends) of data: equal for equal bytes, not only for them."""
     up, down = powers.upto(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -95,23 +100,38 @@ def split(data: np.ndarray, borders: np.ndarray, raw: bytes) -> np.ndarray:
 
 
 class PieceTable:
-    """Open-addressing map from piece hash to its run of values (ids, or one count)."""
+    """Open-addressing map from the bytes of a piece to its run of values (ids, counts, digests).
+
+    A 64-bit hash finds the slot; the bytes of every hit are compared with those kept, so
+    no two pieces are ever taken for each other.  A piece whose hash belongs to another
+    one gets an entry without a slot, and is encoded again when it is met again.
+    Entries stay valid until `trim`, which starts the table anew once it is over its bound.
+    """
 
-    def __init__(self, encode_new, bound: int = 1 << 20):
-        self.encode_new, self.bound = encode_new, bound
+    def __init__(self, encode_new, bound: int = 1 << 20, most_bytes: int = 1 << 26):
+        self.encode_new, self.bound, self.most_bytes = encode_new, bound, most_bytes
         self.powers = Powers()
         self._clear()
 
-    def _clear(self, room: int | None = None) -> None:
-        slots = 4 * (room or self.bound)
-        self.mask = np.uint64(slots - 1)
-        self.keys = np.zeros(slots, np.uint64)
-        self.at = np.zeros(slots, np.int32)
-        self.n = 0
+    def _clear(self) -> None:
+        self.n = self.used = self.held = 0
         self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.values, self.used = np.zeros(1 << 18, np.int32), 0
+        self.first, self.sizes, self.names = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
+        self.values, self.bytes = np.zeros(1 << 18, np.int32), np.zeros(1 << 20, np.uint8)
+        self._slots(4 * self.bound)
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _slots(self, slots: int) -> None:
+        slots = 1 << (slots - 1).bit_length()
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+
+    def trim(self) -> None:
+        """Forget all pieces if there are more than the bound; entries given out so far are void then."""
+        if self.n > self.bound or self.held > self.most_bytes:
+            self.powers = Powers()
+            self._clear()
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash (-1: absent)."""
         slot = (hashes & self.mask).astype(np.int64)
         key = self.keys[slot]
@@ -125,60 +145,107 @@ class PieceTable:
             left = left[~hit & (key != 0)]
         return out
 
-    def _insert(self, hashes: np.ndarray, values: np.ndarray, lens: np.ndarray) -> None:
-        n, m = len(hashes), len(values)
-        while self.n + n > len(self.starts):
-            self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
-        while self.used + m > len(self.values):
-            self.values = np.resize(self.values, 2 * len(self.values))
-        self.values[self.used : self.used + m] = values
-        self.starts[self.n : self.n + n] = self.used + np.r_[0, np.cumsum(lens)[:-1]] if n else 0
-        self.lens[self.n : self.n + n] = lens
-        entry = np.arange(self.n, self.n + n, dtype=np.int32)
-        slot, todo = (hashes & self.mask).astype(np.int64), np.arange(n)
+    def _place(self, hashes: np.ndarray, entry: np.ndarray) -> None:
+        """Slots for hashes that have none yet, all distinct."""
+        slot, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
         while len(todo):
             free = self.keys[slot[todo]] == 0
             first = todo[free]
             self.keys[slot[first]] = hashes[first]  # of several on one slot the last stays
             won = first[self.keys[slot[first]] == hashes[first]]
             self.at[slot[won]] = entry[won]
-            stay = np.ones(n, bool)
+            stay = np.ones(len(hashes), bool)
             stay[won] = False
             todo = todo[stay[todo]]
             slot[todo] = (slot[todo] + 1) & int(self.mask)
-        self.n, self.used = self.n + n, self.used + m
+
+    def _append(self, pieces: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """New entries (hash 0: without a slot)."""
+        values, lens = self.encode_new(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        blob = np.frombuffer(b"".join(pieces), np.uint8)
+        n, m, k = len(pieces), len(values), len(blob)
+
+        def room(a: np.ndarray, need: int) -> np.ndarray:
+            return a if need <= len(a) else np.r_[a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)]
+
+        for name in ("starts", "lens", "first", "sizes", "names"):
+            setattr(self, name, room(getattr(self, name), self.n + n))
+        self.values, self.bytes = room(self.values, self.used + m), room(self.bytes, self.held + k)
+        here = slice(self.n, self.n + n)
+        self.values[self.used : self.used + m], self.bytes[self.held : self.held + k] = values, blob
+        self.starts[here], self.lens[here] = self.used + np.cumsum(lens) - lens, lens
+        self.first[here], self.sizes[here], self.names[here] = self.held + np.cumsum(sizes) - sizes, sizes, hashes
+        entry = np.arange(self.n, self.n + n)
+        self.n, self.used, self.held = self.n + n, self.used + m, self.held + k
+        if 2 * self.n > len(self.keys):
+            self._slots(4 * self.n)
+            slotted = np.flatnonzero(self.names[: self.n])
+            self._place(self.names[slotted], slotted)
+        else:
+            slotted = np.flatnonzero(hashes)
+            self._place(hashes[slotted], entry[slotted])
+        return entry
+
+    def _unlike(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which spans differ from the bytes of their entries."""
+        sizes = ends - begins
+        wrong = self.sizes[entry] != sizes
+        same = np.flatnonzero(~wrong) if wrong.any() else slice(None)
+        sizes, kept, seen = sizes[same], self.first[entry[same]], begins[same]
+        to = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum()))
+        bad = np.flatnonzero(self.bytes[np.repeat(kept - to, sizes) + step] != data[np.repeat(seen - to, sizes) + step])
+        if len(bad):
+            at = np.unique(np.searchsorted(to + sizes, bad, "right"))
+            wrong[np.arange(len(wrong))[same][at]] = True
+        return np.flatnonzero(wrong)
+
+    def find(self, raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each byte span [begin, end) of raw, in slices of about a megabyte."""
+        out, lo = np.zeros(len(begins), np.int64), 0
+        data = np.frombuffer(raw, np.uint8)
+        while lo < len(begins):
+            hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + SLICE, "right")))
+            a = int(begins[lo])
+            out[lo:hi] = self._slice(raw, data[a : int(ends[hi - 1])], a, begins[lo:hi] - a, ends[lo:hi] - a)
+            lo = hi
+        return out
+
+    def _slice(self, raw: bytes, data: np.ndarray, base: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        of = lambda where: [raw[a:b] for a, b in zip((begins[where] + base).tolist(), (ends[where] + base).tolist(), strict=True)]
+        hashes = span_hashes(data, begins, ends, self.powers)
+        hashes[hashes == 0] = 1
+        entry = self._find(hashes)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            fresh, first = np.unique(hashes[miss], return_index=True)
+            self._append(of(miss[first]), fresh)
+            entry[miss] = self._find(hashes[miss])
+        wrong = self._unlike(data, begins, ends, entry)
+        if len(wrong):
+            own: dict[bytes, list[int]] = {}
+            for i, piece in zip(wrong.tolist(), of(wrong), strict=True):
+                own.setdefault(piece, []).append(i)
+            for e, places in zip(self._append(list(own), np.zeros(len(own), np.uint64)), own.values(), strict=True):
+                entry[places] = e
+        return entry
 
     def lookup(self, raw: bytes, borders: np.ndarray, trim: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece starts, entry of each piece, lens of entries) for concatenated texts.
 
-        Distinct pieces beyond the bound make the table larger for this run; the next
-        run that doesn't fit starts with the bound again.
+        A run with more distinct pieces than the bound makes the table larger; the next
+        run starts with an empty one.
         """
+        self.trim()
         data = np.frombuffer(raw, np.uint8)
         starts = split(data, borders, raw)
         ends = np.r_[starts[1:], len(data)]
         begins = starts
         if trim:  # leading white space has no ids
-            begins = starts.copy()
-            for _ in range(64):
-                at = np.flatnonzero((begins < ends) & (_CLASS[data[np.minimum(begins, len(data) - 1)]] == _WS))
-                if not len(at):
-                    break
-                begins[at] += 1
-        hashes = span_hashes(data, begins, ends, self.powers)
-        hashes[hashes == 0] = 1
-        entry = self._find(hashes)
-        if (entry < 0).any():
-            miss = np.flatnonzero(entry < 0)
-            fresh, first = np.unique(hashes[miss], return_index=True)
-            if self.n + len(fresh) > self.bound:
-                miss = np.arange(len(hashes))
-                fresh, first = np.unique(hashes, return_index=True)
-                self._clear(max(self.bound, 1 << (len(fresh) - 1).bit_length()))
-            where = miss[first]
-            values, lens = self.encode_new([raw[a:b] for a, b in zip(begins[where].tolist(), ends[where].tolist(), strict=True)])
-            self._insert(fresh, values, lens)
-            entry[miss] = self._find(hashes[miss])
+            solid = np.flatnonzero(_CLASS[data] != _WS)
+            begins = np.minimum(np.r_[solid, len(data)][np.searchsorted(solid, starts)], ends)
+        entry = self.find(raw, begins, ends)
         return starts, entry, self.lens[entry]
 
     def gather(self, entry: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -190,6 +257,35 @@ class PieceTable:
         return self.values[np.repeat(self.starts[entry] - to, lens) + np.arange(total)]
 
 
+class WordTable(PieceTable):
+    """Words to 128-bit digests (blake2b); entries tell words apart by their bytes."""
+
+    def __init__(self, bound: int = 1 << 20):
+        super().__init__(self._digests, bound)
+
+    @staticmethod
+    def _digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words)
+        return np.frombuffer(made, np.int32), np.full(len(words), 4, np.int32)
+
+    def digests(self, entry: np.ndarray) -> np.ndarray:
+        """Two uint64 for each entry."""
+        return self.values[: 4 * self.n].view(np.uint64).reshape(-1, 2)[entry]
+
+
+def plain_table(bound: int = 1 << 20) -> PieceTable:
+    """Entries of spans, without values."""
+    return PieceTable(lambda pieces: (np.zeros(0, np.int32), np.zeros(len(pieces), np.int32)), bound)
+
+
+def same_windows(entry: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the windows of n neighbours: equal for equal entries, and only for them."""
+    out = entry[: len(entry) - n + 1]
+    for k in range(1, n):
+        out = np.unique(out * (int(entry.max()) + 1) + entry[k : len(out) + k], return_inverse=True)[1]
+    return out
+
+
 _ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hidden, stored, table
-from .pieces import Powers, mix, runs, span_hashes
+from .pieces import PieceTable, plain_table, runs, same_windows
 
 MIN_ROWS = 200
 #: Part of a group's rows that the estimate keeps.
@@ -39,48 +39,54 @@ def _of(at: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.searchsorted(borders, at, "right") - 1
 
 
-def statistics(texts, powers: Powers | None = None) -> dict[str, np.ndarray]:
-    """The five statistics, and n_lines with a word, of each text of an Arrow array or list."""
-    powers = powers or Powers()
+def _sums(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many marks there are from each place to the next."""
+    return np.add.reduceat(marks, at, dtype=np.int64)
+
+
+def statistics(texts, words_of: PieceTable | None = None) -> dict[str, np.ndarray]:
+    """The five statistics, and n_lines with a word, of each text of an Arrow array or list.
+
+    Lines and words are told apart by their bytes.  A text over a megabyte stands alone,
+    with some 40 bytes of memory for each of its bytes.
+    """
+    table = words_of or plain_table()
     out = {k: np.zeros(len(texts), np.int64) for k in [*STATS, "n_lines"]}
     for lo, hi, raw, borders in runs(texts):
         n = hi - lo
         if not raw:
             continue
+        table.trim()
         data = np.frombuffer(raw, np.uint8)
         ends = np.r_[borders[1:], len(raw)]
         full = np.flatnonzero(ends > borders)  # texts with bytes, so that starts are unique
+        begin = borders[full]
         solid = ~_SPACE[data]
         first = np.zeros(len(data), bool)
-        first[borders[full]] = True
+        first[begin] = True
         starts = np.flatnonzero(solid & (np.r_[False, ~solid[:-1]] | first))
         stops = np.flatnonzero(solid & (np.r_[~solid[1:], True] | np.r_[first[1:], True])) + 1
-        words = full[_of(starts, borders[full])]
+        words = full[_of(starts, begin)]
         out["n_words"][lo:hi] = np.bincount(words, minlength=n)
-        heads = np.r_[0, np.cumsum(solid & ((data & 0xC0) != 0x80))]
-        out["word_chars"][lo:hi] = heads[ends] - heads[borders]
-        marks = np.r_[0, np.cumsum(_SYMBOL[data])]
-        out["n_symbols"][lo:hi] = marks[ends] - marks[borders]
+        out["word_chars"][lo + full] = _sums(solid & ((data & 0xC0) != 0x80), begin)
+        out["n_symbols"][lo + full] = _sums(_SYMBOL[data], begin)
         # lines: from a text's start or after a line feed
         feed = np.flatnonzero(data == 10)
-        at = np.unique(np.r_[borders[full], feed + 1])
+        at = np.unique(np.r_[begin, feed + 1])
         at = at[at < len(data)]
+        real = _sums(solid, at) > 0
         till = np.r_[at[1:], len(data)]
         till = np.where(data[till - 1] == 10, till - 1, till)
-        worded = np.r_[0, np.cumsum(solid)]
-        real = worded[till] > worded[at]
         at, till = at[real], till[real]
-        line_of = full[_of(at, borders[full])]
+        line_of = full[_of(at, begin)]
         out["n_lines"][lo:hi] = np.bincount(line_of, minlength=n)
-        salt = mix(np.arange(n, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
-        lines = span_hashes(data, at, till, powers) + salt[line_of]
+        lines = table.find(raw, at, till) * n + line_of
         new = np.zeros(len(lines), bool)
         new[np.unique(lines, return_index=True)[1]] = True
         out["n_dup_lines"][lo:hi] = np.bincount(line_of[~new], minlength=n)
         # windows of three words of one text
         if len(starts) > 2:
-            h = span_hashes(data, starts, stops, powers)
-            windows = mix(mix(mix(h[:-2]) + h[1:-1]) + h[2:]) + salt[words[:-2]]
+            windows = same_windows(table.find(raw, starts, stops), 3) * n + words[:-2]
             inside = np.flatnonzero(words[:-2] == words[2:])
             _, back, count = np.unique(windows[inside], return_inverse=True, return_counts=True)
             again = inside[count[back] > 1]
@@ -96,11 +102,11 @@ def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(parts):
-        powers = Powers()
+        words = plain_table()
         for batch in parts:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                got = statistics(part.column(len(keep)), powers)
+                got = statistics(part.column(len(keep)), words)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v) for v in got.values())], [*keep, *got])
 
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*([fields] if keep else []), *(f"{k} bigint" for k in [*STATS, "n_lines"])]))

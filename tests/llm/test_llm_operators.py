@@ -122,7 +122,7 @@ def test_allocation_finds_every_pair():
         base = np.unique(base)
         inter = len(np.intersect1d(base, other))
         if 100 * inter >= 90 * (len(base) + len(other) - inter):
-            assert np.intersect1d(jaccard.signatures(base, bands), jaccard.signatures(other, bands)).size
+            assert np.intersect1d(jaccard.signatures(base, len(base), bands), jaccard.signatures(other, len(other), bands)).size
 
 
 def test_quality(docs, none):
