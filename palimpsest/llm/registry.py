@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing, url_reputation
 from .fingerprints import op5_lookup_sketches
 from .jaccard import op4_jaccard_join
 from .language_id import op3_language_id
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_robust_quality": op10_robust_quality,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other operators are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op7_url_reputation": url_reputation.ORACLE, "op8_mixing": mixing.ORACLE}
