@@ -9,10 +9,17 @@ pseudonym has the same format, separators and letter case, is valid in the same
 alone, so equal values stay linked across documents, however they were written.
 
 The same key and code give the same text on every run.  Only the matched spans change.
+Whoever has the key can undo the pseudonyms: a session's `spark.palimpsest.pii.key` holds
+it, and `KEY`, which this code shows to everybody, is only for tables without secrets.
+
+Dates between 1800 and 2199 are permuted among themselves, other years among the rest.
+Not taken for secrets: values after a name such as `token` with fewer than 16 characters
+or without a digit.  A text is read once for each kind, in time that grows with its length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from datetime import date, timedelta
@@ -23,7 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 ROUNDS = 8
+#: Characters of a longer value that are permuted together.
+RUN = 64
+#: The key where none is set; no secret.
 KEY = b"palimpsest pseudonyms"
+#: The setting that holds the key.
+KEY_SETTING = "spark.palimpsest.pii.key"
 
 
 def permute(x: int, size: int, key: bytes, kind: str) -> int:
@@ -32,11 +44,11 @@ def permute(x: int, size: int, key: bytes, kind: str) -> int:
         return x
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
-    seed = f"{kind}:{size}".encode()
+    person = hashlib.blake2b(f"{kind}:{size}".encode(), digest_size=16).digest()
     while True:
         a, b = x >> half, x & mask
         for r in range(ROUNDS):
-            f = hashlib.blake2b(bytes([r]) + b.to_bytes(width, "big"), digest_size=width, key=key[:64], person=hashlib.blake2b(seed, digest_size=16).digest())
+            f = hashlib.blake2b(bytes([r]) + b.to_bytes(width, "big"), digest_size=width, key=key[:64], person=person)
             a, b = b, a ^ (int.from_bytes(f.digest(), "big") & mask)
         x = a << half | b
         if x < size:
@@ -114,17 +126,20 @@ def _ip(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-_FIRST, _LAST = date(1800, 1, 1), date(2199, 12, 31)
+_FIRST, _LAST = date(1800, 1, 1).toordinal(), date(2199, 12, 31).toordinal()
 
 
 def _day(y: int, m: int, d: int, key: bytes) -> date | None:
+    """Another date; common years keep to common years, so that texts stay plausible."""
     try:
-        day = date(y, m, d)
+        day = date(y, m, d).toordinal()
     except ValueError:
         return None
-    if not _FIRST <= day <= _LAST:
-        return None
-    return _FIRST + timedelta(permute((day - _FIRST).days, (_LAST - _FIRST).days + 1, key, "date"))
+    common = _LAST - _FIRST + 1
+    if _FIRST <= day <= _LAST:
+        return date.fromordinal(_FIRST + permute(day - _FIRST, common, key, "date"))
+    n = permute(day - 1 if day < _FIRST else day - 1 - common, date.max.toordinal() - common, key, "other date")
+    return date.fromordinal(n + 1 if n + 1 < _FIRST else n + 1 + common)
 
 
 def _iso(m: re.Match, key: bytes) -> str | None:
@@ -152,21 +167,45 @@ _RADIX = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 
 def _mixed(s: str, key: bytes, kind: str) -> str:
     """Letters and digits permuted together, each staying in its own alphabet; other characters stay."""
-    spots = [_RADIX[c] for c in s if c in _RADIX]
-    n, size = 0, 1
-    for a, i in spots:
-        n, size = n * len(a) + i, size * len(a)
-    n, out = permute(n, size, key, kind + "".join(str(_ALPHABETS.index(a)) for a, _ in spots)), []
-    for a, _ in reversed(spots):
-        n, i = divmod(n, len(a))
-        out.append(a[i])
-    it = iter(reversed(out))
+    spots, new = [_RADIX[c] for c in s if c in _RADIX], []
+    for at in range(0, len(spots), RUN):
+        run, n, size, out = spots[at : at + RUN], 0, 1, []
+        for a, i in run:
+            n, size = n * len(a) + i, size * len(a)
+        n = permute(n, size, key, kind + (f"@{at}:" if at else "") + "".join(str(_ALPHABETS.index(a)) for a, _ in run))
+        for a, _ in reversed(run):
+            n, i = divmod(n, len(a))
+            out.append(a[i])
+        new += reversed(out)
+    it = iter(new)
     return "".join(next(it) if c in _RADIX else c for c in s)
 
 
-def _email(m: re.Match, key: bytes) -> str | None:
+def _hex(s: str, key: bytes) -> str:
+    parts = [s[at : at + RUN] for at in range(0, len(s), RUN)]
+    return "".join(f"{permute(int(p, 16), 16 ** len(p), key, f'hex{len(s)}' + (f'@{i}' if i else '')):0{len(p)}x}" for i, p in enumerate(parts))
+
+
+_DOMAIN = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+_MARKS = "._%+-"
+_MAILBOX = "".join(_ALPHABETS) + _MARKS
+
+
+def _emails(text: str):
+    """(start, end, mailbox, domain) of every address: each @ looks back and ahead once."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        head = text[last:at]
+        local = head[len(head.rstrip(_MAILBOX)) :].lstrip(_MARKS)
+        m = _DOMAIN.match(text, at) if local else None
+        if m:
+            yield at - len(local), m.end(), local, m[0][1:]
+        last = m.end() if m else at + 1
+        at = text.find("@", last)
+
+
+def _email(local: str, domain: str, key: bytes) -> str:
     """Mailbox and domain by their lower-case form; the last label stays, so the address stays valid."""
-    local, _, domain = m[0].rpartition("@")
     host, dot, last = domain.rpartition(".")
     return _mixed(local.lower(), key, "mailbox") + "@" + _mixed(host.lower(), key, "domain") + dot + last
 
@@ -177,14 +216,13 @@ def _secret(m: re.Match, key: bytes) -> str | None:
     start = m.start("secret") - m.start()
     value = m["secret"]
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
-        new = f"{permute(int(value, 16), 16 ** len(value), key, f'hex{len(value)}'):0{len(value)}x}"
+        new = _hex(value, key)
         return m[0][:start] + (new.upper() if value.upper() == value else new) + m[0][start + len(value) :]
     return m[0][:start] + _mixed(value, key, "secret") + m[0][start + len(value) :]
 
 
-#: Kinds in order of precedence: pattern and what validates and replaces a match.
+#: Kinds in order of precedence, after addresses: pattern and what validates and replaces a match.
 _KINDS = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}", _email),
     ("secret", r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?)(?P<secret>[A-Za-z0-9+/_=-]{16,})""", _secret),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip),
     ("iso_date", r"(?<![\w-])\d{4}([-/])\d{2}\1\d{2}(?![\w-])", _iso),
@@ -203,18 +241,18 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     """The text with its private values replaced, and how many there were of each kind."""
     if not _HINT.search(text):
         return text, {}
-    spans: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    spans = [(a, b, "email", _email(local, domain, key)) for a, b, local, domain in _emails(text)]
     for name, pattern, change in _FOUND:
-        if name == "email" and "@" not in text:
-            continue
+        free = sorted(spans)
+        more = []
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            i = bisect.bisect_left(free, (m.end(),))  # the first that starts at or after its end
+            if i and free[i - 1][1] > m.start():
                 continue
             new = change(m, key)
             if new is not None:
-                spans.append((m.start(), m.end(), name, new))
-                taken.append((m.start(), m.end()))
+                more.append((m.start(), m.end(), name, new))
+        spans += more
     if not spans:
         return text, {}
     out, at, kinds = [], 0, {}
@@ -225,12 +263,14 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     return "".join([*out, text[at:]]), kinds
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with text replaced, and the columns n_private and private (kind to count).
 
     Null texts stay null with no values; all other columns and repeated rows stay as they
-    are; columns of these names are replaced.
+    are; columns of these names are replaced; an empty table stays one.  A long text is
+    read whole by one task.  Without a key, that of the session's setting serves.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY.decode()).encode()
     kept = [c for c in docs.columns if c.lower() not in ("n_private", "private")]
     where = [c.lower() for c in kept].index("text")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
@@ -250,6 +290,7 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in place of what is private, and how many there are."""
     from pyspark.sql import functions as F
 
     out = pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
