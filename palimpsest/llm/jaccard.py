@@ -8,12 +8,13 @@ indexed exactly (it accounts for no difference) or with its one-deletion neighbo
 segments finds every pair if m + 2 x > H.  `allocate` takes the cheapest one: index rows
 against segments so small that unrelated sets share them.
 
-Sets that are equal are one class, found by a cryptographic digest of the sorted set.
-Classes that share an index entry are compared with the least of them ("hub") first, in
-groups of a hub and some others: first each class with the hub that it shares most
-entries with, then with its other hubs as far as the two aren't connected yet.  What
-still has unconnected classes under one entry is sorted into blocks, and two blocks are
-compared if they have such an entry in common.  A comparison is a matrix product over
+Sets that are equal are one class, found by a cryptographic digest of the sorted set.  Two sets
+differ in at least as many n-grams as their parity sketches differ in bits (each n-gram
+turns one of `BITS` bits), so most pairs that share an entry are ruled out by sketches
+alone, without losing any.  Classes are compared with the least class of each of their
+entries ("hub") first, in groups of a hub and some others.  What still has unconnected
+classes under one entry is sorted by entry into blocks; blocks find by sketches which of
+their classes may be linked, and compare those.  A comparison is a matrix product over
 the n-grams of its texts, told apart by their words' bytes; it returns a spanning forest
 of its links, not the links.  Nothing is capped: many classes under one entry give more
 blocks, not larger ones.
@@ -40,6 +41,8 @@ from .pieces import _CLASS, _WS, PieceTable, WordTable, mix, plain_table, runs,
 
 #: Classes of a block.
 BLOCK = 128
+#: Bits of a parity sketch.
+BITS = 1024
 #: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
 SAMPLE, COMMON = 20_000, 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -180,6 +183,23 @@ def signatures(items: np.ndarray, size: int, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity(items: np.ndarray) -> bytes:
+    """The parity sketch of a set: sets that differ in d elements have sketches that differ in d bits at most."""
+    odd = np.bincount((mix(items ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_be_alike(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of sizes n and sketches bits (one a row) can be alike to which others: a matrix."""
+    differ = np.bitwise_count(bits[:, None, :] ^ others[None, :, :]).sum(axis=2, dtype=np.int64)
+    n, m = n[:, None], m[None, :]
+    return (differ * (den + num) <= (n + m) * (den - num)) & (num * n <= den * m) & (num * m <= den * n)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
 def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes, and places by count, of n-grams that several documents of a sample have (docs: row, text)."""
     rows = max(1, docs.count())
@@ -215,7 +235,7 @@ def prefixes(items: np.ndarray, size: int, bands: Bands, common: tuple[np.ndarra
 
 
 def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """row, doc_id, n_shingles, k1, k2 (digest of the set) and sigs of every row of docs; sigs are prefixes if common is given."""
+    """row, doc_id, n_shingles, k1, k2 (digest of the set), bits (its sketch) and sigs of every row of docs; sigs are prefixes if common is given."""
 
     def run(parts):
         words, bands = WordTable(), Bands(num, den)
@@ -223,17 +243,18 @@ def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarra
             for lo in range(0, batch.num_rows, 512):
                 words.trim()
                 part = batch.slice(lo, 512)
-                sizes, keys, sigs = [], [], []
+                sizes, keys, bits, sigs = [], [], [], []
                 for s, size, key in shingle_sets(part.column(2), n, words):
                     sizes.append(size)
                     keys.append(key)
+                    bits.append(parity(s))
                     sigs.append(s if not size else signatures(s, size, bands) if common is None else prefixes(s, size, bands, common))
                 ends = np.r_[0, np.cumsum([len(x) for x in sigs])]
                 flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
                 k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["row", "doc_id", "n_shingles", "k1", "k2", "sigs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["row", "doc_id", "n_shingles", "k1", "k2", "bits", "sigs"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bits binary, sigs array<bigint>")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -328,12 +349,14 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     some = sets.where("n_shingles > 0")
     classes = stored(some.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("c"), F.count(F.lit(1)).alias("rows")), "classes")
     reps = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
-    entries = reps.select(F.col("row").alias("c"), F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
+    entries = reps.select(F.col("row").alias("c"), F.explode("sigs").alias("sig"))
     hubs = entries.groupBy("sig").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("sig", "hub")
     # entries of one class alone say nothing; the others with the hub of theirs
     shared = stored(entries.join(stored(hubs, "hubs"), "sig"), "shared")
     texts = docs.select(F.col("row").alias("c"), "text")
-    pairs = stored(shared.where("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("common")), "pairs")
+    sketch = sets.select(F.col("row").alias("c"), F.col("n_shingles").alias("n"), "bits")
+    pairs = shared.where("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("common"))
+    pairs = stored(_not_ruled_out(pairs, sketch, num, den), "pairs")
     best = pairs.groupBy("c").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub"))
     found = stored(_with_hubs(best, texts, n, num, den), "links")
     roots = stored(components(found), "roots")
@@ -346,10 +369,13 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
 
     # every class has met its hubs; what isn't connected under one entry meets block by block
     rest = rooted(shared.where("c <> hub"), "c", "root")
-    mixed = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("sig", "members")
-    rest = stored(rest.join(stored(mixed, "mixed"), "sig").select("c", "n", "sig", "members"), "rest")
+    marks = [F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("mark")]
+    mixed = rest.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *marks).where("lo < hi")
+    # of entries that the same classes share, one is enough
+    mixed = mixed.groupBy("members", "total", "mark").agg(F.min("sig").alias("sig")).select("sig")
+    rest = stored(rest.join(stored(mixed, "mixed"), "sig").select("c", "root", "sig"), "rest")
     if not rest.isEmpty():
-        found = found.union(_by_blocks(rest, texts, n, num, den))
+        found = found.union(_by_blocks(rest, sketch, texts, n, num, den))
         roots = stored(components(found), "roots")
 
     named = classes.where("rows > 1").join(roots, F.col("c") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("root", "c").alias("component"))
@@ -359,31 +385,60 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "root", "row").alias("component"))
 
 
-def _by_blocks(rest: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the classes of rest (c, n, sig, members) that share a sig.
+def _not_ruled_out(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (c, hub, common) that sketches (c, n, bits) don't rule out."""
+    hubs = sketch.select(F.col("c").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
+    both = pairs.join(sketch, "c").join(hubs, "hub")
 
-    Classes stand in the order of their fullest sig and of size, so that a sig lies in few
-    blocks.  Block pairs without a common sig, or too different in size, don't meet.
+    def run(parts):
+        for batch in parts:
+            table = pa.table(batch)
+            n, m = table.column("n").to_numpy(), table.column("hub_n").to_numpy()
+            differ = np.bitwise_count(_sketches(table.column("bits")) ^ _sketches(table.column("hub_bits"))).sum(axis=1, dtype=np.int64)
+            alike = (differ * (den + num) <= (n + m) * (den - num)) & (num * n <= den * m) & (num * m <= den * n)
+            yield from table.select(["c", "hub", "common"]).filter(pa.array(alike)).to_batches()
+
+    return both.select("c", "hub", "common", "n", "bits", "hub_n", "hub_bits").mapInArrow(run, "c bigint, hub bigint, common bigint")
+
+
+def _by_blocks(rest: DataFrame, sketch: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the classes of rest (c, root, sig) that share a sig.
+
+    Rows stand in the order of sig, root and size and are cut into blocks, so that a block
+    has many small sigs, or a part of a large one.  Blocks meet as far as a sig lies in
+    both, with sizes that can be alike and more than one root; pairs of different roots
+    that their sketches don't rule out are then compared, once each.
     """
-    own = rest.groupBy("c", "n").agg(F.max(F.struct("members", "sig")).alias("top"))
-    rows, parts = ranged(own.select("c", "n", F.col("top.sig").alias("top")), ["top", "n", "c"], "members")
+    rows, parts = ranged(rest.join(sketch, "c"), ["sig", "root", "n", "c"], "members")
     rows = rows.join(F.broadcast(parts.select("part", "before").coalesce(1)), "part")
-    rows = stored(rows.select("c", "n", F.floor((F.col("before") + F.col("idx")) / BLOCK).alias("block")), "blocks")
-    spans = rows.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    # a row for each sig and block, however many classes a block has there
-    places = stored(rest.join(rows, "c").select("sig", "block").distinct().join(spans, "block"), "places")
-    other = places.select("sig", F.col("block").alias("j"), F.col("least").alias("j_least"), F.col("most").alias("j_most"))
+    rows = stored(rows.select("c", "n", "bits", "root", "sig", F.floor((F.col("before") + F.col("idx")) / BLOCK).alias("block")), "blocks")
+    met = rows.groupBy("sig", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    places = stored(met, "places")
+    other = places.select("sig", *(F.col(x).alias(f"j_{x}") for x in ("block", "least", "most", "lo", "hi")))
     near = (num * F.col("least") <= den * F.col("j_most")) & (num * F.col("j_least") <= den * F.col("most"))
-    tasks = stored(places.join(other, "sig").where((F.col("block") <= F.col("j")) & near).select(F.col("block").alias("i"), "j").distinct(), "tasks")
+    apart = F.least("lo", "j_lo") < F.greatest("hi", "j_hi")
+    tasks = stored(places.join(other, "sig").where((F.col("block") <= F.col("j_block")) & near & apart).select(F.col("block").alias("i"), F.col("j_block").alias("j")).distinct(), "tasks")
     place = tasks.select(F.col("i").alias("block"), "i", "j").union(tasks.where("i <> j").select("j", "i", "j"))
-    dealt = rows.join(place, "block").join(texts, "c").select("block", "c", "i", "j", "text")
+    dealt = rows.join(place, "block")
 
-    def compare(task):
-        block, every = task.column("block").to_numpy(), np.arange(task.num_rows)
+    def candidates(task):
+        c, size, root, sig, block = (task.column(k).to_numpy() for k in ("c", "n", "root", "sig", "block"))
         i, j = task.column("i")[0].as_py(), task.column("j")[0].as_py()
-        return _forest(task, every[block == i], every[block == j], n, num, den)
-
-    return stored(dealt.groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint"), "links")
+        left, right, bits = np.flatnonzero(block == i), np.flatnonzero(block == j), _sketches(task.column("bits"))
+        alike = may_be_alike(size[left], bits[left], size[right], bits[right], num, den)
+        alike &= (sig[left][:, None] == sig[right][None, :]) & (root[left][:, None] != root[right][None, :])
+        a, b = np.nonzero(alike)
+        a, b = c[left[a]], c[right[b]]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": found[0], "b": found[1]})
+
+    open_ = stored(dealt.groupBy("i", "j").applyInArrow(candidates, "a bigint, b bigint").distinct(), "open")
+    # of each pair, the class with more partners is the hub of a group
+    partners = open_.select("a").union(open_.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
+    both = salted_join(salted_join(open_, partners, ["a"], "b"), partners.select(F.col("a").alias("b"), F.col("partners").alias("others")), ["b"], "a")
+    first = F.struct("partners", "a") > F.struct("others", "b")
+    pairs = both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"))
+    return stored(_with_hubs(stored(pairs, "open"), texts, n, num, den), "links")
 
 
 def _numbered(docs: DataFrame, name: str = "row") -> DataFrame:
