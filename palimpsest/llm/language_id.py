@@ -4,8 +4,10 @@ A text is its character 1- to 3-grams, hashed into `DIMS` counts (square roots,
 length).  One linear support vector machine for each language family tells it from the
 others; within a family, one for each pair of its languages votes.  The machines are
 trained in parallel, each in a task of its own, on a bounded sample of labelled rows:
-at most `PER_LANG` rows a language and `MOST_LANGS` languages, the most frequent ones.
-Their number and size depend on the languages, not on the corpus.
+at most `PER_LANG` rows a language for a pair, and for a family, which all languages
+enter, as many of them as keep it at `FAMILY_ROWS` rows in all (one a language at least).
+Every language in the labels is learned; machines and driver memory grow with the number
+of languages (some 32 kB a machine), not with the corpus.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from .common import stored, table
 from .pieces import mix
 
 DIMS = 1 << 13
-PER_LANG = 400
-MOST_LANGS = 60
+PER_LANG, FAMILY_ROWS = 400, 12_000
+#: Characters that are turned into features at a time, and rows.
+CHARS, ROWS = 1 << 19, 64
 
 #: Families of common languages by ISO 639-1 code (fixed values); others stand alone.
 FAMILIES = {
@@ -58,18 +61,8 @@ def _letters() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def features(texts: list[str | None]) -> np.ndarray:
-    """Unit feature rows (float32) of the texts; all zero without letters."""
-    if not _table:
-        _table.append(_letters())
-    lower = [(t or "").lower() for t in texts]
-    joined = "\0".join(["", *lower, ""])
-    codes = _table[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    sizes = np.array([len(t) + 1 for t in lower], np.int64)
-    of = np.r_[0, np.repeat(np.arange(len(texts)), sizes)]
-    keep = np.r_[True, (codes[1:] > 0) | (codes[:-1] > 0)]  # one space between words
-    codes, of = codes[keep].astype(np.uint64), of[keep]
-    out = np.zeros((len(texts), DIMS), np.float32)
+def _grams(codes: np.ndarray, of: np.ndarray, fresh: int, out: np.ndarray) -> None:
+    """Add to out the grams of codes (rows `of`) that end at or after place `fresh`."""
     for n in (1, 2, 3):
         if len(codes) < n:
             continue
@@ -80,8 +73,44 @@ def features(texts: list[str | None]) -> np.ndarray:
             gram = gram * np.uint64(0x1F7D5F9B) + part
             letters |= part > 0
         same = (of[: len(gram)] == of[n - 1 :]) & letters
+        same[: max(0, fresh - n + 1)] = False
         spot = (mix(gram[same]) & np.uint64(DIMS - 1)).astype(np.int64)
         out += np.bincount(of[: len(gram)][same] * DIMS + spot, minlength=out.size).reshape(out.shape)
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """Unit feature rows (float32) of the texts; all zero without letters.
+
+    Texts are read in slices of about CHARS characters, so a long one takes no more memory.
+    """
+    if not _table:
+        _table.append(_letters())
+    out = np.zeros((len(texts), DIMS), np.float32)
+    at = 0
+    while at < len(texts):
+        group, size = [at], len(texts[at] or "")
+        while group[-1] + 1 < len(texts) and size + len(texts[group[-1] + 1] or "") <= CHARS:
+            group.append(group[-1] + 1)
+            size += len(texts[group[-1]] or "")
+        # the last character read, and the last two kept, go on into the next slice of a long text
+        before, kept, rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        here = np.zeros((len(group), DIMS), np.float32)
+        for lo in range(0, max(1, size) if len(group) == 1 else 1, CHARS):
+            parts = [(texts[i] or "").lower() if len(group) > 1 else (texts[i] or "")[lo : lo + CHARS].lower() for i in group]
+            # a space before and after each text, so that what stands beside it tells nothing
+            first, end = "\0" * (lo == 0), "\0" * (lo + CHARS >= size)
+            joined = "".join(f"{first}{p}{end}" for p in parts)
+            codes = _table[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+            of = np.repeat(np.arange(len(group)), [len(p) + len(first) + len(end) for p in parts])
+            last = np.r_[before, codes[:-1]] if lo else np.r_[np.uint64(1), codes[:-1]]
+            keep = (codes > 0) | (last > 0) | (np.r_[-1, of[:-1]] != of if lo == 0 else False)  # one space between words
+            before = codes[-1:] if len(codes) else before
+            fresh = len(kept)
+            kept, rows = np.r_[kept, codes[keep]], np.r_[rows, of[keep]]
+            _grams(kept, rows, fresh, here)
+            kept, rows = kept[-2:], rows[-2:]
+        out[group] = here
+        at = group[-1] + 1
     np.sqrt(out, out=out)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)
@@ -103,14 +132,15 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -
     return w
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> DataFrame:
-    """At most per_lang rows (text, lang) of each of the most frequent languages, by hash."""
+def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """At most per_lang rows (text, lang, k) of each language, by hash; k numbers those of a language from 1."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
-    rows = labelled.withColumn("h", F.xxhash64("doc_id", "text", F.lit(3))).join(F.broadcast(counts), "lang")
+    counts = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # a row a language: its true size decides the join
+    rows = labelled.withColumn("h", F.xxhash64("doc_id", "text", F.lit(3))).join(counts, "lang")
     # thinned by hash first, so that the window below sees about twice the rows it keeps
     thin = rows.where(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), 2.0 * per_lang / F.col("n")) * (1 << 40))
-    return thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_lang).select("text", "lang")
+    return thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_lang).select("text", "lang", "k")
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG) -> list[dict]:
@@ -123,11 +153,11 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> list[dict]:
 
     def vectors(parts):
         for batch in parts:
-            for lo in range(0, batch.num_rows, 64):
-                x = features(batch.column(0).slice(lo, 64).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float16)]), batch.column(1).slice(lo, 64)], ["x", "lang"])
+            for lo in range(0, batch.num_rows, ROWS):
+                x = features(batch.column(0).slice(lo, ROWS).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float16)]), *(batch.column(c).slice(lo, ROWS) for c in (1, 2))], ["x", "lang", "k"])
 
-    rows = stored(sample(labelled, per_lang).mapInArrow(vectors, "x binary, lang string"), "language-sample")
+    rows = stored(sample(labelled, per_lang).mapInArrow(vectors, "x binary, lang string, k int"), "language-sample")
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     families = sorted({family(c) for c in langs})
     jobs = [("family", f, "", c, 1.0 if family(c) == f else -1.0) for f in families for c in langs if len(families) > 1]
@@ -145,8 +175,10 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG) -> list[dict]:
         first = group.slice(0, 1)
         return pa.table({"kind": first.column("kind"), "a": first.column("a"), "b": first.column("b"), "w": pa.array([w.astype(np.float32).tobytes()]), "scale": pa.array([scale], pa.float64())})
 
-    fitted = rows.join(F.broadcast(wanted), "lang").groupBy("kind", "a", "b").applyInArrow(fit, "kind string, a string, b string, w binary, scale double")
-    # a row a machine: bounded by most_langs
+    of_family = (F.col("kind") == "pair") | (F.col("k") <= max(1, FAMILY_ROWS // len(langs)))
+    # the machines and their languages: their true size decides the join
+    fitted = rows.join(stored(wanted, "machines"), "lang").where(of_family).groupBy("kind", "a", "b").applyInArrow(fit, "kind string, a string, b string, w binary, scale double")
+    # a row a machine: bounded by the languages
     return [r.asDict() for r in fitted.collect()] + [{"kind": "only", "a": c, "b": "", "w": b""} for c in langs]
 
 
@@ -158,7 +190,10 @@ def classify(docs: DataFrame, machines: list[dict], keep: tuple[str, ...] = ("do
     """keep columns, lang_pred and score of every row of docs, from its text alone.
 
     `und` with score 0 where the text is null or has no letters, or nothing was learned.
+    Repeated rows get one answer each; an empty table gives no rows; other columns are
+    left out; a kept column called lang_pred or score makes way for the new one.
     """
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score"))
     langs = sorted(m["a"] for m in machines if m["kind"] == "only")
     families = sorted({family(c) for c in langs})
     weights = lambda kind: {(m["a"], m["b"]): (np.frombuffer(m["w"], np.float32), m["scale"]) for m in machines if m["kind"] == kind}
@@ -194,8 +229,8 @@ def classify(docs: DataFrame, machines: list[dict], keep: tuple[str, ...] = ("do
 
     def run(parts):
         for batch in parts:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
                 x = features(part.column(len(keep)).to_pylist())
                 known = x.any(axis=1)
                 pred, score = predict(x) if langs else (np.zeros(len(x), np.int64), np.zeros(len(x)))
@@ -211,6 +246,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     machines = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return classify(docs, machines).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
