@@ -8,8 +8,9 @@ of their 64-bit digests goes into three tables of cells; a cell holds how many d
 fell into it, their exclusive or, and the exclusive or of their check values.  The
 sketches of two versions subtract cell by cell, so what both share is gone; cells that
 hold one digest are peeled until nothing is left, which gives every differing digest.
-If cells stay, the pair is tried again with larger tables, at last with blocks of
-digests in tables of their own, so that the work grows with the number of paragraphs.
+If cells stay, the pair is tried again with larger tables, as wide as the two texts have
+paragraphs and then wider.  These are held as sorted lists of the cells in use, so that
+the work grows with the number of paragraphs alone.
 
 Likeness: shared paragraphs / all paragraphs of both texts.  DataFrame expressions only.
 """
@@ -23,11 +24,10 @@ from .common import table
 
 #: Cells of one table of the base sketch, which is the fingerprint.
 BASE = 6
-#: Cells of one table at the second try, and of each block at the third and fourth.
-SECOND, THIRD, FOURTH = 24, 32, 64
-#: Digests of both texts that a block holds on average.
-BLOCK = 24
-_ROUNDS = 16
+#: Cells of one table of later tries, for each digest of both texts, and at least.
+WIDER, LEAST = (1, 4, 32), 16
+#: Rounds of peeling; a table of these widths is empty, or stuck, after ten or so.
+_ROUNDS = 64
 #: Line ends, and sentence ends: full stops of scripts that set no space after them cut by themselves.
 _CUTS = r"[\r\n]+|(?<=[.!?\u2026\u061f\u06d4\u0589\u1362][\"')\]\u2019\u201d\u00bb]{0,2})[ \t\u00a0]+|(?<=[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u17d4\u104b\u0f0d])"
 #: After a space, or a character of a script without spaces.
@@ -42,7 +42,7 @@ def paragraphs(text: Column) -> Column:
     cut = lambda p: F.split(F.regexp_replace(F.array_join(F.transform(F.split(p, _UNITS), marked), ""), f"([^\n]{{{PART}}})", "$1\n"), "\n")
     whole = F.split(text, _CUTS)
     parts = F.flatten(F.transform(whole, lambda p: F.when(F.length(p) > LONG, cut(p)).otherwise(F.array(p))))
-    parts = F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -55,67 +55,73 @@ def _check(digest: Column) -> Column:
     return F.hash(digest, F.lit(11))
 
 
-def _spots(digest: Column, width: Column) -> list[Column]:
-    """Its cell in each table; tables lie one after the other."""
-    return [(F.pmod(F.xxhash64(digest, F.lit(t)), width.cast("long")) + width * t).cast("int") for t in range(3)]
+def _spread(digests: Column, sign: Column, width: Column) -> Column:
+    """The cells (i, n, k, c) that digests fall into, three for each; tables lie one after the other."""
+    cell = lambda d, t: F.struct((F.pmod(F.xxhash64(d, F.lit(t)), width) + width * t).alias("i"), sign.alias("n"), d.alias("k"), _check(d).alias("c"))
+    return F.flatten(F.transform(digests, lambda d: F.array(*(cell(d, t) for t in range(3)))))
 
 
-def sketch(digests: Column, width: Column) -> Column:
-    """array<struct<n, k, c>> of 3 * width cells."""
-    spread = F.transform(digests, lambda d: F.struct(d.alias("k"), _check(d).alias("c"), *(s.alias(f"s{t}") for t, s in enumerate(_spots(d, width)))))
+def _merged(cells: Column) -> Column:
+    """Cells (i, n, k, c) in order of i, those of one place as one; cells that nothing is left in are gone."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("c"))
+    both = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["c"].bitwiseXOR(x["c"]).alias("c"))
+    one = lambda g: F.struct(g[0]["i"].alias("i"), F.aggregate(g, empty, both).alias("v"))
 
-    def cell(items: Column, i: Column) -> Column:
-        here = lambda q: (q["s0"] == i) | (q["s1"] == i) | (q["s2"] == i)
-        return F.aggregate(F.filter(items, here), empty, lambda a, q: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(q["c"]).alias("c")))
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j)["i"] != F.get(s, j - 1)["i"]))
+        return _bind(heads, lambda h: F.transform(h, lambda at, q: _bind(F.slice(s, at + 1, F.coalesce(F.get(h, q + 1), F.size(s)) - at), one)))
 
-    return _bind(spread, lambda items: F.transform(F.sequence(F.lit(0), width * 3 - 1), lambda i: cell(items, i)))
+    flat = lambda x: F.struct(x["i"].alias("i"), x["v"]["n"].alias("n"), x["v"]["k"].alias("k"), x["v"]["c"].alias("c"))
+    used = lambda x: (x["v"]["n"] != 0) | (x["v"]["k"] != 0) | (x["v"]["c"] != 0)
+    return F.when(F.size(cells) == 0, cells).otherwise(_bind(F.array_sort(cells), lambda s: F.transform(F.filter(runs(s), used), flat)))
+
+
+def sketch(digests: Column) -> Column:
+    """The base sketch: array<struct<n, k, c>> of 3 * BASE cells."""
+    width = F.lit(BASE).cast("long")
+    empty = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("c"))
+    dense = lambda cells: F.transform(F.sequence(F.lit(0), F.lit(3 * BASE - 1)), lambda i: F.coalesce(F.get(F.filter(cells, lambda x: x["i"] == i), F.lit(0)), empty))
+    return F.transform(_bind(_merged(_spread(digests, F.lit(1), width)), dense), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    """The cells in use of the difference of two base sketches."""
+    cells = F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    placed = F.transform(cells, lambda x, i: F.struct(i.cast("long").alias("i"), x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
+    return F.filter(placed, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
 
 
 def peel(cells: Column, width: Column) -> Column:
     """How many digests the difference holds; null if cells are left that can't be peeled."""
 
-    def single(x: Column) -> Column:
-        return (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))
+    def single(all_cells: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(all_cells, lambda x: (x["n"] == n) & (x["c"] == _check(x["k"]))), lambda x: x["k"]))
 
-    def taken(all_cells: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(all_cells, single), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *(s.alias(f"s{t}") for t, s in enumerate(_spots(x["k"], width))))))
+    def turn(state: Column, _: Column) -> Column:
+        found = F.struct(single(state["cells"], 1).alias("more"), single(state["cells"], -1).alias("less"))
 
-    def without(all_cells: Column, found: Column) -> Column:
-        here = lambda q, i: (q["s0"] == i) | (q["s1"] == i) | (q["s2"] == i)
-        return F.transform(all_cells, lambda x, i: F.aggregate(F.filter(found, lambda q: here(q, i)), F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")), lambda a, q: F.struct((a["n"] - q["n"]).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(q["c"]).alias("c"))))
+        def without(f: Column) -> Column:
+            n = F.size(f["more"]) + F.size(f["less"])
+            taken = F.concat(state["cells"], _spread(f["more"], F.lit(-1), width), _spread(f["less"], F.lit(1), width))
+            return F.struct(F.when(n == 0, state["cells"]).otherwise(_merged(taken)).alias("cells"), (state["found"] + n).alias("found"), (n > 0).alias("open"))
 
-    def turn(state: Column, _: Column) -> Column:
-        step = lambda found: F.struct(F.when(F.size(found) == 0, state["cells"]).otherwise(without(state["cells"], found)).alias("cells"), (state["found"] + F.size(found)).alias("found"))
-        return F.when(state["open"], _bind(taken(state["cells"]), lambda found: _bind(step(found), lambda s: F.struct(s["cells"].alias("cells"), s["found"].alias("found"), (F.size(found) > 0).alias("open"))))).otherwise(state)
+        return F.when(state["open"], _bind(found, without)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("open"))
-    rest = lambda s: F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, turn, lambda s: F.when(~rest(s), s["found"]))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), (F.size(cells) > 0).alias("open"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, turn, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
-def _blocks(a: Column, b: Column, width: int) -> Column:
-    """The count over blocks of digests; null if any block can't be peeled."""
-    n = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / BLOCK).cast("int"))
-    w = F.lit(width)
-    part = lambda p, i: F.filter(p, lambda d: F.pmod(F.xxhash64(d, F.lit(17)), n) == i)
-    one = lambda i: peel(subtract(sketch(part(a, i), w), sketch(part(b, i), w)), w)
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, i: total + one(i))
+def _wider(a: Column, b: Column, times: int) -> Column:
+    width = F.greatest(F.lit(LEAST), F.lit(times) * (F.size(a) + F.size(b))).cast("long")
+    return _bind(width, lambda w: peel(_merged(F.concat(_spread(a, F.lit(1), w), _spread(b, F.lit(-1), w))), w))
 
 
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     """Number of digests in one of a and b, from ever larger sketches."""
-    second = F.lit(SECOND)
     return F.coalesce(
-        peel(subtract(base_a, base_b), F.lit(BASE)),
-        F.when(F.size(a) + F.size(b) <= 4 * SECOND, peel(subtract(sketch(a, second), sketch(b, second)), second)),
-        _blocks(a, b, THIRD),
-        _blocks(a, b, FOURTH),
-        # two digests in the same three cells: not to be told apart by any peeling
+        peel(subtract(base_a, base_b), F.lit(BASE).cast("long")),
+        *(_wider(a, b, times) for times in WIDER),
+        # two digests in the same three cells of every try: not to be told apart by peeling
         F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)),
     )
 
@@ -131,11 +137,12 @@ def as_text(cells: Column) -> Column:
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row in descending doc_id, round at the end.
+    """doc_id, text, digests and next (text, digests): those of the next row in descending doc_id, round at the end.
 
     Rows are dealt to ranges of doc_id; each range also gets the first row of the range
     below, so a window over one range finds every next row and no range is read twice.
-    Null doc_ids come last, ties in descending order of a hash of the text.
+    Null doc_ids come last, ties in descending order of a hash of the text; all rows of
+    one doc_id, or without one, are in one range.
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -150,13 +157,15 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     above = {tops[i]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
     guests = spark.createDataFrame([(r, i, t, to) for (r, i, t), to in above.items()], "range int, id long, top long, host int") if tops else None
     if guests is None:
-        return base.withColumn("next_text", F.lit(None).cast("string"))
+        return base.withColumns({"digests": F.lit(None).cast("array<bigint>"), "next": F.struct("text", F.lit(None).cast("array<bigint>").alias("digests"))})
     same = (F.col("r.range") == F.col("g.range")) & (F.coalesce("r.doc_id", F.lit(-(1 << 63))) == F.col("g.id")) & (F.col("r.tie") == F.col("g.top"))
     met = ranged.alias("r").join(F.broadcast(guests.coalesce(1)).alias("g"), same, "left")
     places = F.array_compact(F.array(F.struct(F.col("r.range").alias("range"), F.lit(False).alias("guest")), F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("range"), F.lit(True).alias("guest")))))
-    spread = met.select("doc_id", "text", "tie", F.explode(places).alias("place")).select("doc_id", "text", "tie", "place.range", "place.guest")
+    # digests are made once a text, before it is dealt
+    made = met.select("doc_id", "text", "tie", paragraphs(F.col("text")).alias("digests"), places.alias("places"))
+    spread = made.select("doc_id", "text", "tie", "digests", F.explode("places").alias("place")).select("doc_id", "text", "tie", "digests", "place.range", "place.guest")
     window = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    return spread.withColumn("next_text", F.lead("text").over(window)).where(~F.col("guest")).select("doc_id", "text", "next_text")
+    return spread.withColumn("next", F.lead(F.struct("text", "digests")).over(window)).where(~F.col("guest")).select("doc_id", "text", "digests", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -164,14 +173,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n / 2) characters replaced by the first as many of
     the next text.  Null texts are empty; an empty text has no paragraphs, and two such
-    texts are alike (1.0); repeated rows give a row each; other columns are left out.
+    texts are alike (1.0); repeated rows give a row each; an empty table gives none; other
+    columns are left out, whatever their names.  A text's digests stand in one array, so a
+    text may have as many paragraphs as fit one value (some ten million).
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next_text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(paragraphs(F.col(c)).alias(p) for c, p in (("text", "pa"), ("edited", "pe"), ("next_text", "pn"))))
-    w = F.lit(BASE)
-    rows = rows.select("*", sketch(F.col("pa"), w).alias("sa"), sketch(F.col("pe"), w).alias("se"), sketch(F.col("pn"), w).alias("sn"))
+    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next.text", F.lit(1), half)))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("digests").alias("pa"), paragraphs(F.col("edited")).alias("pe"), F.col("next.digests").alias("pn"))
+    rows = rows.select("*", *(sketch(F.col(p)).alias(k) for p, k in (("pa", "sa"), ("pe", "se"), ("pn", "sn"))))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -184,4 +194,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op5_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of all documents and of their edited texts, and their likeness."""
     return fingerprints(table(spark, sf_dir, "documents"))
