@@ -11,8 +11,11 @@ a longer token replaces shorter ones); the count of a part is the sum along its
 A text is read in chunks.  A chunk's state map sends any entry state to an exit state
 and a count; as the automaton returns to its start state at every certain boundary,
 the map is (bytes before the first boundary, count between the boundaries, bytes after
-the last).  Such maps compose associatively, so the chunks of one text are counted in
-parallel and their maps are then combined in order of the chunks.
+the last).  Boundaries are certain where letters, digits and other characters meet, in
+any script.  Such maps compose associatively, so the chunks of one text are counted in
+parallel and their maps are composed in a tree: each level composes `FAN` neighbours in
+tasks of their own.  A stretch without any boundary (a run of letters alone) has no
+shorter map than itself, and is counted by the task that composes its ends.
 """
 
 from __future__ import annotations
@@ -30,11 +33,15 @@ from .pieces import PieceTable, byte_letters, runs, split
 
 #: Characters of a chunk; texts beyond it are counted chunk by chunk.
 CHUNK = 1 << 16
+#: Maps of neighbours that one task composes.
+FAN = 16
 #: States kept by a worker; beyond them the compilation starts anew.
 STATES = 150_000
 
 #: How byte-level tokenizers split text before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Where parts of that pattern always end: between letters, digits and other characters, apostrophes aside.
+BOUNDARY = regex.compile(r"(?<=\p{L})(?=[^\p{L}\s'])|(?<=\p{N})(?=[^\p{N}\s'])|(?<=[^\p{L}\p{N}\s'])(?=[\p{L}\p{N}])")
 
 
 class Transducer:
@@ -171,10 +178,15 @@ class Transducer:
     def chunk_map(self, raw: bytes) -> tuple[bytes, int, bytes | None]:
         """(head, count, tail): head up to the first boundary, tail from the last; tail None without one."""
         cuts = split(np.frombuffer(raw, np.uint8), np.zeros(0, np.int64), raw) if raw else np.zeros(0, np.int64)
-        if not len(cuts):
+        if len(cuts):
+            first, last = int(cuts[0]), int(cuts[-1])
+            return raw[:first], int(self._spans(raw[first:last], np.zeros(1, np.int64))[1].sum()), raw[last:]
+        text = raw.decode()
+        at = [m.start() for m in BOUNDARY.finditer(text)]
+        if not at:
             return raw, 0, None
-        first, last = int(cuts[0]), int(cuts[-1])
-        return raw[:first], int(self._spans(raw[first:last], np.zeros(1, np.int64))[1].sum()), raw[last:]
+        inner = sum(self.count_part(x.encode()) for x in regex.findall(PATTERN, text[at[0] : at[-1]]))
+        return text[: at[0]].encode(), inner, text[at[-1] :].encode()
 
     def compose(self, left: tuple, right: tuple) -> tuple:
         """The map of two neighbouring chunks, from the maps of each."""
@@ -202,42 +214,58 @@ def transducer(path: str) -> Transducer:
     return _transducers[path]
 
 
+_MAP = "row long, seg int, k long, head binary, inner long, tail binary"
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text).
+    """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id long, text).
 
     Null texts count as empty, null doc_ids stay null, repeated rows give a row each, an
-    empty table gives none; other columns are left out, whatever their names.
+    empty table gives none; other columns are left out, whatever their names.  Texts over
+    `chunk` characters are cut at special strings and into chunks; counts don't depend on it.
     """
-    special = json.load(open(tokenizer, encoding="utf-8"))["added_tokens"]
+    special = [t["content"] for t in json.load(open(tokenizer, encoding="utf-8"))["added_tokens"]]
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    # chunks of one text must not cut a special string, so texts that hold one stay whole
-    marked = F.lit(False)
-    for t in special:
-        marked = marked | F.col("text").contains(t["content"])
-    long_ = (F.length("text") > chunk) & ~marked
+    long_ = F.length("text") > chunk
     plain = _count(base.where(~long_), tokenizer)
     numbered = stored(base.where(long_).withColumn("row", F.monotonically_increasing_id()), "long-texts")
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int")))
-    chunks = numbered.select("row", "doc_id", "n_bytes", at.alias("k"), "text").select("row", "doc_id", "n_bytes", "k", F.substr("text", F.col("k") * chunk + 1, F.lit(chunk)).alias("text"))
+    # a special string is one token, and bounds what is beside it; the longer of two goes first
+    marks = "|".join(f"\\Q{t}\\E" for t in sorted(special, key=len, reverse=True))
+    parts = F.split("text", marks) if special else F.array("text")
+    segments = numbered.select("row", F.posexplode(parts).alias("seg", "text"))
+    at = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / chunk)))
+    chunks = segments.select("row", "seg", F.explode(at).alias("k"), "text").select("row", "seg", "k", F.substr("text", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk)).alias("text"))
 
     def maps(parts):
         machine = transducer(tokenizer)
         for batch in parts:
             got = [machine.chunk_map(t.encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_bytes", "k")), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["row", "doc_id", "n_bytes", "k", "head", "inner", "tail"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "seg", "k")), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["row", "seg", "k", "head", "inner", "tail"])
 
-    mapped = chunks.repartition(F.col("row"), F.col("k")).mapInArrow(maps, "row long, doc_id long, n_bytes long, k int, head binary, inner long, tail binary")
-
-    def combine(of_text):
-        """All maps of one text: as many rows as its chunks, each of a few bytes beside its count."""
-        machine, rows = transducer(tokenizer), of_text.sort_by("k").to_pylist()
+    def compose(neighbours):
+        machine, rows = transducer(tokenizer), neighbours.sort_by("k").to_pylist()
         whole = (rows[0]["head"], rows[0]["inner"], rows[0]["tail"])
         for r in rows[1:]:
             whole = machine.compose(whole, (r["head"], r["inner"], r["tail"]))
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "n_bytes": pa.array([rows[0]["n_bytes"]], pa.int64()), "n_tokens": pa.array([machine.finish(whole)], pa.int64())})
+        first = rows[0]
+        return pa.table({"row": [first["row"]], "seg": pa.array([first["seg"]], pa.int32()), "k": [first["k"] // FAN], "head": pa.array([whole[0]], pa.binary()), "inner": [whole[1]], "tail": pa.array([whole[2]], pa.binary())})
+
+    mapped = chunks.repartition("row", "seg", "k").mapInArrow(maps, _MAP)
+    # as many levels as the longest text needs
+    most = -(-(numbered.agg(F.max(F.length("text"))).first()[0] or 0) // chunk)
+    while most > 1:
+        mapped = stored(mapped, "maps").groupBy("row", "seg", F.floor(F.col("k") / FAN)).applyInArrow(compose, _MAP)
+        most = -(-most // FAN)
+
+    def finish(parts):
+        machine = transducer(tokenizer)
+        for batch in parts:
+            n = [machine.finish((r["head"], r["inner"], r["tail"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64())], ["row", "n"])
 
-    composed = mapped.groupBy("row").applyInArrow(combine, "doc_id long, n_bytes long, n_tokens long")
+    counted = mapped.mapInArrow(finish, "row long, n long").groupBy("row").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("n_tokens"))
+    composed = numbered.join(counted, "row").select("doc_id", "n_bytes", "n_tokens")
     return plain.union(composed).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
@@ -254,6 +282,7 @@ def _count(base: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, and which have more than 512 tokens."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
