@@ -13,6 +13,7 @@ from palimpsest.functions.text import (
     quantities,
     strip_revision_noise,
 )
+from palimpsest.sources.durable import written
 
 #: Least likeness of a removed and an added line in the same gap that makes them one rewritten line.
 REWRITTEN = 0.45
@@ -33,7 +34,7 @@ def line_changes(old: DataFrame, new: DataFrame, least: float = REWRITTEN) -> Da
     at = Window.partitionBy("doc_id", "key").orderBy("line_no")
     a = _lines(old).withColumn("k", F.row_number().over(at)).select("doc_id", "key", "k", F.col("line_no").alias("old_no"), F.col("line").alias("old_line"))
     b = _lines(new).withColumn("k", F.row_number().over(at)).select("doc_id", "key", "k", F.col("line_no").alias("new_no"), F.col("line").alias("new_line"))
-    both = a.join(b, ["doc_id", "key", "k"], "full_outer")
+    both = written(a.join(b, ["doc_id", "key", "k"], "full_outer"), "mates")
 
     def left_over(side: str) -> DataFrame:
         order = Window.partitionBy("doc_id").orderBy(f"{side}_no")
@@ -58,18 +59,25 @@ def change_counts(changes: DataFrame) -> DataFrame:
 
 
 def summary_quota(changes: DataFrame, quota: dict[str, int]) -> DataFrame:
-    """The first changes of each kind in order of document and line, as many as its quota."""
+    """The first changes of each kind of a document in order of line, as many as its quota."""
     most = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in quota.items()], F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("doc_id", F.when(F.col("kind") == "added", F.col("new_no")).otherwise(F.col("old_no"))))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(F.when(F.col("kind") == "added", F.col("new_no")).otherwise(F.col("old_no"))))
     # the constant bound lets each task keep no more than the largest quota before the shuffle
     return changes.withColumn("rank", rank).where(F.col("rank") <= max(quota.values())).where(F.col("rank") <= most)
 
 
 def absorbed_out(changes: DataFrame, least: int = 15) -> DataFrame:
-    """changes without removed lines that a modified line of the same document contains."""
-    removed = changes.where(f"kind = 'removed' and length(old_line) >= {least}").select("doc_id", "old_no", "old_line")
-    modified = changes.where("kind = 'modified'").select("doc_id", F.col("old_line").alias("o"), F.col("new_line").alias("n"))
-    inside = removed.join(modified, "doc_id").where(F.contains("o", "old_line") | F.contains("n", "old_line")).select("doc_id", "old_no").distinct()
+    """changes without removed lines that a modified line of the same document contains.
+
+    A removed line has `least` characters or more, so lines meet by its first `least` ones,
+    which the modified line must have at some place.
+    """
+    changes = written(changes, "changes")
+    removed = changes.where(f"kind = 'removed' and length(old_line) >= {least}").select("doc_id", "old_no", "old_line", F.left("old_line", F.lit(least)).alias("start"))
+    both = changes.where("kind = 'modified'").select("doc_id", F.explode(F.array("old_line", "new_line")).alias("host")).where(F.length("host") >= least)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("host") - (least - 1)), lambda i: F.substring("host", i, F.lit(least))))
+    modified = both.select("doc_id", "host", F.explode(starts).alias("start"))
+    inside = removed.join(modified, ["doc_id", "start"]).where(F.contains("host", "old_line")).select("doc_id", "old_no").distinct()
     gone = inside.withColumn("kind", F.lit("removed"))
     return changes.join(gone, ["doc_id", "old_no", "kind"], "left_anti").select(*changes.columns)
 

@@ -120,6 +120,7 @@ def parse_status(docs: DataFrame) -> DataFrame:
 
 
 def ranked_issues(docs: DataFrame, most: int = 20) -> DataFrame:
-    """The `most` issues to look at first: high risk before low, then by document, line and kind."""
+    """The `most` issues of each document to look at first: high risk before low, then by line and kind."""
     high = F.when(F.col("risk") == "high", 0).otherwise(1)
-    return parse_issues(docs).orderBy(high, "doc_id", "line_no", "kind").limit(most)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(high, "line_no", "kind"))
+    return parse_issues(docs).withColumn("place", place).where(F.col("place") <= most).drop("place")

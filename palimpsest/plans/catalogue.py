@@ -26,7 +26,7 @@ def _search(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    return paragraphs.exact_pairs(docs.where("source = 'src1'"), docs.where("source = 'src2'"))
+    return paragraphs.exact_pairs(docs, _second(docs))
 
 
 def _hits(spark, sf_dir, k):
@@ -115,7 +115,7 @@ QUERIES: dict = {
     "search_active_only": _active_hits,
     "greedy_match_vectors": _greedy,
     "conflict_pairs_scored": _conflicts,
-    "added_removed_paragraphs": lambda s, d: paragraphs.unmatched_lines(*(_documents(s, d).where(f"source = '{x}'") for x in ("src1", "src2"))),
+    "added_removed_paragraphs": lambda s, d: paragraphs.unmatched_lines(_documents(s, d), _second(_documents(s, d))),
     "duplicate_adjacent_lines": lambda s, d: paragraphs.repeated_neighbours(_documents(s, d)),
     "neighbor_context": lambda s, d: paragraphs.line_context(_documents(s, d)),
     "parse_qa_issues": lambda s, d: paragraphs.parse_issues(_documents(s, d)),
@@ -171,10 +171,6 @@ from (select *, row_number() over (partition by query_id order by round(score, 9
     "strip_repeated_lines": f"""with {_REPEATED}
 select doc_id, cast(row_number() over (partition by doc_id order by line_no) as int) as paragraph_no, line
 from placed p where not exists (select 1 from repeated r where r.doc_id = p.doc_id and r.line = p.line)""",
-    "exact_pairs_multiset": f"""with {_LINES},
-o as (select l.*, row_number() over (partition by l.line order by l.doc_id, l.line_no) as k from lines l join documents d using (doc_id) where d.source = 'src1' and trim(l.line) <> ''),
-n as (select l.*, row_number() over (partition by l.line order by l.doc_id, l.line_no) as k from lines l join documents d using (doc_id) where d.source = 'src2' and trim(l.line) <> '')
-select o.line, o.doc_id as old_doc, o.line_no as old_line, n.doc_id as new_doc, n.line_no as new_line from o join n on o.line = n.line and o.k = n.k""",
     "chapter_forward_fill": f"""with {_LINES}
 select doc_id, line_no, coalesce(last_value(case when length(line) <= 20 and line like '%.' then line end ignore nulls)
   over (partition by doc_id order by line_no rows between unbounded preceding and current row), '') as chapter from lines""",
@@ -231,18 +227,19 @@ t as (select query_id, vec_id, r, source, trim(text) as t, list_distinct(list_tr
 p as (select a.query_id, a.vec_id as id_a, b.vec_id as id_b, len(list_intersect(a.g, b.g)) / greatest(len(list_distinct(list_concat(a.g, b.g))), 1) as likeness
 from t a join t b on a.query_id = b.query_id and a.r < b.r and a.source is distinct from b.source and a.t <> b.t)
 select query_id, id_a, id_b, round(likeness, 6) as likeness from p where likeness > 0.2 and likeness < 0.95""",
-    "added_removed_paragraphs": f"""with {_LINES}, c as (select line, count(*) filter (where d.source = 'src2') - count(*) filter (where d.source = 'src1') as d
-from lines l join documents d using (doc_id) where trim(line) <> '' and d.source in ('src1', 'src2') group by line)
+    "exact_pairs_multiset": f"""with {_CHANGED}, r as (select *, row_number() over (partition by side, line order by doc_id, no) as c from vlines)
+select o.line, o.doc_id as old_doc, o.no as old_line, n.doc_id as new_doc, n.no as new_line from r o join r n on o.side = 'old' and n.side = 'new' and o.line = n.line and o.c = n.c""",
+    "added_removed_paragraphs": f"""with {_CHANGED}, c as (select line, count(*) filter (where side = 'new') - count(*) filter (where side = 'old') as d from vlines group by line)
 select line, case when d > 0 then 'added' else 'removed' end as kind, abs(d) as n from c where d <> 0""",
     "duplicate_adjacent_lines": f"with {_ODD} select doc_id, line_no from again",
     "neighbor_context": f"with {_LINES} select doc_id, line_no, string_agg(line, chr(10)) over (partition by doc_id order by line_no rows between 2 preceding and 2 following) as context from lines",
     "parse_qa_issues": f"with {_ODD} select doc_id, line_no, kind, risk from issues",
     "parse_qa_status": f"""with {_ODD}, c as (select doc_id, count(*) as n_issues, count(*) filter (where risk = 'high') as n_high from issues group by doc_id)
 select doc_id, coalesce(n_issues, 0) as n_issues, coalesce(n_high, 0) as n_high, case when n_high > 0 then 'failed' when n_issues > 0 then 'review' else 'ok' end as status from documents left join c using (doc_id)""",
-    "llm_candidate_ranking": f"with {_ODD} select doc_id, line_no, kind, risk from issues order by case when risk = 'high' then 0 else 1 end, doc_id, line_no, kind limit 20",
+    "llm_candidate_ranking": f"with {_ODD} select doc_id, line_no, kind, risk from issues qualify row_number() over (partition by doc_id order by case when risk = 'high' then 0 else 1 end, line_no, kind) <= 20",
     "version_compare": f"with {_CHANGED} select * from changes",
     "change_kind_counts": f"with {_CHANGED} select kind, count(*) as n from changes group by kind",
-    "summary_quota": f"""with {_CHANGED} select doc_id, kind, old_no, new_no, cast(r as int) as rank from (select *, row_number() over (partition by kind order by doc_id, case when kind = 'added' then new_no else old_no end) as r from changes)
+    "summary_quota": f"""with {_CHANGED} select doc_id, kind, old_no, new_no, cast(r as int) as rank from (select *, row_number() over (partition by doc_id, kind order by case when kind = 'added' then new_no else old_no end) as r from changes)
 where r <= case kind when 'modified' then 20 else 5 end""",
     "absorbed_passages": f"""with {_CHANGED} select c.* from changes c where not (kind = 'removed' and length(old_line) >= 15 and exists (
 select 1 from changes m where m.kind = 'modified' and m.doc_id = c.doc_id and (contains(m.old_line, c.old_line) or contains(m.new_line, c.old_line))))""",

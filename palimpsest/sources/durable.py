@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """df as a Parquet table under spark.checkpoint.dir; a temporary folder only where all is one machine (tests)."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-palimpsest-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    top = top or "file://" + tempfile.mkdtemp(prefix="spark-palimpsest-")
     path = f"{top}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
