@@ -51,6 +51,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def repair_decimals(text: Column) -> Column:
+    """Decimals that extraction tore apart: `28. 55` and, before a unit, `57 10. 万`."""
+    joined = F.regexp_replace(text, r"(\d)\.\s+(\d)", "$1.$2")
+    return F.regexp_replace(joined, r"(\d+)\s+(\d+)\.(\s*(?:万|亿|％|%|吨|米|公里))", "$1.$2$3")
+
+
 def quantities(text: Column) -> Column:
     """Numbers with a unit, in order, white space removed first."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")

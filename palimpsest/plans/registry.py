@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import catalogue, review
+from palimpsest.plans import catalogue, inventory, review
 
-QUERIES = catalogue.QUERIES | review.QUERIES
-ORACLES = catalogue.ORACLES | review.ORACLES
+QUERIES = catalogue.QUERIES | review.QUERIES | inventory.QUERIES
+ORACLES = catalogue.ORACLES | review.ORACLES | inventory.ORACLES
 FLAGSHIP = "semantic_search_topk"
