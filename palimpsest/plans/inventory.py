@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import repair_decimals
-from palimpsest.operators import layout, lifecycle, paragraphs
+from palimpsest.operators import continued, layout, lifecycle, pairing, paragraphs
 from palimpsest.plans import catalogue as base
 
 
@@ -90,7 +90,27 @@ def _cells(spark, sf_dir):
     return rows.select("c_custkey", layout.row_markdown(columns).alias("line"), layout.is_sparse(F.array(*map(layout.cell, columns))).alias("sparse"))
 
 
+def _same_content(spark, sf_dir):
+    # the second version numbers its lines and breaks some of them apart
+    lines = _lines(spark, sf_dir).select("doc_id", F.lit("1").alias("chapter"), F.col("line_no").alias("no"), F.col("line").alias("text"))
+    new = lines.withColumn("text", F.when(F.col("no") % 3 == 0, F.concat(F.lit("3.1、"), "text")).when(F.col("no") % 3 == 1, F.concat(F.lit("。"), F.upper("text"), F.lit("。 more"))).otherwise(F.reverse("text")))
+    return pairing.same_content(lines, new).drop("chapter")
+
+
+def _joined_tables(spark, sf_dir):
+    # orders of a customer as parts of tables, some with a repeated header and some on a page far off
+    parts = base._orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 11).alias("page")).agg(F.array_sort(F.collect_list(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))).alias("body"))
+    head = F.array(F.lit("key"), F.lit("status"), F.lit("priority"))
+    rows = F.when((F.col("doc_id") + F.col("page")) % 2 == 0, F.concat(F.array(head), "body")).otherwise(F.col("body"))
+    share = lambda k: (F.col("page") % k / k).cast("double")
+    parts = parts.select("doc_id", "page", F.lit(0).cast("long").alias("pos"), F.when(F.col("page") % 4 == 0, "3.1").otherwise("").alias("chapter"), share(5).alias("top"), share(3).alias("bottom"), rows.alias("rows"))
+    out = continued.joined(parts)
+    return out.select("doc_id", "table_no", "page", "page_end", "chapter", F.size("rows").alias("n_rows"), F.array_join(F.flatten("rows"), "|").alias("cells"))
+
+
 QUERIES: dict = {
+    "same_content_pairs": _same_content,
+    "tables_over_pages": _joined_tables,
     "markdown_blocks": _markdown,
     "parser_routes": lambda s, d: layout.routes(_pages(s, d)).withColumns({c: F.round(c, 6) for c in ("avg_text", "avg_tables")}),
     "reading_order": _order,
