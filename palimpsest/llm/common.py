@@ -69,6 +69,18 @@ def salted_join(rows: DataFrame, named: DataFrame, keys: list[str], spread: str)
     return left.join(right, [*keys, salt], "left").drop(salt)
 
 
+#: Rows of a table that is sent to every task: with some 400 bytes a row, 20 MB.
+SMALL = 50_000
+
+
+def by_group(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """rows joined with groups (few rows a key): sent out if they are counted to be few, else rows of a key are dealt to SALTS tasks."""
+    if groups.count() <= SMALL:
+        return rows.join(F.broadcast(groups), keys)
+    mark = hidden(groups, "met")
+    return salted_join(rows, groups.withColumn(mark, F.lit(True)), keys, spread).where(F.col(mark)).drop(mark)
+
+
 def ranged(df: DataFrame, by: list, name: str = "ranged") -> tuple[DataFrame, DataFrame]:
     """df range-sorted by the columns `by` and stored, with (part, idx); and parts: part, rows, before.
 

@@ -42,7 +42,7 @@ from .pieces import _CLASS, _WS, PieceTable, WordTable, mix, plain_table, runs,
 #: Classes of a block.
 BLOCK = 128
 #: Bits of a parity sketch.
-BITS = 1024
+BITS = 512
 #: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
 SAMPLE, COMMON = 20_000, 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -311,7 +311,7 @@ def _forest(table: pa.Table, left: np.ndarray, right: np.ndarray, n: int, num: i
     forest = []
     if len(left) and len(right):
         if not _words:  # one table for each worker process, kept over groups
-            _words.append(plain_table(1 << 18))
+            _words.append(plain_table())
         texts = table.column("text").cast(pa.large_string()).combine_chunks()
         forest = _roots(len(texts), *links(exact_sets(texts, n, _words[0]), left, right, num, den))
     c = table.column("c").to_numpy()

@@ -260,8 +260,8 @@ class PieceTable:
 class WordTable(PieceTable):
     """Words to 128-bit digests (blake2b); entries tell words apart by their bytes."""
 
-    def __init__(self, bound: int = 1 << 20):
-        super().__init__(self._digests, bound)
+    def __init__(self, bound: int = 1 << 17):
+        super().__init__(self._digests, bound, 1 << 23)
 
     @staticmethod
     def _digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,9 +273,9 @@ class WordTable(PieceTable):
         return self.values[: 4 * self.n].view(np.uint64).reshape(-1, 2)[entry]
 
 
-def plain_table(bound: int = 1 << 20) -> PieceTable:
+def plain_table(bound: int = 1 << 17) -> PieceTable:
     """Entries of spans, without values."""
-    return PieceTable(lambda pieces: (np.zeros(0, np.int32), np.zeros(len(pieces), np.int32)), bound)
+    return PieceTable(lambda pieces: (np.zeros(0, np.int32), np.zeros(len(pieces), np.int32)), bound, 1 << 23)
 
 
 def same_windows(entry: np.ndarray, n: int) -> np.ndarray:

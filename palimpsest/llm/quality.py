@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hidden, salted_join, stored, table
+from .common import SMALL, by_group, hidden, salted_join, stored, table
 from .pieces import PieceTable, plain_table, runs, same_windows
 
 #: Rows that the estimate of the level above counts for.
@@ -206,13 +206,12 @@ def _sums(rows: DataFrame) -> DataFrame:
 def _concentrated(rows: DataFrame, est: DataFrame, kept: Column) -> DataFrame:
     """One concentration step: est of the part `kept` of each group's rows (g, x) nearest to est (g, s)."""
     d = F.greatest(_distance(), F.lit(1e-12))
-    far = rows.join(est.select("g", "s", *_M, *_I), "g").select("g", "s", *_X, F.floor(F.log2(d) * FINE).cast("int").alias("class"))
+    far = by_group(rows, est.select("g", "s", *_M, *_I), ["g"], "x0").select("g", "s", *_X, F.floor(F.log2(d) * FINE).cast("int").alias("class"))
     classes = far.groupBy("g", "s", "class").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("g", "s").orderBy("class")
     marked = classes.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("g", "s"))})
-    # stored, so that its true size decides the join
     most = stored(marked.where(F.col("upto") - F.col("n") < F.ceil(kept * F.col("all"))).groupBy("g", "s").agg(F.max("class").alias("most")), "nearest")
-    return _estimates(_sums(far.join(most, ["g", "s"]).where(F.col("class") <= F.col("most"))))
+    return _estimates(_sums(by_group(far, most, ["g", "s"], "x0").where(F.col("class") <= F.col("most"))))
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
@@ -274,7 +273,11 @@ def robust_verdicts(stats: DataFrame) -> DataFrame:
     moments = est.select("g", *_M, *_C)
     langs = _drawn(langs.join(moments, "g"), moments, "a")
     drawn = stored(_inverted(_drawn(sizes.join(moments, "g"), langs, "l")), "drawn")
-    out = salted_join(scored, drawn, ["g"], "spread").withColumn("distance", _distance())
+    if drawn.count() <= SMALL:
+        out = scored.join(F.broadcast(drawn), "g", "left")
+    else:
+        out = salted_join(scored, drawn, ["g"], "spread")
+    out = out.withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(dist <= CUT, F.lit(False))
     return out.select("row.*", "base_failed", "distance", kept.alias("kept"))
 
