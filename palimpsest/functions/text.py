@@ -41,8 +41,10 @@ def citations(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct character pairs; none for shorter texts."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(F.length(text) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    # characters are taken apart once, as a substring counts its way from the start
+    chars = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    pairs = F.transform(chars, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y)))
+    return F.when(F.length(text) >= 2, F.array_distinct(pairs[0])).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Vector search: exact cosine top-k of queries against a whole library, in blocks."""
+"""Vector search: exact cosine top-k of queries against a whole library, block against block."""
 
 from __future__ import annotations
 
@@ -7,48 +7,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.durable import written
+#: Library rows of a block, and queries of one.
+BLOCK, QUERY_BLOCK = 1024, 256
 
-#: Library rows that one block of queries is compared with at a time.
-BLOCK = 4096
-#: Queries of one pass over the library; a block of them is sent to every task, so its size is fixed.
-QUERY_BLOCK = 20_000
+
+def _blocks(rows: DataFrame, side: str, size: int) -> DataFrame:
+    """Blocks of at most `size` unit vectors of one length: {side}_dim, {side}_ids and {side}_vectors; null vectors are left out."""
+
+    def run(parts):
+        for batch in parts:
+            held: dict[int, list] = {}
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if v is not None and None not in v and i is not None:
+                    held.setdefault(len(v), []).append((i, v))
+            for dim, found in held.items():
+                for lo in range(0, len(found), size):
+                    part = found[lo : lo + size]
+                    x = np.array([v for _, v in part], np.float64).reshape(len(part), dim)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    ids = np.array([i for i, _ in part], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([x.tobytes()])], [f"{side}_dim", f"{side}_ids", f"{side}_vectors"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(run, f"{side}_dim int, {side}_ids binary, {side}_vectors binary")
 
 
 def top_k(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, rank (from 1) and score of the k nearest library rows of each query.
 
-    Queries go in blocks of QUERY_BLOCK, each one pass over the library; with more than
-    one block the hits of each are stored.  A task keeps k rows for each query and batch;
-    the final ranking sees those alone.  Ties go to the smaller vec_id; vectors of length
-    0 have score 0.
+    Every block of queries meets every block of the library; both stay tables, and Spark
+    sends the smaller one out only if it is small.  A pair of blocks keeps k rows for each
+    query; the final ranking sees those alone.  Ties go to the smaller vec_id; vectors of
+    length 0 have score 0; null vectors, and those of another dimension, meet nothing.
     """
-    found, block = None, []
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        if len(block) == QUERY_BLOCK:
-            hits = written(_nearest(library, block, k), "hits")
-            found, block = (hits if found is None else found.unionByName(hits)), []
-        block.append(r)
-    last = _nearest(library, block, k)
-    return last if found is None else found.unionByName(last)
-
-
-def _nearest(library: DataFrame, rows: list, k: int) -> DataFrame:
-    """top_k of one block of query rows."""
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    names = [r["vec_id"] for r in rows]
-    asked = unit(np.array([r["embedding"] for r in rows], np.float64)) if rows else np.zeros((0, 1))
+    met = _blocks(library, "l", BLOCK).crossJoin(_blocks(queries, "q", QUERY_BLOCK)).where("l_dim = q_dim")
 
     def run(parts):
         for batch in parts:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
-                ids = part.column(0).to_numpy()
-                scores = asked @ unit(np.array(part.column(1).to_pylist(), np.float64)).T if len(names) else np.zeros((0, len(ids)))
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
+            for dim, li, lv, qi, qv in zip(*(batch.column(c).to_pylist() for c in ("l_dim", "l_ids", "l_vectors", "q_ids", "q_vectors")), strict=True):
+                ids, names = np.frombuffer(li, np.int64), np.frombuffer(qi, np.int64)
+                scores = np.frombuffer(qv, np.float64).reshape(len(names), dim) @ np.frombuffer(lv, np.float64).reshape(len(ids), dim).T
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)))[:, :k]
                 q = np.repeat(np.arange(len(names)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.int64()), pa.array(ids[best.ravel()], pa.int64()), pa.array(scores[q, best.ravel()], pa.float64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[best.ravel()]), pa.array(scores[q, best.ravel()])], ["query_id", "vec_id", "score"])
 
-    near = library.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    near = met.select("l_dim", "l_ids", "l_vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
