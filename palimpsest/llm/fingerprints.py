@@ -8,9 +8,10 @@ of their 64-bit digests goes into three tables of cells; a cell holds how many d
 fell into it, their exclusive or, and the exclusive or of their check values.  The
 sketches of two versions subtract cell by cell, so what both share is gone; cells that
 hold one digest are peeled until nothing is left, which gives every differing digest.
-If cells stay, the pair is tried again with larger tables, as wide as the two texts have
-paragraphs and then wider.  These are held as sorted lists of the cells in use, so that
-the work grows with the number of paragraphs alone.
+If cells stay, the pair is tried again with larger tables: up to DENSE paragraphs with
+blocks of them in small tables of their own, which is faster there, and then with tables
+as wide as the two texts have paragraphs, and wider.  These are held as sorted lists of the
+cells in use, so that the work grows with the number of paragraphs alone.
 
 Likeness: shared paragraphs / all paragraphs of both texts.  DataFrame expressions only.
 """
@@ -24,6 +25,10 @@ from .common import table
 
 #: Cells of one table of the base sketch, which is the fingerprint.
 BASE = 6
+#: Cells of one table at the second try, and of each block of about BLOCK digests at the third.
+SECOND, THIRD, BLOCK = 24, 32, 24
+#: Digests of both texts up to which these tries are made, as they take time with their square.
+DENSE = 800
 #: Cells of one table of later tries, for each digest of both texts, and at least.
 WIDER, LEAST = (1, 4, 32), 16
 #: Rounds of peeling; a table of these widths is empty, or stuck, after ten or so.
@@ -76,24 +81,61 @@ def _merged(cells: Column) -> Column:
     return F.when(F.size(cells) == 0, cells).otherwise(_bind(F.array_sort(cells), lambda s: F.transform(F.filter(runs(s), used), flat)))
 
 
-def sketch(digests: Column) -> Column:
-    """The base sketch: array<struct<n, k, c>> of 3 * BASE cells."""
-    width = F.lit(BASE).cast("long")
-    empty = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("c"))
-    dense = lambda cells: F.transform(F.sequence(F.lit(0), F.lit(3 * BASE - 1)), lambda i: F.coalesce(F.get(F.filter(cells, lambda x: x["i"] == i), F.lit(0)), empty))
-    return F.transform(_bind(_merged(_spread(digests, F.lit(1), width)), dense), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
+def _spots(digest: Column, width: Column) -> list[Column]:
+    """Its cell in each table; tables lie one after the other."""
+    return [(F.pmod(F.xxhash64(digest, F.lit(t)), width.cast("long")) + width * t).cast("int") for t in range(3)]
+
+
+def sketch(digests: Column, width: Column) -> Column:
+    """array<struct<n, k, c>> of 3 * width cells."""
+    spread = F.transform(digests, lambda d: F.struct(d.alias("k"), _check(d).alias("c"), *(s.alias(f"s{t}") for t, s in enumerate(_spots(d, width)))))
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("c"))
+
+    def cell(items: Column, i: Column) -> Column:
+        here = lambda q: (q["s0"] == i) | (q["s1"] == i) | (q["s2"] == i)
+        return F.aggregate(F.filter(items, here), empty, lambda a, q: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(q["c"]).alias("c")))
+
+    return _bind(spread, lambda items: F.transform(F.sequence(F.lit(0), width * 3 - 1), lambda i: cell(items, i)))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """The cells in use of the difference of two base sketches."""
-    cells = F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
-    placed = F.transform(cells, lambda x, i: F.struct(i.cast("long").alias("i"), x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")))
-    return F.filter(placed, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0))
+    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
 def peel(cells: Column, width: Column) -> Column:
     """How many digests the difference holds; null if cells are left that can't be peeled."""
 
+    def single(x: Column) -> Column:
+        return (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))
+
+    def taken(all_cells: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(all_cells, single), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *(s.alias(f"s{t}") for t, s in enumerate(_spots(x["k"], width))))))
+
+    def without(all_cells: Column, found: Column) -> Column:
+        here = lambda q, i: (q["s0"] == i) | (q["s1"] == i) | (q["s2"] == i)
+        return F.transform(all_cells, lambda x, i: F.aggregate(F.filter(found, lambda q: here(q, i)), F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c")), lambda a, q: F.struct((a["n"] - q["n"]).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(q["c"]).alias("c"))))
+
+    def turn(state: Column, _: Column) -> Column:
+        step = lambda found: F.struct(F.when(F.size(found) == 0, state["cells"]).otherwise(without(state["cells"], found)).alias("cells"), (state["found"] + F.size(found)).alias("found"))
+        return F.when(state["open"], _bind(taken(state["cells"]), lambda found: _bind(step(found), lambda s: F.struct(s["cells"].alias("cells"), s["found"].alias("found"), (F.size(found) > 0).alias("open"))))).otherwise(state)
+
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("open"))
+    rest = lambda s: F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, turn, lambda s: F.when(~rest(s), s["found"]))
+
+
+def _blocks(a: Column, b: Column, width: int) -> Column:
+    """The count over blocks of digests; null if any block can't be peeled."""
+    n = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / BLOCK).cast("int"))
+    w = F.lit(width)
+    part = lambda p, i: F.filter(p, lambda d: F.pmod(F.xxhash64(d, F.lit(17)), n) == i)
+    one = lambda i: peel(subtract(sketch(part(a, i), w), sketch(part(b, i), w)), w)
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, i: total + one(i))
+
+
+def peel_list(cells: Column, width: Column) -> Column:
+    """How many digests the difference holds; null if cells are left that can't be peeled."""
+
     def single(all_cells: Column, n: int) -> Column:
         return F.array_distinct(F.transform(F.filter(all_cells, lambda x: (x["n"] == n) & (x["c"] == _check(x["k"]))), lambda x: x["k"]))
 
@@ -113,13 +155,16 @@ def peel(cells: Column, width: Column) -> Column:
 
 def _wider(a: Column, b: Column, times: int) -> Column:
     width = F.greatest(F.lit(LEAST), F.lit(times) * (F.size(a) + F.size(b))).cast("long")
-    return _bind(width, lambda w: peel(_merged(F.concat(_spread(a, F.lit(1), w), _spread(b, F.lit(-1), w))), w))
+    return _bind(width, lambda w: peel_list(_merged(F.concat(_spread(a, F.lit(1), w), _spread(b, F.lit(-1), w))), w))
 
 
 def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     """Number of digests in one of a and b, from ever larger sketches."""
+    second, size = F.lit(SECOND), F.size(a) + F.size(b)
     return F.coalesce(
-        peel(subtract(base_a, base_b), F.lit(BASE).cast("long")),
+        peel(subtract(base_a, base_b), F.lit(BASE)),
+        F.when(size <= 4 * SECOND, peel(subtract(sketch(a, second), sketch(b, second)), second)),
+        F.when(size <= DENSE, _blocks(a, b, THIRD)),
         *(_wider(a, b, times) for times in WIDER),
         # two digests in the same three cells of every try: not to be told apart by peeling
         F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)),
@@ -181,7 +226,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next.text", F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("digests").alias("pa"), paragraphs(F.col("edited")).alias("pe"), F.col("next.digests").alias("pn"))
-    rows = rows.select("*", *(sketch(F.col(p)).alias(k) for p, k in (("pa", "sa"), ("pe", "se"), ("pn", "sn"))))
+    rows = rows.select("*", *(sketch(F.col(p), F.lit(BASE)).alias(k) for p, k in (("pa", "sa"), ("pe", "se"), ("pn", "sn"))))
     return rows.select(
         "doc_id",
         "n_chars",
