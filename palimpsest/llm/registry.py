@@ -8,6 +8,7 @@ from .jaccard import op4_jaccard_join
 from .language_id import op3_language_id
 from .mixing import op8_mixing
 from .packing import op2_best_fit_packing
+from .periodic import op12_periodic_runs
 from .pii import op1_feistel_pseudonyms
 from .quality import op10_robust_quality
 from .token_counts import op6_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_ids": op9_token_ids,
     "op10_robust_quality": op10_robust_quality,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: The other operators are held against brute force in tests/llm.
