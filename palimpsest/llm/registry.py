@@ -6,6 +6,7 @@ from . import mixing, url_reputation
 from .fingerprints import op5_lookup_sketches
 from .jaccard import op4_jaccard_join
 from .language_id import op3_language_id
+from .licenses import op13_license_scan
 from .mixing import op8_mixing
 from .packing import op2_best_fit_packing
 from .periodic import op12_periodic_runs
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_robust_quality": op10_robust_quality,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_license_scan": op13_license_scan,
 }
 
 #: The other operators are held against brute force in tests/llm.
