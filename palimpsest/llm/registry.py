@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, url_reputation
+from .conversations import op11_conversation_repair
 from .fingerprints import op5_lookup_sketches
 from .jaccard import op4_jaccard_join
 from .language_id import op3_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_ids": op9_token_ids,
     "op10_robust_quality": op10_robust_quality,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_license_scan": op13_license_scan,
 }
