@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import catalogue, inventory, review
+from palimpsest.plans import catalogue, compare, inventory, review
 
-QUERIES = catalogue.QUERIES | review.QUERIES | inventory.QUERIES
-ORACLES = catalogue.ORACLES | review.ORACLES | inventory.ORACLES
+QUERIES = catalogue.QUERIES | review.QUERIES | inventory.QUERIES | compare.QUERIES
+ORACLES = catalogue.ORACLES | review.ORACLES | inventory.ORACLES | compare.ORACLES
 FLAGSHIP = "semantic_search_topk"
