@@ -33,10 +33,11 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(shown, SPACES, " "))
 
 
-def content_key(text: Column, item_numbers: bool = True) -> Column:
-    """What two paragraphs of the same content share: no white space, case or, if asked, numbers of items."""
+def content_key(text: Column, item_numbers: bool = True, fold: bool = True) -> Column:
+    """What two paragraphs of the same content share: no white space and, if asked, no case or numbers of items."""
     bare = F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), ZERO_WIDTH, ""), SPACES, "")
-    return F.lower(bare if item_numbers else F.regexp_replace(bare, NUMBERED_ITEM, "$1"))
+    key = bare if item_numbers else F.regexp_replace(bare, NUMBERED_ITEM, "$1")
+    return F.lower(key) if fold else key
 
 
 def has_sentences(longer: Column, shorter: Column) -> Column:

@@ -47,6 +47,12 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(text) >= 2, F.array_distinct(pairs[0])).otherwise(F.array().cast("array<string>"))
 
 
+def window_hashes(text: Column, size: int) -> Column:
+    """Distinct hashes of all windows of `size` characters, in time linear in the text."""
+    windows = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(windows, lambda w: F.xxhash64(w)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays taken as sets; 0 if either is empty."""
     shared = F.size(F.array_intersect(a, b))

@@ -7,50 +7,40 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import (
     TRACKING_HINTS,
-    bigrams,
-    jaccard,
-    match_key,
     quantities,
     strip_revision_noise,
+    window_hashes,
 )
+from palimpsest.operators.pair_chain import left_over, paragraph_pairs, rewritten_pairs
 from palimpsest.sources.durable import written
 
-#: Least likeness of a removed and an added line in the same gap that makes them one rewritten line.
+#: Least likeness of a removed and an added line that makes them one rewritten line.
 REWRITTEN = 0.45
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.where(F.trim("line") != "").withColumn("key", match_key(F.col("line")))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "text"))
+    return lines.where(F.trim("text") != "").withColumn("chapter", F.lit(""))
 
 
 def line_changes(old: DataFrame, new: DataFrame, least: float = REWRITTEN) -> DataFrame:
     """doc_id, kind (added, removed, modified), old_no, new_no, old_line, new_line of what differs.
 
-    A missing line has number -1 and a null text.  Within a document the k-th copy of a line meets the k-th copy in the other version.
-    What is left is dealt to gaps, by the last paired line before it; the i-th removed and
-    the i-th added line of a gap are one modified line if their character pairs are alike.
+    A missing line has number -1 and a null text.  Lines of a document pair in stages
+    (`pair_chain.paragraph_pairs`); of what is left, removed and added lines whose
+    character pairs are alike by `least` are one modified line, the most alike first.
     """
-    at = Window.partitionBy("doc_id", "key").orderBy("line_no")
-    a = _lines(old).withColumn("k", F.row_number().over(at)).select("doc_id", "key", "k", F.col("line_no").alias("old_no"), F.col("line").alias("old_line"))
-    b = _lines(new).withColumn("k", F.row_number().over(at)).select("doc_id", "key", "k", F.col("line_no").alias("new_no"), F.col("line").alias("new_line"))
-    both = written(a.join(b, ["doc_id", "key", "k"], "full_outer"), "mates")
-
-    def left_over(side: str) -> DataFrame:
-        order = Window.partitionBy("doc_id").orderBy(f"{side}_no")
-        paired = F.when(F.col("old_no").isNotNull() & F.col("new_no").isNotNull(), F.col("old_no"))
-        gap = both.where(f"{side}_no is not null").withColumn("gap", F.coalesce(F.last(paired, ignorenulls=True).over(order), F.lit(-1)))
-        alone = gap.where("old_no is null or new_no is null")
-        return alone.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "gap").orderBy(f"{side}_no"))).select("doc_id", "gap", "i", f"{side}_no", f"{side}_line")
-
-    met = left_over("old").join(left_over("new"), ["doc_id", "gap", "i"], "full_outer")
-    alike = F.col("old_no").isNotNull() & F.col("new_no").isNotNull() & (jaccard(bigrams(F.col("old_line")), bigrams(F.col("new_line"))) >= least)
+    a, b = written(_lines(old), "old-lines"), written(_lines(new), "new-lines")
+    paired = written(paragraph_pairs(a, b), "pairs")
+    gone, come = written(left_over(a, paired, "a"), "gone"), written(left_over(b, paired, "b"), "come")
+    again = written(rewritten_pairs(gone, come, least), "rewritten")
     no, nothing = F.lit(-1), F.lit(None).cast("string")
-    one = F.struct(F.lit("modified").alias("kind"), "old_no", "new_no", "old_line", "new_line")
-    gone = F.struct(F.lit("removed").alias("kind"), "old_no", no.alias("new_no"), "old_line", nothing.alias("new_line"))
-    came = F.struct(F.lit("added").alias("kind"), no.alias("old_no"), "new_no", nothing.alias("old_line"), "new_line")
-    rows = F.when(alike, F.array(one)).otherwise(F.filter(F.array(gone, came), lambda x: (x.old_no >= 0) | (x.new_no >= 0)))
-    return met.select("doc_id", F.explode(rows).alias("c")).select("doc_id", "c.*")
+    both = paired.where("stage <> 'equal'").select("doc_id", "a", "b").unionByName(again.select("doc_id", "a", "b"))
+    one = both.join(a.select("doc_id", F.col("no").alias("a"), F.col("text").alias("old_line")), ["doc_id", "a"]).join(b.select("doc_id", F.col("no").alias("b"), F.col("text").alias("new_line")), ["doc_id", "b"])
+    modified = one.select("doc_id", F.lit("modified").alias("kind"), F.col("a").cast("int").alias("old_no"), F.col("b").cast("int").alias("new_no"), "old_line", "new_line")
+    removed = left_over(gone, again, "a").select("doc_id", F.lit("removed").alias("kind"), F.col("no").alias("old_no"), no.alias("new_no"), F.col("text").alias("old_line"), nothing.alias("new_line"))
+    added = left_over(come, again, "b").select("doc_id", F.lit("added").alias("kind"), no.alias("old_no"), F.col("no").alias("new_no"), nothing.alias("old_line"), F.col("text").alias("new_line"))
+    return modified.unionByName(removed).unionByName(added)
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
@@ -69,16 +59,18 @@ def summary_quota(changes: DataFrame, quota: dict[str, int]) -> DataFrame:
 def absorbed_out(changes: DataFrame, least: int = 15) -> DataFrame:
     """changes without removed lines that a modified line of the same document contains.
 
-    A removed line has `least` characters or more, so lines meet by its first `least` ones,
-    which the modified line must have at some place.
+    A removed line has `least` characters or more, so it meets a modified line by the hash
+    of its first `least` ones, which that line must have at some place; texts are compared
+    where hashes meet.
     """
     changes = written(changes, "changes")
-    removed = changes.where(f"kind = 'removed' and length(old_line) >= {least}").select("doc_id", "old_no", "old_line", F.left("old_line", F.lit(least)).alias("start"))
-    both = changes.where("kind = 'modified'").select("doc_id", F.explode(F.array("old_line", "new_line")).alias("host")).where(F.length("host") >= least)
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("host") - (least - 1)), lambda i: F.substring("host", i, F.lit(least))))
-    modified = both.select("doc_id", "host", F.explode(starts).alias("start"))
-    inside = removed.join(modified, ["doc_id", "start"]).where(F.contains("host", "old_line")).select("doc_id", "old_no").distinct()
-    gone = inside.withColumn("kind", F.lit("removed"))
+    removed = changes.where(f"kind = 'removed' and length(old_line) >= {least}").select("doc_id", "old_no", "old_line")
+    modified = changes.where("kind = 'modified'").select("doc_id", F.col("old_no").alias("host"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("old_line").alias("text")), F.struct(F.lit(1).alias("side"), F.col("new_line").alias("text")))).alias("v"))
+    modified = modified.select("doc_id", "host", "v.side", "v.text")
+    windows = modified.select("doc_id", "host", "side", F.explode(window_hashes(F.col("text"), least)).alias("start"))
+    met = removed.select("doc_id", "old_no", F.xxhash64(F.left("old_line", F.lit(least))).alias("start")).join(windows, ["doc_id", "start"])
+    both = met.select("doc_id", "old_no", "host", "side").join(removed, ["doc_id", "old_no"]).join(modified, ["doc_id", "host", "side"])
+    gone = both.where(F.contains("text", "old_line")).select("doc_id", "old_no", F.lit("removed").alias("kind")).distinct()
     return changes.join(gone, ["doc_id", "old_no", "kind"], "left_anti").select(*changes.columns)
 
 

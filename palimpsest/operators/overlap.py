@@ -20,15 +20,44 @@ def _texts(docs: DataFrame, side: str) -> DataFrame:
     return once.withColumn("grams", bigrams(F.col("line"))).withColumn("side", F.lit(side))
 
 
+def _alike(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """doc_id, old_no, new_no, likeness (`least` or more) of rows (doc_id, no, grams) of one document.
+
+    Two rows meet only if they share one of their rarest grams, at places that leave room
+    for enough shared ones: of two sets of a and b grams with similarity t, at least
+    t / (1 + t) * (a + b) are shared, and each has one of them among its first
+    size - ceil(t * size) + 1 in any common order.
+    """
+    sides = old.select("doc_id", "no", "grams", F.lit("old").alias("side")).unionByName(new.select("doc_id", "no", "grams", F.lit("new").alias("side")))
+    grams = sides.select("doc_id", "side", "no", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    common = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("uses"))
+    rare = grams.join(common, ["doc_id", "gram"]).groupBy("doc_id", "side", "no", "size").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("g"))
+    # the small term keeps a product such as 0.55 * 20 from being taken for more than it is
+    kept = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
+    heads = written(rare.select("doc_id", "side", "no", "size", F.posexplode(F.slice("g.gram", F.lit(1), kept)).alias("at", "gram")), "heads")
+    x = heads.where("side = 'old'").select("doc_id", "gram", F.col("no").alias("old_no"), F.col("size").alias("sa"), F.col("at").alias("ia"))
+    y = heads.where("side = 'new'").select("doc_id", "gram", F.col("no").alias("new_no"), F.col("size").alias("sb"), F.col("at").alias("ib"))
+    room = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= (F.col("sa") + F.col("sb")) * (least / (1 + least)) - 1e-9
+    near = (F.col("sb") >= F.col("sa") * least - 1e-9) & (F.col("sa") >= F.col("sb") * least - 1e-9)
+    pairs = x.join(y, ["doc_id", "gram"]).where(near & room).select("doc_id", "old_no", "new_no").distinct()
+    one = old.select("doc_id", F.col("no").alias("old_no"), F.col("grams").alias("ga"))
+    two = new.select("doc_id", F.col("no").alias("new_no"), F.col("grams").alias("gb"))
+    scored = pairs.join(one, ["doc_id", "old_no"]).join(two, ["doc_id", "new_no"]).withColumn("likeness", jaccard(F.col("ga"), F.col("gb")))
+    return scored.where(F.col("likeness") >= least).select("doc_id", "old_no", "new_no", "likeness")
+
+
+def alike_pairs(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """doc_id, old_no, new_no, likeness of paragraphs (doc_id, no, text) of one document whose character pairs have a Jaccard similarity of `least` or more."""
+    rows = lambda d, name: written(d.select("doc_id", "no", bigrams(F.col("text")).alias("grams")).where(F.size("grams") > 0), name)
+    return _alike(rows(old, "old-grams"), rows(new, "new-grams"), least)
+
+
 def best_partners(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, line, n (copies), new_line, likeness of every different line of the old version.
 
     likeness is the Jaccard similarity of character pairs with the most alike line of the
     new version (the earliest of equals); 0 and a null new_line if none has `least`.
-    Lines with the same pairs meet in a hash join.  The others meet only if they share one
-    of their rarest pairs, at places that leave room for enough shared ones: of two sets
-    of a and b pairs with similarity t, at least t / (1 + t) * (a + b) are shared, and
-    each has one of them among its first size - ceil(t * size) + 1 in any common order.
+    Lines with the same pairs meet in a hash join, the others by `_alike`.
     """
     a, b = written(_texts(old, "old"), "old-lines"), written(_texts(new, "new"), "new-lines")
     same = lambda d: d.withColumn("key", F.sha2(F.array_join(F.array_sort("grams"), "\x1f"), 256))
@@ -38,21 +67,8 @@ def best_partners(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFra
     rest = written(met.where("m is null").select("doc_id", "no", "line", "n", "grams"), "other-lines")
     # only documents that still have a line to place
     there = b.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-    sides = rest.select("doc_id", "no", "grams", F.lit("old").alias("side")).unionByName(there.select("doc_id", "no", "grams", "side"))
-    grams = sides.select("doc_id", "side", "no", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    common = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("uses"))
-    rare = grams.join(common, ["doc_id", "gram"]).groupBy("doc_id", "side", "no", "size").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("g"))
-    # the small term keeps a product such as 0.55 * 20 from being taken for more than it is
-    kept = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
-    heads = written(rare.select("doc_id", "side", "no", "size", F.posexplode(F.slice("g.gram", F.lit(1), kept)).alias("at", "gram")), "heads")
-    x = heads.where("side = 'old'").select("doc_id", "gram", F.col("no").alias("old_no"), F.col("size").alias("sa"), F.col("at").alias("ia"))
-    y = heads.where("side = 'new'").select("doc_id", "gram", F.col("no").alias("new_no"), F.col("size").alias("sb"), F.col("at").alias("ib"))
-    room = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= (F.col("sa") + F.col("sb")) * (least / (1 + least)) - 1e-9
-    near = (F.col("sb") >= F.col("sa") * least - 1e-9) & (F.col("sa") >= F.col("sb") * least - 1e-9)
-    pairs = x.join(y, ["doc_id", "gram"]).where(near & room).select("doc_id", "old_no", "new_no").distinct()
-    one = rest.select("doc_id", F.col("no").alias("old_no"), F.col("grams").alias("ga"))
-    two = there.select("doc_id", F.col("no").alias("new_no"), F.col("grams").alias("gb"), F.col("line").alias("new_line"))
-    scored = pairs.join(one, ["doc_id", "old_no"]).join(two, ["doc_id", "new_no"]).withColumn("likeness", jaccard(F.col("ga"), F.col("gb"))).where(F.col("likeness") >= least)
+    two = there.select("doc_id", F.col("no").alias("new_no"), F.col("line").alias("new_line"))
+    scored = _alike(rest, there, least).join(two, ["doc_id", "new_no"])
     best = scored.groupBy("doc_id", "old_no").agg(F.max(F.struct("likeness", (-F.col("new_no")).alias("o"), "new_line")).alias("m"))
     placed = rest.select("doc_id", F.col("no").alias("old_no"), "line", "n").join(best, ["doc_id", "old_no"], "left")
     return equal.unionByName(placed.select("doc_id", "line", "n", F.col("m.new_line").alias("new_line"), F.coalesce("m.likeness", F.lit(0.0)).alias("likeness")))

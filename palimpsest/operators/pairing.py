@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.normal import content_key, has_sentences
+from palimpsest.functions.text import window_hashes
 from palimpsest.sources.durable import written
 
 #: Shorter contents are not paired by this rule.
@@ -47,12 +48,14 @@ def same_content(old: DataFrame, new: DataFrame) -> DataFrame:
     # a chapter's copies of one content are the largest group here
     equal = left.join(right.withColumnRenamed("kb", "ka"), [*ends, "ka"]).select(*ends, "a", "b", F.lit(2).alias("relation"))
 
-    def holds(outer: DataFrame, inner: DataFrame, ko: str, ki: str) -> DataFrame:
-        probes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(ko) - (PROBE - 1)), lambda i: F.substring(ko, i, F.lit(PROBE))))
-        met = outer.select("*", F.explode(probes).alias("probe")).join(inner.withColumn("probe", F.left(ki, F.lit(PROBE))), [*ends, "probe"])
-        return met.where(has_sentences(F.col(ko), F.col(ki))).select(*ends, "a", "b", F.lit(1).alias("relation")).distinct()
+    def holds(outer: DataFrame, inner: DataFrame, o: str, i: str) -> DataFrame:
+        # windows travel as hashes, without the text; what meets is verified by its texts
+        windows = outer.select(*ends, F.col(o), F.explode(window_hashes(F.col(f"k{o}"), PROBE)).alias("probe"))
+        met = windows.join(inner.select(*ends, F.col(i), F.xxhash64(F.left(f"k{i}", F.lit(PROBE))).alias("probe")), [*ends, "probe"]).select(*ends, "a", "b")
+        both = met.join(left, [*ends, "a"]).join(right, [*ends, "b"])
+        return both.where(has_sentences(F.col(f"k{o}"), F.col(f"k{i}"))).select(*ends, "a", "b", F.lit(1).alias("relation")).distinct()
 
-    wishes = equal.unionByName(holds(right, left, "kb", "ka")).unionByName(holds(left, right, "ka", "kb"))
+    wishes = equal.unionByName(holds(right, left, "b", "a")).unionByName(holds(left, right, "a", "b"))
     rank = F.struct("relation", (-F.abs(F.col("a") - F.col("b"))).alias("near"), (-F.col("b")).alias("early"))
     pairs = in_turn(wishes.withColumn("rank", rank), ends)
     return pairs.select(*ends, "a", "b", F.when(F.col("rank.relation") == 2, 1.0).otherwise(0.95).alias("score"))

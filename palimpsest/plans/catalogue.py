@@ -197,22 +197,38 @@ issues as (select doc_id, line_no, case when length(trim(line)) < 10 and line no
 _CHANGED = """l2 as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: case when (i - 1) % 7 = 3 then null when (i - 1) % 5 = 2 then x || ' 30 GB' else x end) as parts from documents),
 versions as (select doc_id, 'old' as side, string_split(coalesce(text, ''), chr(10)) as parts from documents
   union all select doc_id, 'new', list_append(list_filter(parts, lambda x: x is not null), 'Added to ' || doc_id) from l2),
-vlines as (select doc_id, side, cast(i as int) as no, parts[i + 1] as line, lower(regexp_replace(parts[i + 1], '\\s+', '', 'g')) as key
+vlines as (select doc_id, side, cast(i as int) as no, parts[i + 1] as line, regexp_replace(parts[i + 1], '\\s+', '', 'g') as key
   from versions, lateral (select unnest(range(len(parts))) as i) where trim(parts[i + 1]) <> ''),
 vk as (select *, row_number() over (partition by doc_id, side, key order by no) as k from vlines),
-mates as (select coalesce(a.doc_id, b.doc_id) as doc_id, a.no as old_no, b.no as new_no, a.line as old_line, b.line as new_line
-  from (select * from vk where side = 'old') a full join (select * from vk where side = 'new') b on a.doc_id = b.doc_id and a.key = b.key and a.k = b.k),
-og as (select *, coalesce(last_value(case when new_no is not null then old_no end ignore nulls) over (partition by doc_id order by old_no), -1) as gap from mates where old_no is not null),
-ng as (select *, coalesce(last_value(case when old_no is not null then old_no end ignore nulls) over (partition by doc_id order by new_no), -1) as gap from mates where new_no is not null),
-oa as (select doc_id, gap, old_no, old_line, row_number() over (partition by doc_id, gap order by old_no) as i from og where new_no is null),
-na as (select doc_id, gap, new_no, new_line, row_number() over (partition by doc_id, gap order by new_no) as i from ng where old_no is null),
-met as (select coalesce(o.doc_id, n.doc_id) as doc_id, old_no, new_no, old_line, new_line,
-  list_distinct(list_transform(range(1, length(old_line)), lambda j: substring(old_line, j, 2))) as ga, list_distinct(list_transform(range(1, length(new_line)), lambda j: substring(new_line, j, 2))) as gb
-  from oa o full join na n on o.doc_id = n.doc_id and o.gap = n.gap and o.i = n.i),
-judged as (select *, old_no is not null and new_no is not null and len(ga) > 0 and len(gb) > 0 and len(list_intersect(ga, gb)) / greatest(len(list_distinct(list_concat(ga, gb))), 1) >= 0.45 as alike from met),
-changes as (select doc_id, 'modified' as kind, old_no, new_no, old_line, new_line from judged where alike
-  union all select doc_id, 'removed', old_no, -1, old_line, null from judged where not alike and old_no is not null
-  union all select doc_id, 'added', -1, new_no, null, new_line from judged where not alike and new_no is not null)"""
+m1 as (select a.doc_id, a.no as a, b.no as b from (select * from vk where side = 'old') a join (select * from vk where side = 'new') b on a.doc_id = b.doc_id and a.key = b.key and a.k = b.k),
+l1 as (select doc_id, side, no, line, lower(regexp_replace(key, '(^|[。；;])\\d+(?:\\.\\d+)+[、.]?', '\\1', 'g')) as key from vlines
+  where not ((side = 'old' and (doc_id, no) in (select (doc_id, a) from m1)) or (side = 'new' and (doc_id, no) in (select (doc_id, b) from m1)))),
+c2 as (select o.doc_id, o.no as a, n.no as b, o.key = n.key as same, case when length(o.key) > length(n.key) then o.key else n.key end as l, case when length(o.key) > length(n.key) then n.key else o.key end as s
+  from l1 o join l1 n on o.side = 'old' and n.side = 'new' and o.doc_id = n.doc_id and length(o.key) >= 12 and length(n.key) >= 12 and (o.key = n.key or contains(o.key, n.key) or contains(n.key, o.key))),
+w2 as (select *, case when same then 2 else 1 end as rel from c2 where same or len(list_filter(range(1, length(l) - length(s) + 2), lambda i: substring(l, i, length(s)) = s
+  and (i = 1 or contains('。；;！？!?．', substring(l, i - 1, 1)))
+  and (i + length(s) - 1 = length(l) or contains('。；;！？!?．', right(s, 1)) or contains('。；;！？!?．', substring(l, i + length(s), 1))))) > 0),
+g2 as (select doc_id, list({'a': a, 'b': b} order by a, rel desc, abs(a - b), b) as rest, null::struct(a int, b int) as take from w2 group by doc_id
+  union all select doc_id, list_filter(rest, lambda x: x.a <> rest[1].a and x.b <> rest[1].b), rest[1] from g2 where len(rest) > 0),
+m2 as (select doc_id, take.a as a, take.b as b from g2 where take is not null),
+l2r as (select * from l1 where not ((side = 'old' and (doc_id, no) in (select (doc_id, a) from m2)) or (side = 'new' and (doc_id, no) in (select (doc_id, b) from m2)))),
+v3 as (select doc_id, side, no, (unicode(substring(line, j, 1)) * 31 + unicode(substring(line, j + 1, 1))) % 256 as d, count(*) as c from l2r, lateral (select unnest(range(1, length(line))) as j) group by all),
+q3 as (select doc_id, side, no, cast(sum(c * c) as double) as q from v3 group by all),
+d3 as (select o.doc_id, o.no as a, n.no as b, cast(sum(o.c * n.c) as double) as dot from v3 o join v3 n on o.side = 'old' and n.side = 'new' and o.doc_id = n.doc_id and o.d = n.d group by all),
+s3 as (select d.doc_id, a, b, dot / sqrt(x.q * y.q) as score from d3 d join q3 x on x.doc_id = d.doc_id and x.side = 'old' and x.no = a join q3 y on y.doc_id = d.doc_id and y.side = 'new' and y.no = b),
+t3 as (select * from s3 qualify row_number() over (partition by doc_id, a order by score desc, b) <= 3),
+g3 as (select doc_id, list({'a': a, 'b': b, 'score': score} order by score desc, a desc, b desc) as rest, null::struct(a int, b int, score double) as take from t3 where score >= 0.8 group by doc_id
+  union all select doc_id, list_filter(rest, lambda x: x.a <> rest[1].a and x.b <> rest[1].b), rest[1] from g3 where len(rest) > 0),
+m3 as (select doc_id, take.a as a, take.b as b, take.score as score from g3 where take is not null),
+l3 as (select *, list_distinct(list_transform(range(1, length(line)), lambda j: substring(line, j, 2))) as g from l2r where not ((side = 'old' and (doc_id, no) in (select (doc_id, a) from m3)) or (side = 'new' and (doc_id, no) in (select (doc_id, b) from m3)))),
+s4 as (select o.doc_id, o.no as a, n.no as b, len(list_intersect(o.g, n.g)) / greatest(len(list_distinct(list_concat(o.g, n.g))), 1) as score from l3 o join l3 n on o.side = 'old' and n.side = 'new' and o.doc_id = n.doc_id and len(o.g) > 0 and len(n.g) > 0),
+g4 as (select doc_id, list({'a': a, 'b': b} order by score desc, a desc, b desc) as rest, null::struct(a int, b int) as take from s4 where score >= 0.45 group by doc_id
+  union all select doc_id, list_filter(rest, lambda x: x.a <> rest[1].a and x.b <> rest[1].b), rest[1] from g4 where len(rest) > 0),
+m4 as (select doc_id, take.a as a, take.b as b from g4 where take is not null),
+met as (select doc_id, a, b from m2 union all select doc_id, a, b from m3 union all select doc_id, a, b from m4),
+changes as (select m.doc_id, 'modified' as kind, a as old_no, b as new_no, o.line as old_line, n.line as new_line from met m join vlines o on o.side = 'old' and o.doc_id = m.doc_id and o.no = a join vlines n on n.side = 'new' and n.doc_id = m.doc_id and n.no = b
+  union all select doc_id, 'removed', no, -1, line, null from l3 where side = 'old' and (doc_id, no) not in (select (doc_id, a) from m4)
+  union all select doc_id, 'added', -1, no, null, line from l3 where side = 'new' and (doc_id, no) not in (select (doc_id, b) from m4))"""
 _ORDERS = """o as (select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 19 <> 5),
 n as (select o_orderkey, case when o_orderkey % 10 = 3 then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority from orders where o_orderkey % 17 <> 0)"""
 _LATEST = "l as (select d.*, case when doc_id = max(doc_id) over (partition by source) then 'active' else 'inactive' end as status from documents d)"
@@ -227,9 +243,9 @@ t as (select query_id, vec_id, r, source, trim(text) as t, list_distinct(list_tr
 p as (select a.query_id, a.vec_id as id_a, b.vec_id as id_b, len(list_intersect(a.g, b.g)) / greatest(len(list_distinct(list_concat(a.g, b.g))), 1) as likeness
 from t a join t b on a.query_id = b.query_id and a.r < b.r and a.source is distinct from b.source and a.t <> b.t)
 select query_id, id_a, id_b, round(likeness, 6) as likeness from p where likeness > 0.2 and likeness < 0.95""",
-    "exact_pairs_multiset": f"""with {_CHANGED}, r as (select *, row_number() over (partition by side, line order by doc_id, no) as c from vlines)
+    "exact_pairs_multiset": f"""with recursive {_CHANGED}, r as (select *, row_number() over (partition by side, line order by doc_id, no) as c from vlines)
 select o.line, o.doc_id as old_doc, o.no as old_line, n.doc_id as new_doc, n.no as new_line from r o join r n on o.side = 'old' and n.side = 'new' and o.line = n.line and o.c = n.c""",
-    "added_removed_paragraphs": f"""with {_CHANGED}, c as (select line, count(*) filter (where side = 'new') - count(*) filter (where side = 'old') as d from vlines group by line)
+    "added_removed_paragraphs": f"""with recursive {_CHANGED}, c as (select line, count(*) filter (where side = 'new') - count(*) filter (where side = 'old') as d from vlines group by line)
 select line, case when d > 0 then 'added' else 'removed' end as kind, abs(d) as n from c where d <> 0""",
     "duplicate_adjacent_lines": f"with {_ODD} select doc_id, line_no from again",
     "neighbor_context": f"with {_LINES} select doc_id, line_no, string_agg(line, chr(10)) over (partition by doc_id order by line_no rows between 2 preceding and 2 following) as context from lines",
@@ -237,11 +253,11 @@ select line, case when d > 0 then 'added' else 'removed' end as kind, abs(d) as
     "parse_qa_status": f"""with {_ODD}, c as (select doc_id, count(*) as n_issues, count(*) filter (where risk = 'high') as n_high from issues group by doc_id)
 select doc_id, coalesce(n_issues, 0) as n_issues, coalesce(n_high, 0) as n_high, case when n_high > 0 then 'failed' when n_issues > 0 then 'review' else 'ok' end as status from documents left join c using (doc_id)""",
     "llm_candidate_ranking": f"with {_ODD} select doc_id, line_no, kind, risk from issues qualify row_number() over (partition by doc_id order by case when risk = 'high' then 0 else 1 end, line_no, kind) <= 20",
-    "version_compare": f"with {_CHANGED} select * from changes",
-    "change_kind_counts": f"with {_CHANGED} select kind, count(*) as n from changes group by kind",
-    "summary_quota": f"""with {_CHANGED} select doc_id, kind, old_no, new_no, cast(r as int) as rank from (select *, row_number() over (partition by doc_id, kind order by case when kind = 'added' then new_no else old_no end) as r from changes)
+    "version_compare": f"with recursive {_CHANGED} select * from changes",
+    "change_kind_counts": f"with recursive {_CHANGED} select kind, count(*) as n from changes group by kind",
+    "summary_quota": f"""with recursive {_CHANGED} select doc_id, kind, old_no, new_no, cast(r as int) as rank from (select *, row_number() over (partition by doc_id, kind order by case when kind = 'added' then new_no else old_no end) as r from changes)
 where r <= case kind when 'modified' then 20 else 5 end""",
-    "absorbed_passages": f"""with {_CHANGED} select c.* from changes c where not (kind = 'removed' and length(old_line) >= 15 and exists (
+    "absorbed_passages": f"""with recursive {_CHANGED} select c.* from changes c where not (kind = 'removed' and length(old_line) >= 15 and exists (
 select 1 from changes m where m.kind = 'modified' and m.doc_id = c.doc_id and (contains(m.old_line, c.old_line) or contains(m.new_line, c.old_line))))""",
     "table_row_diff": f"""with {_ORDERS}, d as (select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey,
 case when o.o_orderkey is null then 'added' when n.o_orderkey is null then 'removed' when o.o_orderstatus <> n.o_orderstatus then 'modified' end as kind from o full join n on o.o_orderkey = n.o_orderkey)

@@ -182,7 +182,7 @@ select doc_id, family, case when status = 'active' and added_at <> newest then '
     "issue_ids": f"""with {base._ODD}, r as (select *, row_number() over (partition by kind, line_no order by doc_id) as k from issues)
 select doc_id, line_no, kind, kind || '-' || line_no || case when k > 1 then '-' || k else '' end as issue_id from r""",
     "high_risk_issues": f"with {base._ODD} select doc_id, line_no, kind, risk from issues where risk = 'high'",
-    "change_summaries": f"""with {base._CHANGED}, t as (select *, trim(replace(coalesce(old_line, ''), chr(10), ' ')) as o, trim(replace(coalesce(new_line, ''), chr(10), ' ')) as n from changes)
+    "change_summaries": f"""with recursive {base._CHANGED}, t as (select *, trim(replace(coalesce(old_line, ''), chr(10), ' ')) as o, trim(replace(coalesce(new_line, ''), chr(10), ' ')) as n from changes)
 select doc_id, kind, old_no, new_no, case kind when 'added' then '[新增] ' || left(n, 160) when 'removed' then '[删除] ' || left(o, 160) else case when o <> '' and n <> '' then '[修改] ' || left(o, 80) || ' → ' || left(n, 80) else '[修改] 内容发生变化' end end as summary from t""",
     "judge_results": """select doc_id, case when coalesce(toxic, 0) <> 1 then 'consistent' when quality = 1 and doc_id % 2 = 0 then 'inconsistent' else 'suspect' end as verdict, left(coalesce(text, ''), 80) as excerpt
 from labels join documents using (doc_id)""",
