@@ -108,9 +108,10 @@ def _with_headers(heads: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     """
     own = F.coalesce(F.size("headers"), F.lit(0)) > 0
     counts = rows.groupBy("doc_id", "table_no").agg(F.count(F.lit(1)).alias("n_all"), F.max(F.when(F.col("row_no") == 0, F.col("cells"))).alias("first"))
-    found = heads.join(counts, ["doc_id", "table_no"])
-    header = F.transform(F.when(own, F.col("headers")).otherwise(F.col("first")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
-    found = found.select("doc_id", "table_no", "location", own.alias("own"), header.alias("header"), F.when(own, F.col("n_all")).otherwise(F.col("n_all") - 1).alias("n"))
+    found = heads.join(counts, ["doc_id", "table_no"], "left")
+    header = F.transform(F.when(own, F.col("headers")).otherwise(F.coalesce("first", F.array().cast("array<string>"))), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    n = F.coalesce("n_all", F.lit(0))
+    found = found.select("doc_id", "table_no", "location", own.alias("own"), header.alias("header"), F.when(own, n).otherwise(F.greatest(n - 1, F.lit(0))).alias("n"), (n > 0).alias("filled"))
     body = rows.join(found.select("doc_id", "table_no", "own"), ["doc_id", "table_no"]).where(F.col("own") | (F.col("row_no") > 0))
     return found.drop("own"), body.select("doc_id", "table_no", (F.col("row_no") + F.col("own").cast("int")).alias("row_index"), "cells")
 
@@ -125,7 +126,8 @@ def table_pairs(old_heads: DataFrame, new_heads: DataFrame) -> DataFrame:
 
     met = gathered(old_heads, "o").join(gathered(new_heads, "n"), "doc_id")
     pairs = met.select("doc_id", "o", "n", F.explode(_paired("o", "n")).alias("p")).select("doc_id", F.col("o")[F.col("p.old")]["table_no"].alias("old_table"), F.col("n")[F.col("p.new")]["table_no"].alias("new_table"))
-    named = lambda heads, side: heads.select("doc_id", F.col("table_no").alias(f"{side}_table"), F.col("header").alias(f"{side}_header"), F.col("location").alias(f"{side}_location"))
+    # tables without rows take part in the pairing, and have nothing to compare
+    named = lambda heads, side: heads.where("filled").select("doc_id", F.col("table_no").alias(f"{side}_table"), F.col("header").alias(f"{side}_header"), F.col("location").alias(f"{side}_location"))
     out = pairs.join(named(old_heads, "old"), ["doc_id", "old_table"]).join(named(new_heads, "new"), ["doc_id", "new_table"])
     return out.withColumn("columns", _aligned(F.transform("old_header", _bare), F.transform("new_header", _bare)))
 
