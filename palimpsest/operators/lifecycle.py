@@ -59,8 +59,9 @@ def unordered_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def issue_ids(issues: DataFrame) -> DataFrame:
-    """issues (doc_id, kind, line_no) with an id: kind and line, and -2, -3 ... for further ones of a document."""
-    place = F.row_number().over(Window.partitionBy("kind", "line_no").orderBy("doc_id"))
+    """issues (doc_id, kind, line_no) with an id: kind and line, and -2, -3 ... for further ones of one document, in order of their other columns."""
+    order = [c for c in issues.columns if c not in ("doc_id", "kind", "line_no")] or ["line_no"]
+    place = F.row_number().over(Window.partitionBy("doc_id", "kind", "line_no").orderBy(*order))
     name = F.concat_ws("-", "kind", F.col("line_no").cast("string"))
     return issues.withColumn("place", place).withColumn("issue_id", F.when(F.col("place") == 1, name).otherwise(F.concat_ws("-", name, F.col("place").cast("string")))).drop("place")
 

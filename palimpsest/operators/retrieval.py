@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.durable import written
+
 #: Library rows of a block, and queries of one.
 BLOCK, QUERY_BLOCK = 1024, 256
 
@@ -53,3 +55,79 @@ def top_k(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     near = met.select("l_dim", "l_ids", "l_vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Most pivots of a self-made index, and rows of the library for each.
+PIVOTS, PER_PIVOT = 64, 4096
+
+
+def _pivoted(rows: DataFrame, pivots: np.ndarray):
+    """pivot, angle to it, id and unit vector of each row; rows of another length than the pivots' have pivot -length."""
+
+    def run(parts):
+        for batch in parts:
+            out = []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if v is None or None in v or i is None or not v:
+                    continue
+                x = np.array(v, np.float64)
+                x = x / max(float(np.linalg.norm(x)), 1e-12)
+                if len(x) != pivots.shape[1]:
+                    out.append((-len(x), 0.0, i, x.tobytes()))
+                    continue
+                near = pivots @ x
+                p = int(near.argmax())
+                out.append((p, float(np.arccos(np.clip(near[p], -1.0, 1.0))), i, x.tobytes()))
+            kinds = [pa.int32(), pa.float64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(4)], ["pivot", "angle", "id", "vector"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(run, "pivot int, angle double, id long, vector binary")
+
+
+def pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, score of all pairs (vec_id, embedding) with a cosine of `least` or more; none is left out.
+
+    Rows lie in blocks of about BLOCK with one nearest pivot (a bounded sample of the right
+    side).  Two blocks can hold such a pair only if the angle between their pivots is no
+    more than both blocks' radii and the angle of `least`, so most pairs of blocks aren't
+    compared where vectors cluster.  Null vectors meet nothing, nor do those of different
+    lengths; vectors of length 0 have score 0.
+    """
+    spark = right.sparkSession
+    right = right.where("embedding is not null and size(embedding) > 0")
+    n = min(PIVOTS, max(1, right.count() // PER_PIVOT))
+    found = [r["embedding"] for r in right.orderBy("vec_id").limit(n).collect()]
+    found = [np.array(v, np.float64) for v in found if len(v) == len(found[0]) and None not in v]
+    if not found:
+        return spark.createDataFrame([], "a long, b long, score double")
+    pivots = np.stack([v / max(float(np.linalg.norm(v)), 1e-12) for v in found])
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-6
+
+    def blocks(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        placed = written(_pivoted(rows, pivots), side)
+        sizes = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
+        parts = F.coalesce(*(F.when(F.col("pivot") == p, -(-k // BLOCK)) for p, k in sizes.items()), F.lit(1))
+        named = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        full = named.groupBy("pivot", "block").agg(F.max("angle").alias("radius"), F.collect_list(F.struct("id", "vector")).alias("rows"))
+        full = written(full.select(*(F.col(c).alias(f"{side}_{c}") for c in full.columns)), f"{side}-blocks")
+        return full, full.drop(f"{side}_rows")
+
+    x, small_x = blocks(left, "x")
+    y, small_y = blocks(right, "y")
+    between = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "x_pivot int, y_pivot int, apart double")
+    # what says where blocks lie: no more rows than pairs of blocks, without vectors
+    near = small_x.crossJoin(small_y).join(F.broadcast(between), ["x_pivot", "y_pivot"], "left")
+    near = near.where((F.col("apart") <= F.col("x_radius") + F.col("y_radius") + reach) | ((F.col("x_pivot") < 0) & (F.col("x_pivot") == F.col("y_pivot"))))
+    met = near.select("x_pivot", "x_block", "y_pivot", "y_block").join(x, ["x_pivot", "x_block"]).join(y, ["y_pivot", "y_block"]).select("x_rows", "y_rows")
+
+    def run(parts):
+        for batch in parts:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = (np.stack([np.frombuffer(r["vector"], np.float64) for r in side]) for side in (a, b))
+                scores = u @ v.T
+                i, j = np.nonzero(scores >= least)
+                ia, jb = np.array([r["id"] for r in a], np.int64), np.array([r["id"] for r in b], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(jb[j]), pa.array(scores[i, j])], ["a", "b", "score"])
+
+    return met.mapInArrow(run, "a long, b long, score double")

@@ -9,6 +9,9 @@ from palimpsest.operators import changes, matching, paragraphs, retrieval, sessi
 from palimpsest.sources import html
 from palimpsest.streaming import progress
 
+#: Cosine from which two vectors may be partners.
+PARTNER = 0.3
+
 
 def _read(name):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,8 +43,9 @@ def _candidates(spark, sf_dir):
 
 
 def _greedy(spark, sf_dir):
-    edges = _hits(spark, sf_dir, 50).where("query_id <> vec_id")
-    return matching.greedy_match(edges.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 6).alias("score")), 0.1)
+    rows = _embeddings(spark, sf_dir)
+    edges = retrieval.pairs_above(rows.where("vec_id % 100 = 0"), rows.where("vec_id % 100 <> 0"), PARTNER)
+    return matching.greedy_match(edges.withColumn("score", F.round("score", 6)), PARTNER)
 
 
 def _active_hits(spark, sf_dir):
@@ -234,6 +238,9 @@ n as (select o_orderkey, case when o_orderkey % 10 = 3 then 'X' else o_orderstat
 _LATEST = "l as (select d.*, case when doc_id = max(doc_id) over (partition by source) then 'active' else 'inactive' end as status from documents d)"
 
 ORACLES |= {
+    "greedy_match_vectors": f"""with recursive {_SCORES}, g as (select list({{'a': query_id, 'b': vec_id, 'score': round(score, 6)}} order by round(score, 6) desc, query_id desc, vec_id desc) as rest, null::struct(a bigint, b bigint, score double) as take from s where vec_id % 100 <> 0 and score >= 0.3 and round(score, 6) >= 0.3
+  union all select list_filter(rest, lambda x: x.a <> rest[1].a and x.b <> rest[1].b), rest[1] from g where len(rest) > 0)
+select take.a as a, take.b as b, take.score as score from g where take is not null""",
     "library_candidates": f"""with {_SCORES}
 select query_id, vec_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as r from s) where r <= 4 and query_id <> vec_id and score >= 0.3""",
     "search_active_only": f"""with {_SCORES}, a as (select * from s where vec_id not in (select doc_id from labels where toxic = 1 and doc_id is not null))

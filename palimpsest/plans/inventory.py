@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import repair_decimals
-from palimpsest.operators import continued, layout, lifecycle, pairing, paragraphs
+from palimpsest.operators import continued, evidence, layout, lifecycle, pairing, paragraphs
 from palimpsest.plans import catalogue as base
 
 
@@ -70,7 +70,7 @@ def _headers(spark, sf_dir):
 
 
 def _decimals(spark, sf_dir):
-    text = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(200)), F.lit(" 28. 55, "), F.col("doc_id").cast("string"), F.lit(" 10. %"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" 28. 55, "), F.col("doc_id").cast("string"), F.lit(" 10. %"))
     return _docs(spark, sf_dir).select("doc_id", repair_decimals(text).alias("text"))
 
 
@@ -78,12 +78,28 @@ def _summaries(spark, sf_dir):
     return base._changes(spark, sf_dir).select("doc_id", "kind", "old_no", "new_no", lifecycle.change_summary(F.col("kind"), F.col("old_line"), F.col("new_line")).alias("summary"))
 
 
+#: Clauses put after texts in turn, so that pairs of them contradict each other in every way, or not at all.
+CLAUSES = ("设备每月检查一次", "设备每季度检查一次", "禁止使用外部网络", "可以使用外部网络", "班组长负责审核", "值班员负责审核", "")
+
+
+def _clause(shift):
+    return F.element_at(F.array(*map(F.lit, CLAUSES)), F.pmod(F.col("doc_id") + shift, F.lit(len(CLAUSES))).cast("int") + 1)
+
+
 def _judged(spark, sf_dir):
     items = _labels(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    items = items.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("inconsistent"), F.when(F.col("quality") == 1, "high").otherwise("low").alias("confidence"), (F.col("doc_id") % 2 == 0).alias("evidence"), "text")
+    text = F.coalesce("text", F.lit(""))
+    shown = evidence.kind_of_evidence(F.concat(text, _clause(0)), F.concat(text, _clause(1)))
+    items = items.select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("inconsistent"), F.when(F.col("quality") == 1, "high").otherwise("low").alias("confidence"), shown.isNotNull().alias("evidence"), "text")
     return lifecycle.judged(items).select("doc_id", "verdict", "excerpt")
 
 
+def _evidence(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = _docs(spark, sf_dir).select("doc_id", evidence.kind_of_evidence(F.concat(text, _clause(0)), F.concat(text, _clause(1))).alias("evidence"))
+    return rows.withColumn("evidence", F.coalesce("evidence", F.lit("none")))
+
+
 def _cells(spark, sf_dir):
     rows = base._customers(spark, sf_dir)
     columns = [F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")), F.lit(float("nan")), F.concat(F.col("c_mktsegment"), F.lit("|x\ny")), F.col("c_nationkey")]
@@ -131,12 +147,23 @@ QUERIES: dict = {
     "high_risk_issues": lambda s, d: paragraphs.parse_issues(_docs(s, d)).where("risk = 'high'"),
     "change_summaries": _summaries,
     "judge_results": _judged,
+    "conflict_evidence": _evidence,
 }
 
 _STORE = "st as (select doc_id, source, sha256(coalesce(text, '')) as sha256, -doc_id as added_at, case when doc_id % 4 = 1 then 'inactive' else 'active' end as status from documents)"
 _WORDS = " + ".join(f"contains({{0}}, '{w}')::int" for w in layout.TABLE_WORDS)
 _WITH = " + ".join(f"contains({{0}}, '{w}')::int" for w in layout.SERIAL_WITH)
 
+_FREQUENCY = r"每(?:[一二三四五六七八九十\d]+)?(?:天|日|周|月|季度|年)|\d+(?:天|日|周|月|季度|年|小时|分钟|次)"
+_FORBIDS = "regexp_matches({0}, '禁止|不得|严禁|不允许') and not regexp_matches({1}, '禁止|不得|严禁|不允许') and regexp_matches({1}, '允许|可以|可使用|可访问|必须|应当') and len(list_filter(regexp_extract_all(regexp_extract({0}, '(?:禁止|不得|严禁|不允许)([^，。；;]*)', 1), '[一-鿿]{{2,6}}|VPN|IP地址'), lambda t: t not in ('任何', '不得') and contains({1}, t))) > 0"
+_DUTIES = " or ".join(f"(contains(a, '{w}') and contains(b, '{w}'))" for w in evidence.ACTIONS)
+_EVIDENCE = f"""ab as (select doc_id, coalesce(text, '') || {list(CLAUSES)}[doc_id % {len(CLAUSES)} + 1] as a, coalesce(text, '') || {list(CLAUSES)}[(doc_id + 1) % {len(CLAUSES)} + 1] as b from documents),
+sets as (select *, list_sort(list_distinct(regexp_extract_all(a, '{_FREQUENCY}'))) as fa, list_sort(list_distinct(regexp_extract_all(b, '{_FREQUENCY}'))) as fb, regexp_extract_all(a, '[一-鿿]{{2,6}}') as ca, regexp_extract_all(b, '[一-鿿]{{2,6}}') as cb from ab),
+shown as (select doc_id, case when regexp_replace(a, '[\\s，。；：、,.;:（）()]+', '', 'g') = regexp_replace(b, '[\\s，。；：、,.;:（）()]+', '', 'g') then 'none'
+  when len(fa) > 0 and len(fb) > 0 and fa <> fb and len(list_intersect(ca, cb)) > 0 then 'frequency'
+  when ({_FORBIDS.format("a", "b")}) or ({_FORBIDS.format("b", "a")}) then 'prohibition'
+  when contains(a, '负责') and contains(b, '负责') and ({_DUTIES}) then 'duty' else 'none' end as evidence from sets)"""
+
 ORACLES: dict[str, str] = {
     "markdown_blocks": f"""with {base._LINES}, m as (select doc_id, line_no, trim(case line_no % 9 when 0 then '## ' || line when 4 then '| ' || left(line, 9) || ' | x |' when 5 then '|---|---|' when 6 then '| y | z |' else line end) as bare from lines),
 k as (select *, case when regexp_matches(bare, '^#{{1,6}}\\s') then 'heading' when regexp_matches(bare, '^\\|?[ :|-]*-[ :|-]*\\|?$') then 'separator' when bare[1] = '|' then 'row' when bare = '' then 'empty' else 'paragraph' end as kind from m),
@@ -166,7 +193,7 @@ select * from o where line <> ''""",
     "suspect_header_prefixes": f"""with t as (select doc_id, case doc_id % 3 when 0 then '信息技术管理手册' when 1 then '运行安全手册：' else '' end || coalesce(text, '') as t from documents),
 p as (select *, regexp_extract(t, '{layout.HEADER_HINTS}') as found from t), r as (select *, substr(t, length(found) + 1) as rest from p)
 select doc_id, case when found <> '' and length(rest) >= 6 and left(rest, 1) not in ('：', ':', '。') then found end as prefix from r""",
-    "repair_decimals": r"""with t as (select doc_id, left(coalesce(text, ''), 200) || ' 28. 55, ' || doc_id || ' 10. %' as t from documents)
+    "repair_decimals": r"""with t as (select doc_id, coalesce(text, '') || ' 28. 55, ' || doc_id || ' 10. %' as t from documents)
 select doc_id, regexp_replace(regexp_replace(t, '(\d)\.\s+(\d)', '\1.\2', 'g'), '(\d+)\s+(\d+)\.(\s*(?:万|亿|％|%|吨|米|公里))', '\1.\2\3', 'g') as text from t""",
     "table_markdown_rows": """with r as (select c_custkey, case when c_custkey % 3 = 0 then trim(c_name) else '' end as a, trim(c_mktsegment || '|x' || chr(10) || 'y') as b, trim(c_nationkey::varchar) as c from customer)
 select c_custkey, '| ' || concat_ws(' | ', replace(a, '|', '\\|'), '', replace(replace(b, chr(10), ' '), '|', '\\|'), c) || ' |' as line, (a = '')::int + 1 >= 0.4 * 4 as sparse from r""",
@@ -179,11 +206,12 @@ select doc_id, family, case when status = 'active' and added_at <> newest then '
     "recent_sessions": "select conv_id, max(turn) as last_turn from conversations group by conv_id order by last_turn desc, conv_id limit 50",
     "chapter_first_lines": f"with f as ({base.ORACLES['chapter_forward_fill']}) select doc_id, chapter, min(line_no) as line_no from f where chapter <> '' group by all",
     "search_pairs_once": f"with f as materialized ({base.ORACLES['semantic_search_topk']}) select distinct least(query_id, vec_id) as a, greatest(query_id, vec_id) as b from f where query_id <> vec_id",
-    "issue_ids": f"""with {base._ODD}, r as (select *, row_number() over (partition by kind, line_no order by doc_id) as k from issues)
+    "issue_ids": f"""with {base._ODD}, r as (select *, row_number() over (partition by doc_id, kind, line_no order by risk) as k from issues)
 select doc_id, line_no, kind, kind || '-' || line_no || case when k > 1 then '-' || k else '' end as issue_id from r""",
     "high_risk_issues": f"with {base._ODD} select doc_id, line_no, kind, risk from issues where risk = 'high'",
     "change_summaries": f"""with recursive {base._CHANGED}, t as (select *, trim(replace(coalesce(old_line, ''), chr(10), ' ')) as o, trim(replace(coalesce(new_line, ''), chr(10), ' ')) as n from changes)
 select doc_id, kind, old_no, new_no, case kind when 'added' then '[新增] ' || left(n, 160) when 'removed' then '[删除] ' || left(o, 160) else case when o <> '' and n <> '' then '[修改] ' || left(o, 80) || ' → ' || left(n, 80) else '[修改] 内容发生变化' end end as summary from t""",
-    "judge_results": """select doc_id, case when coalesce(toxic, 0) <> 1 then 'consistent' when quality = 1 and doc_id % 2 = 0 then 'inconsistent' else 'suspect' end as verdict, left(coalesce(text, ''), 80) as excerpt
-from labels join documents using (doc_id)""",
+    "conflict_evidence": f"with {_EVIDENCE} select doc_id, evidence from shown",
+    "judge_results": f"""with {_EVIDENCE} select doc_id, case when coalesce(toxic, 0) <> 1 then 'consistent' when quality = 1 and evidence <> 'none' then 'inconsistent' else 'suspect' end as verdict, left(coalesce(text, ''), 80) as excerpt
+from labels join documents using (doc_id) join shown using (doc_id)""",
 }

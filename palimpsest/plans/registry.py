@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import catalogue, compare, inventory, review
+from palimpsest.plans import catalogue, compare, inventory, pages, review
 
-QUERIES = catalogue.QUERIES | review.QUERIES | inventory.QUERIES | compare.QUERIES
-ORACLES = catalogue.ORACLES | review.ORACLES | inventory.ORACLES | compare.ORACLES
+QUERIES = catalogue.QUERIES | review.QUERIES | inventory.QUERIES | compare.QUERIES | pages.QUERIES
+ORACLES = catalogue.ORACLES | review.ORACLES | inventory.ORACLES | compare.ORACLES | pages.ORACLES
 FLAGSHIP = "semantic_search_topk"

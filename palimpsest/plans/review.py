@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import is_noise, quantities
-from palimpsest.operators import answers, fragments, overlap, paragraphs, rules, segments, store
+from palimpsest.operators import answers, fragments, overlap, paragraphs, retrieval, rules, segments, store
 from palimpsest.plans import catalogue as base
 
+#: Cosine from which two findings are one.
+SAME_FINDING = 0.85
+
 
 def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -69,8 +72,12 @@ def _groups(spark, sf_dir):
 
 
 def _findings(spark, sf_dir):
-    edges = _hits(spark, sf_dir, 20).where("query_id <> vec_id and score >= 0.3").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
-    return answers.keep_first(base._embeddings(spark, sf_dir).select(F.col("vec_id").alias("id")), edges)
+    # every fifth vector comes again, but for its first number
+    rows = base._embeddings(spark, sf_dir).select("vec_id", "embedding")
+    again = rows.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.concat(F.array(F.lit(0.0).cast("float")), F.slice("embedding", F.lit(2), F.size("embedding") - 1)).alias("embedding"))
+    rows = rows.unionByName(again)
+    edges = retrieval.pairs_above(rows, rows, SAME_FINDING).where("a < b").select("a", "b")
+    return answers.keep_first(rows.select(F.col("vec_id").alias("id")), edges)
 
 
 def _above(spark, sf_dir):
@@ -134,6 +141,12 @@ _NAMED = base._SCORES + """, h as (select *, row_number() over (partition by que
 d as (select *, case when doc_id = max(doc_id) over (partition by source) then 'active' else 'inactive' end as status from documents)"""
 
 ORACLES: dict[str, str] = {
+    "dedup_findings": """with recursive n as (select vec_id, cast(embedding as double[]) as e from embeddings union all select vec_id + 1000000000, list_concat([0.0::double], cast(embedding[2:] as double[])) from embeddings where vec_id % 5 = 0),
+s as (select x.vec_id as lo, y.vec_id as hi, list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) as score from n x join n y on x.vec_id < y.vec_id),
+g as (select list({'lo': lo, 'hi': hi} order by lo, hi) as rest, []::bigint[] as gone from s where score >= 0.85
+  union all select list_filter(rest, lambda x: x.lo <> rest[1].lo and not list_contains(now, x.lo) and not list_contains(now, x.hi)), now
+  from (select rest, list_transform(list_filter(rest, lambda x: x.lo = rest[1].lo), lambda x: x.hi) as now from g where len(rest) > 0))
+select vec_id as id from n where vec_id not in (select unnest(gone) from g)""",
     "content_overlap": f"""with {_BEST}, f as (select doc_id, cast(sum(n) as bigint) as n_lines, cast(sum(case when likeness is not null then n else 0 end) as bigint) as n_found from a left join best using (doc_id, line) group by doc_id)
 select doc_id, n_lines, n_found, round(n_found / n_lines, 6) as overlap, case when n_found >= 0.5 * n_lines then 'versions' else 'different' end as kind from f""",
     "similarity_cluster": f"with {_BEST} select doc_id, line, new_line, round(likeness, 6) as likeness from best where likeness <= 0.95",
