@@ -79,7 +79,7 @@ def _summaries(spark, sf_dir):
 
 
 #: Clauses put after texts in turn, so that pairs of them contradict each other in every way, or not at all.
-CLAUSES = ("设备每月检查一次", "设备每季度检查一次", "禁止使用外部网络", "可以使用外部网络", "班组长负责审核", "值班员负责审核", "")
+CLAUSES = ("设备，每月检查一次", "设备，每季度检查一次", "禁止使用外部网络", "可以使用外部网络", "班组长负责审核", "值班员负责审核", "")
 
 
 def _clause(shift):
