@@ -31,28 +31,37 @@ def likeness(a, b) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
+def _ties(table: dict, part: dict) -> set[str]:
+    """What ties a part to the table before it: header, chapter, gaps (in its first row) and edges (of the pages)."""
+    first = part["rows"][0]
+    gaps = sum(not str(c or "").strip() for c in first) / max(len(first), 1)
+    titles = {t for t in (table.get("title"), part.get("title")) if t}
+    found = {
+        "header": likeness(table["rows"][0], first) >= SAME_HEADER,
+        "chapter": bool(table["chapter"]) and table["chapter"] == part["chapter"] and len(titles) < 2,
+        "gaps": 0.4 <= gaps < 1,
+        "edges": None not in (table["bottom"], part["top"]) and table["bottom"] >= 1 - EDGE and part["top"] <= EDGE,
+    }
+    return {name for name, there in found.items() if there}
+
+
 def continues(table: dict, part: dict) -> bool:
-    """Whether part, on the next page, goes on with the table: its width fits and something ties them.
+    """Whether part stands on the next page and anything ties it to the table.
 
-    Tied by a repeated header, the same chapter, a first row with gaps, or by standing at
-    the foot and the head of their pages; without the header, widths must be equal.
+    Only under a repeated header may widths differ, by one column.
     """
-    if part["page"] != table["page_end"] + 1 or not len(table["rows"]) or not len(part["rows"]):
+    if not (len(table["rows"]) and len(part["rows"])) or part["page"] - table["page_end"] != 1:
         return False
-    width, other, first = len(table["rows"][0]), len(part["rows"][0]), part["rows"][0]
-    header = likeness(table["rows"][0], first) >= SAME_HEADER
-    empty = sum(not str(c or "").strip() for c in first)
-    sparse = len(first) > 0 and 0.4 * len(first) <= empty < len(first)
-    chapter = bool(table["chapter"]) and table["chapter"] == part["chapter"]
-    edges = table["bottom"] is not None and part["top"] is not None and table["bottom"] >= 1 - EDGE and part["top"] <= EDGE
-    return (width == other or header and abs(width - other) <= 1) and (header or chapter or sparse or edges)
+    ties = _ties(table, part)
+    slack = 1 if "header" in ties else 0
+    return bool(ties) and abs(len(table["rows"][0]) - len(part["rows"][0])) <= slack
 
 
 def joined(parts: DataFrame) -> DataFrame:
     """doc_id, table_no (from 1), page, page_end, chapter and rows of logical tables.
 
-    parts: doc_id, page, pos, chapter, top and bottom (shares of the page's height) and
-    rows (array of rows).  The decision looks at the table as it is so far, so the parts
+    parts: doc_id, page, pos, chapter, top and bottom (shares of the page's height), rows
+    (array of rows) and, if known, title (of the chapter).  The decision looks at the table as it is so far, so the parts
     of one document are read in order; a repeated header is dropped, rows are padded or
     cut to the header's width.
     """
@@ -71,8 +80,9 @@ def joined(parts: DataFrame) -> DataFrame:
             out.append({"doc_id": r["doc_id"], "page": r["page"], "pos": r["pos"], "table_no": n, "repeated": bool(repeated), "width": len(now["rows"][0]) if len(now["rows"]) else 0})
         return pd.DataFrame(out)
 
-    # only what decides goes through Python; rows are joined by Spark
-    marks = parts.groupBy("doc_id").applyInPandas(number, "doc_id long, page long, pos long, table_no int, repeated boolean, width int")
+    # what decides goes through Python: places, chapters and first rows; rows are joined by Spark
+    slim = parts.withColumn("rows", F.slice("rows", F.lit(1), F.lit(1)))
+    marks = slim.groupBy("doc_id").applyInPandas(number, "doc_id long, page long, pos long, table_no int, repeated boolean, width int")
     shaped = lambda r, w: F.slice(F.concat(r, F.array_repeat(F.lit(""), w)), 1, w)
     rows = parts.select("doc_id", F.col("page").cast("long"), F.col("pos").cast("long"), "chapter", "rows").join(marks, ["doc_id", "page", "pos"])
     own = F.when(F.col("repeated"), F.slice("rows", F.lit(2), F.greatest(F.lit(0), F.size("rows") - 1))).otherwise(F.col("rows"))
