@@ -13,8 +13,8 @@ differ in at least as many n-grams as their parity sketches differ in bits (each
 turns one of `BITS` bits), so most pairs that share an entry are ruled out by sketches
 alone, without losing any.  Classes are compared with the least class of each of their
 entries ("hub") first, in groups of a hub and some others.  What still has unconnected
-classes under one entry is sorted by entry into blocks; blocks find by sketches which of
-their classes may be linked, and compare those.  A comparison is a matrix product over
+classes under one entry is sorted by entry into blocks; where two blocks meet, sketches say
+which of their classes may be linked, and those are compared there.  A comparison is a matrix product over
 the n-grams of its texts, told apart by their words' bytes; it returns a spanning forest
 of its links, not the links.  Nothing is capped: many classes under one entry give more
 blocks, not larger ones.
@@ -406,8 +406,9 @@ def _by_blocks(rest: DataFrame, sketch: DataFrame, texts: DataFrame, n: int, num
 
     Rows stand in the order of sig, root and size and are cut into blocks, so that a block
     has many small sigs, or a part of a large one.  Blocks meet as far as a sig lies in
-    both, with sizes that can be alike and more than one root; pairs of different roots
-    that their sketches don't rule out are then compared, once each.
+    both, with sizes that can be alike and more than one root.  Where sketches leave any
+    pair of different roots open, the texts of the classes concerned are compared where
+    the blocks meet, and a spanning forest of their links comes out: no pair is a row.
     """
     rows, parts = ranged(rest.join(sketch, "c"), ["sig", "root", "n", "c"], "members")
     rows = rows.join(F.broadcast(parts.select("part", "before").coalesce(1)), "part")
@@ -427,18 +428,21 @@ def _by_blocks(rest: DataFrame, sketch: DataFrame, texts: DataFrame, n: int, num
         left, right, bits = np.flatnonzero(block == i), np.flatnonzero(block == j), _sketches(task.column("bits"))
         alike = may_be_alike(size[left], bits[left], size[right], bits[right], num, den)
         alike &= (sig[left][:, None] == sig[right][None, :]) & (root[left][:, None] != root[right][None, :])
-        a, b = np.nonzero(alike)
-        a, b = c[left[a]], c[right[b]]
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.table({"a": found[0], "b": found[1]})
-
-    open_ = stored(dealt.groupBy("i", "j").applyInArrow(candidates, "a bigint, b bigint").distinct(), "open")
-    # of each pair, the class with more partners is the hub of a group
-    partners = open_.select("a").union(open_.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
-    both = salted_join(salted_join(open_, partners, ["a"], "b"), partners.select(F.col("a").alias("b"), F.col("partners").alias("others")), ["b"], "a")
-    first = F.struct("partners", "a") > F.struct("others", "b")
-    pairs = both.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"))
-    return stored(_with_hubs(stored(pairs, "open"), texts, n, num, den), "links")
+        a, b = np.unique(c[left[alike.any(axis=1)]]), np.unique(c[right[alike.any(axis=0)]])
+        kind = pa.list_(pa.int64())
+        some = [(i, j, a, b)] if len(a) else []
+        return pa.table({"i": pa.array([x[0] for x in some], pa.int64()), "j": pa.array([x[1] for x in some], pa.int64()), "a": pa.array([x[2] for x in some], kind), "b": pa.array([x[3] for x in some], kind)})
+
+    # a row for each pair of blocks with open pairs: their classes, at most a block a side
+    open_ = stored(dealt.groupBy("i", "j").applyInArrow(candidates, "i bigint, j bigint, a array<bigint>, b array<bigint>"), "open")
+    members = F.array_distinct(F.concat("a", "b"))
+    asked = open_.select("i", "j", "a", "b", F.explode(members).alias("c")).select("i", "j", "c", F.array_contains("a", F.col("c")).alias("left"), F.array_contains("b", F.col("c")).alias("right"))
+
+    def compare(group):
+        side = lambda name: np.flatnonzero(group.column(name).to_numpy(zero_copy_only=False))
+        return _forest(group, side("left"), side("right"), n, num, den)
+
+    return stored(asked.join(texts, "c").groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def _numbered(docs: DataFrame, name: str = "row") -> DataFrame:
