@@ -128,8 +128,12 @@ class PieceTable:
     def trim(self) -> None:
         """Forget all pieces if there are more than the bound; entries given out so far are void then."""
         if self.n > self.bound or self.held > self.most_bytes:
-            self.powers = Powers()
-            self._clear()
+            self.release()
+
+    def release(self) -> None:
+        """Forget all pieces and give their memory back: a worker goes on to tasks that have no use for them."""
+        self.powers = Powers()
+        self._clear()
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash (-1: absent)."""
