@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import (
     TRACKING_HINTS,
+    is_noise,
     quantities,
     strip_revision_noise,
     window_hashes,
@@ -74,6 +77,12 @@ def absorbed_out(changes: DataFrame, least: int = 15) -> DataFrame:
     return changes.join(gone, ["doc_id", "old_no", "kind"], "left_anti").select(*changes.columns)
 
 
+def change_noise(changes: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
+    """changes with noise: what came (added), what went (removed), or both sides (modified) are layout noise."""
+    old, new = is_noise(F.col("old_line"), patterns), is_noise(F.col("new_line"), patterns)
+    return changes.withColumn("noise", F.when(F.col("kind") == "added", new).when(F.col("kind") == "removed", old).otherwise(old & new))
+
+
 def substantive(changes: DataFrame) -> DataFrame:
     """changes with bucket: noise (tracking rows, revision stamps, white space, cut tails), keep (quantities differ) or open."""
     old, new = F.coalesce("old_line", F.lit("")), F.coalesce("new_line", F.lit(""))

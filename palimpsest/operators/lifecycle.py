@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.normal import nfkc
+
 
 def listed(stored: DataFrame, every: bool = False) -> DataFrame:
     """Active documents, with `every` the inactive ones too; removed ones never. Sorted by added_at and doc_id."""
@@ -24,8 +26,8 @@ def active_with_hash(stored: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def family_id(name: Column) -> Column:
-    """Short id of a file name: folders, case and white space aside (names in ASCII)."""
-    base = F.regexp_extract(name, r"([^/\\]*)$", 1)
+    """Short id of a file name: folders, case, white space and compatible characters aside."""
+    base = nfkc(F.regexp_extract(name, r"([^/\\]*)$", 1))
     return F.left(F.sha2(F.regexp_replace(F.lower(F.trim(base)), r"\s+", " "), 256), F.lit(16))
 
 
@@ -37,9 +39,10 @@ def migrated(stored: DataFrame) -> DataFrame:
     filled = stored.withColumn("family", F.coalesce("family", family_id(F.col("name"))))
     active = F.max(F.when(F.col("status") == "active", F.struct("added_at", "doc_id")))
     newest = filled.groupBy("family").agg(active.alias("newest"))
-    # one row a family, pre-aggregated on the map side
-    out = filled.join(newest, "family")
-    status = F.when((F.col("status") == "active") & (F.struct("added_at", "doc_id") != F.col("newest")), "inactive").otherwise(F.col("status"))
+    # met by the row, not by the family, so that a large family is no large key
+    kept = newest.where("newest is not null").select(F.col("newest.doc_id").alias("_id"), F.col("newest.added_at").alias("_at"), F.lit(True).alias("_kept"))
+    out = filled.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("added_at").eqNullSafe(F.col("_at")), "left")
+    status = F.when((F.col("status") == "active") & F.col("_kept").isNull(), "inactive").otherwise(F.col("status"))
     return out.withColumn("status", status).select("doc_id", "family", "status")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,26 @@ def counters(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).cast("long")
     return docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("status") == "active").alias("n_active"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars"), F.coalesce(F.sum(lines), F.lit(0)).alias("n_paragraphs"))
+
+
+def paragraphs_of(paragraphs: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """name, stored_id, no and the other columns of the paragraphs (stored_id, no) of wanted documents (name, location or null).
+
+    A name is a stored id; if no paragraph has it, it stands for all ids that begin with it
+    and '#'.  With a location (paragraphs has that column too) only those there; `most`
+    keeps the first of each name in order of id and no.  Ids meet by equality, either whole
+    or up to their last '#', so nothing is compared with everything.
+    """
+    wanted = wanted.select("name", *(["location"] if "location" in wanted.columns else [])).dropDuplicates(["name"])
+    ids = paragraphs.select("stored_id").distinct()
+    exact = wanted.join(ids, F.col("name") == F.col("stored_id")).select("name", "stored_id")
+    prefixes = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("stored_id", "#")) - 1, F.lit(1))), lambda n: F.array_join(F.slice(F.split("stored_id", "#"), F.lit(1), n), "#")), lambda x: x != F.col("stored_id"))
+    begun = ids.select("stored_id", F.explode(prefixes).alias("name")).join(wanted.select("name"), "name").join(exact.select("name"), "name", "left_anti").select("name", "stored_id")
+    found = paragraphs.join(exact.unionByName(begun), "stored_id")
+    if "location" in wanted.columns:
+        asked = wanted.select("name", F.col("location").alias("_asked"))
+        found = found.join(asked, "name").where((F.coalesce("_asked", F.lit("")) == "") | (F.col("location") == F.col("_asked"))).drop("_asked")
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("name").orderBy("stored_id", "no"))
+        found = found.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    return found.select("name", *[c for c in found.columns if c != "name"])

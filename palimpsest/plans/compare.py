@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import table_compare
+from palimpsest.operators import changes, pair_chain, store, table_compare
+from palimpsest.operators.paragraphs import paragraph_lines
+from palimpsest.plans import catalogue as base
 
 
 def _order_tables(spark, sf_dir):
@@ -39,7 +41,27 @@ def _tables(spark, sf_dir):
     return found.drop("similarity").withColumns({"cells": told, "row_index": F.coalesce("row_index", F.lit(0))})
 
 
-QUERIES: dict = {"table_compare": _tables}
+def _chain(spark, sf_dir):
+    docs = base._documents(spark, sf_dir)
+    found = pair_chain.paragraph_pairs(changes._lines(docs), changes._lines(base._second(docs)))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _by_name(spark, sf_dir):
+    """Lines of documents asked for by stored id, by the name before it, and by a name that isn't there; five of each."""
+    docs = base._documents(spark, sf_dir)
+    ids = store.document_ids(docs, "source")
+    lines = paragraph_lines(docs).join(ids, "doc_id").select("stored_id", F.col("line_no").alias("no"), F.col("page").cast("string").alias("location"), "line")
+    names = ids.where("doc_id % 50 = 0").select(F.explode(F.array("stored_id", F.split("stored_id", "#")[0], F.concat("stored_id", F.lit("?")))).alias("name"))
+    return store.paragraphs_of(lines, names.withColumn("location", F.lit("1")), 5)
+
+
+QUERIES: dict = {
+    "table_compare": _tables,
+    "paragraph_pairs": _chain,
+    "change_noise": lambda s, d: changes.change_noise(base._changes(s, d)).select("doc_id", "kind", "old_no", "new_no", "noise"),
+    "paragraphs_by_document": _by_name,
+}
 
 _TABLES = """with r as (select *, o_custkey % 4 as shape, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as t,
   case o_orderstatus when 'F' then 'Shipped order' when 'O' then 'Open order' else 'Partial order' end as w , strftime(o_orderdate, '%Y-%m-%d') as day from orders),
@@ -60,4 +82,17 @@ from k where kind is not null
 union all select o_custkey, t, 2 - t, 'p. ' || (t + 1), 'column', 'added', null, 0, null, 'Total', '' from p where shape = 3
 union all select o_custkey, t, 2 - t, 'p. ' || (t + 1), 'column', 'removed', null, 0, 'Date', null, '' from p where shape = 3"""
 
-ORACLES: dict[str, str] = {"table_compare": _TABLES}
+_NOISE = "(length(trim(coalesce({0}, ''))) < 6 or (length(trim(coalesce({0}, ''))) <= 40 and regexp_matches(trim(coalesce({0}, '')), '^\\d+(?:\\.\\d+)*\\s+\\S')))"
+
+ORACLES: dict[str, str] = {
+    "table_compare": _TABLES,
+    "paragraph_pairs": f"""with recursive {base._CHANGED} select doc_id, cast(a as bigint) as a, cast(b as bigint) as b, 1.0::double as score, 'equal' as stage from m1
+union all select m.doc_id, a, b, case when rel = 2 then 1.0 else 0.95 end, 'content' from m2 m join w2 using (doc_id, a, b)
+union all select doc_id, a, b, round(score, 6), 'near' from m3""",
+    "change_noise": f"with recursive {base._CHANGED} select doc_id, kind, old_no, new_no, case kind when 'added' then {_NOISE.format('new_line')} when 'removed' then {_NOISE.format('old_line')} else {_NOISE.format('old_line')} and {_NOISE.format('new_line')} end as noise from changes",
+    "paragraphs_by_document": f"""with {base._LINES}, ids as (select doc_id, coalesce(source, '') as source, coalesce(source, '') || '#' || left(sha256(coalesce(text, '')), 8) as stored_id from documents),
+p as (select i.stored_id, l.line_no as no, l.page || '' as location, l.line from placed l join ids i using (doc_id)),
+names as (select distinct unnest([stored_id, source, stored_id || '?']) as name from ids where doc_id % 50 = 0),
+f as (select n.name, p.* from names n join p on p.stored_id = n.name or (starts_with(p.stored_id, n.name || '#') and not exists (select 1 from p q where q.stored_id = n.name)) where p.location = '1')
+select * from f qualify row_number() over (partition by name order by stored_id, no) <= 5""",
+}

@@ -96,3 +96,25 @@ def test_boxes_of_lines():
     box = lambda x, y: {"x0": x, "y0": y, "x1": x + 5, "y1": y + 8}
     assert anchors.merge_boxes([box(10, 0), box(0, 2), box(20, 20), box(5, 3.5), box(30, 21)]) == [[0, 0, 15, 11.5], [20, 20, 35, 29]]
     assert anchors.merge_boxes([]) == []
+
+
+def test_paragraphs_of_documents(spark):
+    from palimpsest.operators import store
+
+    rows = [("a#1", 0, "p1", "x"), ("a#1", 1, "p2", "y"), ("a#2", 0, "p1", "z"), ("a", 0, "p1", "w"), ("b#1#2", 0, "p1", "v"), ("b#12", 0, "p1", "u")]
+    lines = spark.createDataFrame(rows, "stored_id string, no int, location string, line string")
+
+    def found(names, most=None):
+        wanted = spark.createDataFrame(names, "name string, location string")
+        return {(r.name, r.line) for r in store.paragraphs_of(lines, wanted, most).collect()}
+
+    assert found([("a", None), ("b#1", ""), ("b", None), ("c", None), (None, None)]) == {("a", "w"), ("b#1", "v"), ("b", "v"), ("b", "u")}
+    assert found([("a#1", "p2"), ("b", None)], 1) == {("a#1", "y"), ("b", "v")}
+
+
+def test_noise_of_changes(spark):
+    from palimpsest.operators import changes
+
+    rows = [("added", "", "1.2 Scope"), ("added", "", "a real sentence that stays"), ("removed", "short", "a real sentence that stays"), ("modified", "short", "a real sentence that stays"), ("modified", None, "x")]
+    got = changes.change_noise(spark.createDataFrame(rows, "kind string, old_line string, new_line string")).collect()
+    assert [r.noise for r in got] == [True, False, True, False, True]
