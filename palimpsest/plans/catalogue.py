@@ -101,6 +101,14 @@ def _removed(spark, sf_dir):
     return store.remove(_documents(spark, sf_dir).select("doc_id", "source"), labels.where("toxic = 1"))
 
 
+def _table_rows(spark, sf_dir):
+    """Rows of tables that are put into two of three pages: the page's title, its number, and cells with tags and signs."""
+    head, number = F.lit("<table class='t'><TR><th>Title</th><th scope=col>No &amp; mark</th></TR>"), F.col("page_id").cast("string")
+    body = F.concat(F.lit("<tr>\n<td>"), F.coalesce(F.regexp_extract("html", html.TITLE, 1), F.lit("")), F.lit("</td><td><b>"), number, F.lit("</b> &lt;x&gt;</td></tr>"))
+    pages = _pages(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 3 > 0, F.concat("html", head, F.when(F.col("page_id") % 3 == 2, body).otherwise(""), F.lit("<tr><td>end</td></tr></table>"))).otherwise(F.col("html")))
+    return html.table_rows(pages).withColumn("cells", F.array_join("cells", "|"))
+
+
 QUERIES: dict = {
     "semantic_search_topk": _search,
     "paragraph_lines": lambda s, d: paragraphs.paragraph_lines(_documents(s, d)),
@@ -142,7 +150,7 @@ QUERIES: dict = {
     "store_counters": lambda s, d: store.counters(store.latest_active(_documents(s, d), "source")),
     "normalize_citations": lambda s, d: _turns(s, d).select("conv_id", "turn", citations(F.concat("text", F.lit("［ "), "turn", F.lit("］"))).alias("text")),
     "html_title_text": lambda s, d: html.title_text(_pages(s, d)),
-    "html_table_rows": lambda s, d: html.table_rows(_pages(s, d)).withColumn("cells", F.array_join("cells", "|")),
+    "html_table_rows": _table_rows,
     "progress_sessions": lambda s, d: progress.sessions(_events(s, d)),
     "progress_state_changes": lambda s, d: progress.state_changes(_events(s, d)),
     "progress_stream_windows": lambda s, d: progress.drained(progress.windowed(progress.event_stream(s, d)), "windows"),
@@ -289,6 +297,9 @@ select count(*) as n_documents, count(*) filter (where status = 'active') as n_a
     "html_title_text": """with b as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t-\\r]+', ' ', 'g')) as title,
 regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<title\\b.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from pages)
 select page_id, title, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t-\\r]+', ' ', 'g')) as text from b""",
+    "html_table_rows": """with p as (select page_id, case when page_id % 3 > 0 then html || '<table class=''t''><TR><th>Title</th><th scope=col>No &amp; mark</th></TR>' || case when page_id % 3 = 2 then '<tr>' || chr(10) || '<td>' || coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') || '</td><td><b>' || page_id || '</b> &lt;x&gt;</td></tr>' else '' end || '<tr><td>end</td></tr></table>' else html end as h from pages),
+r as (select page_id, regexp_extract_all(h, '(?is)<tr\\b.*?</tr>') as rows from p), e as (select page_id, i - 1 as row_no, regexp_extract_all(rows[i], '(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>', 1) as c from r, lateral (select unnest(range(1, len(rows) + 1)) as i))
+select page_id, cast(row_no as int) as row_no, array_to_string(list_transform(c, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t-\\r]+', ' ', 'g'))), '|') as cells from e""",
     "progress_sessions": """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as fresh from events),
 h as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from h group by user_id, k""",

@@ -106,10 +106,14 @@ def _cells(spark, sf_dir):
     return rows.select("c_custkey", layout.row_markdown(columns).alias("line"), layout.is_sparse(F.array(*map(layout.cell, columns))).alias("sparse"))
 
 
+#: Letters that the second version writes as capitals.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def _same_content(spark, sf_dir):
     # the second version numbers its lines and breaks some of them apart
     lines = _lines(spark, sf_dir).select("doc_id", F.lit("1").alias("chapter"), F.col("line_no").alias("no"), F.col("line").alias("text"))
-    new = lines.withColumn("text", F.when(F.col("no") % 3 == 0, F.concat(F.lit("3.1、"), "text")).when(F.col("no") % 3 == 1, F.concat(F.lit("。"), F.upper("text"), F.lit("。 more"))).otherwise(F.reverse("text")))
+    new = lines.withColumn("text", F.when(F.col("no") % 3 == 0, F.concat(F.lit("3.1、"), "text")).when(F.col("no") % 3 == 1, F.concat(F.lit("。"), F.translate("text", LETTERS, LETTERS.upper()), F.lit("。 more"))).otherwise(F.reverse("text")))
     return pairing.same_content(lines, new).drop("chapter")
 
 
@@ -211,6 +215,15 @@ select doc_id, line_no, kind, kind || '-' || line_no || case when k > 1 then '-'
     "high_risk_issues": f"with {base._ODD} select doc_id, line_no, kind, risk from issues where risk = 'high'",
     "change_summaries": f"""with recursive {base._CHANGED}, t as (select *, trim(replace(coalesce(old_line, ''), chr(10), ' ')) as o, trim(replace(coalesce(new_line, ''), chr(10), ' ')) as n from changes)
 select doc_id, kind, old_no, new_no, case kind when 'added' then '[新增] ' || left(n, 160) when 'removed' then '[删除] ' || left(o, 160) else case when o <> '' and n <> '' then '[修改] ' || left(o, 80) || ' → ' || left(n, 80) else '[修改] 内容发生变化' end end as summary from t""",
+    "same_content_pairs": f"""with recursive {base._LINES}, t as (select doc_id, line_no as no, line, case line_no % 3 when 0 then '3.1、' || line when 1 then '。' || translate(line, '{LETTERS}', '{LETTERS.upper()}') || '。 more' else reverse(line) end as later from lines),
+keys as (select doc_id, no, lower(regexp_replace(regexp_replace(line, '\\s+', '', 'g'), '(^|[。；;])\\d+(?:\\.\\d+)+[、.]?', '\\1', 'g')) as a, lower(regexp_replace(regexp_replace(later, '\\s+', '', 'g'), '(^|[。；;])\\d+(?:\\.\\d+)+[、.]?', '\\1', 'g')) as b from t),
+c as (select o.doc_id, o.no as a, n.no as b, o.a = n.b as same, case when length(o.a) > length(n.b) then o.a else n.b end as l, case when length(o.a) > length(n.b) then n.b else o.a end as s
+  from keys o join keys n on o.doc_id = n.doc_id and length(o.a) >= 12 and length(n.b) >= 12 and (o.a = n.b or contains(o.a, n.b) or contains(n.b, o.a))),
+w as (select *, case when same then 2 else 1 end as rel from c where same or len(list_filter(range(1, length(l) - length(s) + 2), lambda i: substring(l, i, length(s)) = s
+  and (i = 1 or contains('。；;！？!?．', substring(l, i - 1, 1))) and (i + length(s) - 1 = length(l) or contains('。；;！？!?．', right(s, 1)) or contains('。；;！？!?．', substring(l, i + length(s), 1))))) > 0),
+g as (select doc_id, list({{'a': a, 'b': b, 'rel': rel}} order by a, rel desc, abs(a - b), b) as rest, null::struct(a int, b int, rel int) as take from w group by doc_id
+  union all select doc_id, list_filter(rest, lambda x: x.a <> rest[1].a and x.b <> rest[1].b), rest[1] from g where len(rest) > 0)
+select doc_id, take.a as a, take.b as b, case when take.rel = 2 then 1.0 else 0.95 end as score from g where take is not null""",
     "conflict_evidence": f"with {_EVIDENCE} select doc_id, evidence from shown",
     "judge_results": f"""with {_EVIDENCE} select doc_id, case when coalesce(toxic, 0) <> 1 then 'consistent' when quality = 1 and evidence <> 'none' then 'inconsistent' else 'suspect' end as verdict, left(coalesce(text, ''), 80) as excerpt
 from labels join documents using (doc_id) join shown using (doc_id)""",
