@@ -297,6 +297,8 @@ select count(*) as n_documents, count(*) filter (where status = 'active') as n_a
     "html_title_text": """with b as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t-\\r]+', ' ', 'g')) as title,
 regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<title\\b.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') as t from pages)
 select page_id, title, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t-\\r]+', ' ', 'g')) as text from b""",
+    "progress_stream_windows": """with w as (select time_bucket(interval '60 minutes', ts) as window_start, event_type, count(*) as n from events group by all)
+select window_start, event_type, n from w where window_start + interval '60 minutes' <= (select max(ts) - interval '2 hours' from events)""",
     "html_table_rows": """with p as (select page_id, case when page_id % 3 > 0 then html || '<table class=''t''><TR><th>Title</th><th scope=col>No &amp; mark</th></TR>' || case when page_id % 3 = 2 then '<tr>' || chr(10) || '<td>' || coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') || '</td><td><b>' || page_id || '</b> &lt;x&gt;</td></tr>' else '' end || '<tr><td>end</td></tr></table>' else html end as h from pages),
 r as (select page_id, regexp_extract_all(h, '(?is)<tr\\b.*?</tr>') as rows from p), e as (select page_id, i - 1 as row_no, regexp_extract_all(rows[i], '(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>', 1) as c from r, lateral (select unnest(range(1, len(rows) + 1)) as i))
 select page_id, cast(row_no as int) as row_no, array_to_string(list_transform(c, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \\t-\\r]+', ' ', 'g'))), '|') as cells from e""",
