@@ -10,6 +10,8 @@ from palimpsest.sources.durable import written
 
 #: Lines with fewer characters have no say.
 SHORTEST = 6
+#: Share of the lines whose grams are counted, and grams that count as common (they order grams, whatever they are).
+SAMPLE, COMMON = 0.05, 256
 
 
 def _texts(docs: DataFrame, side: str) -> DataFrame:
@@ -23,18 +25,21 @@ def _texts(docs: DataFrame, side: str) -> DataFrame:
 def _alike(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
     """doc_id, old_no, new_no, likeness (`least` or more) of rows (doc_id, no, grams) of one document.
 
-    Two rows meet only if they share one of their rarest grams, at places that leave room
+    Two rows meet only if they share one of their first grams, at places that leave room
     for enough shared ones: of two sets of a and b grams with similarity t, at least
     t / (1 + t) * (a + b) are shared, and each has one of them among its first
-    size - ceil(t * size) + 1 in any common order.
+    size - ceil(t * size) + 1 in any common order.  The order here has grams that are
+    common in a sample last and the others by their hash; any order finds every pair.
     """
     sides = old.select("doc_id", "no", "grams", F.lit("old").alias("side")).unionByName(new.select("doc_id", "no", "grams", F.lit("new").alias("side")))
-    grams = sides.select("doc_id", "side", "no", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    common = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("uses"))
-    rare = grams.join(common, ["doc_id", "gram"]).groupBy("doc_id", "side", "no", "size").agg(F.array_sort(F.collect_list(F.struct("uses", "gram"))).alias("g"))
+    seen = sides.sample(SAMPLE, 1).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    common = F.array(*(F.lit(r["gram"]) for r in reversed(seen.orderBy(F.desc("n"), "gram").limit(COMMON).collect()))).cast("array<string>")
+    rare = F.transform(F.array_sort(F.transform(F.array_except("grams", common), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))), lambda x: x["gram"])
     # the small term keeps a product such as 0.55 * 20 from being taken for more than it is
-    kept = (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int")
-    heads = written(rare.select("doc_id", "side", "no", "size", F.posexplode(F.slice("g.gram", F.lit(1), kept)).alias("at", "gram")), "heads")
+    size = F.size("grams")
+    kept = (size - F.ceil(size * least - 1e-9) + 1).cast("int")
+    first = F.slice(F.concat(rare, F.array_intersect(common, F.col("grams"))), F.lit(1), kept)
+    heads = written(sides.where(size > 0).select("doc_id", "side", "no", size.alias("size"), F.posexplode(first).alias("at", "gram")), "heads")
     x = heads.where("side = 'old'").select("doc_id", "gram", F.col("no").alias("old_no"), F.col("size").alias("sa"), F.col("at").alias("ia"))
     y = heads.where("side = 'new'").select("doc_id", "gram", F.col("no").alias("new_no"), F.col("size").alias("sb"), F.col("at").alias("ib"))
     room = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= (F.col("sa") + F.col("sb")) * (least / (1 + least)) - 1e-9
