@@ -41,8 +41,8 @@ from .pieces import _CLASS, _WS, PieceTable, WordTable, mix, plain_table, runs,
 
 #: Classes of a block.
 BLOCK = 128
-#: Bits of a parity sketch.
-BITS = 512
+#: Bits of a parity sketch, and of one for classes that are still to be compared.
+BITS, WIDE = 512, 4096
 #: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
 SAMPLE, COMMON = 20_000, 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -183,9 +183,9 @@ def signatures(items: np.ndarray, size: int, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity(items: np.ndarray) -> bytes:
+def parity(items: np.ndarray, bits: int = BITS) -> bytes:
     """The parity sketch of a set: sets that differ in d elements have sketches that differ in d bits at most."""
-    odd = np.bincount((mix(items ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((mix(items ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -196,8 +196,23 @@ def may_be_alike(n: np.ndarray, bits: np.ndarray, m: np.ndarray, others: np.ndar
     return (differ * (den + num) <= (n + m) * (den - num)) & (num * n <= den * m) & (num * m <= den * n)
 
 
-def _sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _sketches(column, bits: int = BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, bits // 64)
+
+
+def _wide_sketches(texts: DataFrame, n: int) -> DataFrame:
+    """c, n and wide (a sketch of WIDE bits) of the n-gram sets of texts (c, text)."""
+
+    def run(parts):
+        words = WordTable()
+        for batch in parts:
+            for lo in range(0, batch.num_rows, 512):
+                words.trim()
+                part = batch.slice(lo, 512)
+                made = [(size, parity(s, WIDE)) for s, size, _ in shingle_sets(part.column(1), n, words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["c", "n", "wide"])
+
+    return texts.select("c", "text").mapInArrow(run, "c bigint, n bigint, wide binary")
 
 
 def common_grams(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -407,8 +422,9 @@ def _by_blocks(rest: DataFrame, sketch: DataFrame, texts: DataFrame, n: int, num
     Rows stand in the order of sig, root and size and are cut into blocks, so that a block
     has many small sigs, or a part of a large one.  Blocks meet as far as a sig lies in
     both, with sizes that can be alike and more than one root.  Where sketches leave any
-    pair of different roots open, the texts of the classes concerned are compared where
-    the blocks meet, and a spanning forest of their links comes out: no pair is a row.
+    pair of different roots open, wide sketches of the classes concerned meet, and the
+    texts of what these leave are compared where the blocks meet; a spanning forest of
+    their links comes out.  No pair is a row.
     """
     rows, parts = ranged(rest.join(sketch, "c"), ["sig", "root", "n", "c"], "members")
     rows = rows.join(F.broadcast(parts.select("part", "before").coalesce(1)), "part")
@@ -438,6 +454,23 @@ def _by_blocks(rest: DataFrame, sketch: DataFrame, texts: DataFrame, n: int, num
     members = F.array_distinct(F.concat("a", "b"))
     asked = open_.select("i", "j", "a", "b", F.explode(members).alias("c")).select("i", "j", "c", F.array_contains("a", F.col("c")).alias("left"), F.array_contains("b", F.col("c")).alias("right"))
 
+    # wide sketches, made once a class, leave few of them to be compared by their words
+    concerned = asked.select("c").distinct()
+    wide = stored(_wide_sketches(texts.join(concerned, "c", "left_semi"), n).join(rest.select("c", "root").distinct(), "c"), "wide")
+
+    def narrowed(group):
+        c, size, root = (group.column(k).to_numpy() for k in ("c", "n", "root"))
+        bits = _sketches(group.column("wide"), WIDE)
+        left, right = (np.flatnonzero(group.column(k).to_numpy(zero_copy_only=False)) for k in ("left", "right"))
+        alike = may_be_alike(size[left], bits[left], size[right], bits[right], num, den) & (root[left][:, None] != root[right][None, :])
+        keep_left, keep_right = np.zeros(len(c), bool), np.zeros(len(c), bool)
+        keep_left[left[alike.any(axis=1)]] = True
+        keep_right[right[alike.any(axis=0)]] = True
+        kept = group.select(["i", "j", "c"]).append_column("left", pa.array(keep_left)).append_column("right", pa.array(keep_right))
+        return kept.filter(pa.array(keep_left | keep_right))
+
+    asked = stored(asked.join(wide, "c").groupBy("i", "j").applyInArrow(narrowed, "i bigint, j bigint, c bigint, left boolean, right boolean"), "asked")
+
     def compare(group):
         side = lambda name: np.flatnonzero(group.column(name).to_numpy(zero_copy_only=False))
         return _forest(group, side("left"), side("right"), n, num, den)
