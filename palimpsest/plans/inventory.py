@@ -122,6 +122,8 @@ def _joined_tables(spark, sf_dir):
     parts = base._orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 11).alias("page")).agg(F.array_sort(F.collect_list(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))).alias("body"))
     head = F.array(F.lit("key"), F.lit("status"), F.lit("priority"))
     rows = F.when((F.col("doc_id") + F.col("page")) % 2 == 0, F.concat(F.array(head), "body")).otherwise(F.col("body"))
+    # a column and a row without anything, as extraction leaves them, are cleaned off
+    rows = continued.cleaned(F.concat(F.transform(rows, lambda r: F.concat(r, F.array(F.lit(" ")))), F.array(F.array(F.lit("")))))
     share = lambda k: (F.col("page") % k / k).cast("double")
     parts = parts.select("doc_id", "page", F.lit(0).cast("long").alias("pos"), F.when(F.col("page") % 4 == 0, "3.1").otherwise("").alias("chapter"), share(5).alias("top"), share(3).alias("bottom"), rows.alias("rows"))
     out = continued.joined(parts)
