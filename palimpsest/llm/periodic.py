@@ -139,7 +139,11 @@ def find_runs(words: np.ndarray, edges: np.ndarray) -> dict[tuple[int, int], int
         periodic = np.zeros(len(hashes) + 1, np.int32)
         for (left, length), q in found.items():
             if 4 * q <= t <= length:
-                left = left if place is None else int(np.searchsorted(place, left))
+                at_place = left if place is None else int(np.searchsorted(place, left))
+                # a run of a text that was left out has no place here
+                if place is not None and (at_place == len(place) or place[at_place] != left):
+                    continue
+                left = at_place
                 if left < len(words) and left + length - t < len(hashes):
                     periodic[left] += 1
                     periodic[left + length - t + 1] -= 1

@@ -73,6 +73,17 @@ def test_meeting_hashes_cost_no_run(monkeypatch):
     test_runs_equal_brute_force(3)
 
 
+def test_runs_of_texts_left_out_hide_none_of_the_next():
+    rng = random.Random(5)
+    for q in range(8, 40):
+        part = [rng.choice("abcdefgh") for _ in range(q)]
+        for n in (8, 12, 20, 31, 60):
+            many = [["a"] * n, (part * 5)[: 4 * q + n % 3], ["x", "y"] * n, part * 4 + ["end"]]
+            table = periodic._Words()
+            mine, _ = periodic._search([table.of(" ".join(w).encode()) for w in many], table)
+            assert [[(r["start"], r["length"], r["period"]) for r in m] for m in mine] == [brute(w) for w in many]
+
+
 def damaged(doc_id, text):
     h = zlib.crc32(str(doc_id).encode())
     g, words = h // 10, re.findall(r"[^\x20\x09-\x0D]+", text or "")
