@@ -2,59 +2,88 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import bigrams, jaccard
+from palimpsest.operators import blocks
 from palimpsest.sources.durable import written
 
 #: Lines with fewer characters have no say.
 SHORTEST = 6
-#: Share of the lines whose grams are counted, and grams that count as common (they order grams, whatever they are).
-SAMPLE, COMMON = 0.05, 256
 
 
-def _texts(docs: DataFrame, side: str) -> DataFrame:
-    """doc_id, no (first line with it), n (copies), line and grams of each different line of a document."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, no (first line with it), n (copies) and line of each different line of a document."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
     lines = lines.withColumn("line", F.trim("line")).where(F.length("line") >= SHORTEST)
-    once = lines.groupBy("doc_id", "line").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("n"))
-    return once.withColumn("grams", bigrams(F.col("line"))).withColumn("side", F.lit(side))
+    return lines.groupBy("doc_id", "line").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("n"))
 
 
-def _alike(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
-    """doc_id, old_no, new_no, likeness (`least` or more) of rows (doc_id, no, grams) of one document.
+def _alike(least: float, matching: bool):
+    """Pairs of each pair of blocks that are alike by `least`; if `matching`, of a document's only one those that are taken best first."""
 
-    Two rows meet only if they share one of their first grams, at places that leave room
-    for enough shared ones: of two sets of a and b grams with similarity t, at least
-    t / (1 + t) * (a + b) are shared, and each has one of them among its first
-    size - ceil(t * size) + 1 in any common order.  The order here has grams that are
-    common in a sample last and the others by their hash; any order finds every pair.
+    def run(batches):
+        for batch in batches:
+            found = []
+            pairs = zip(blocks.sides(batch.column("a"), ["text"]), blocks.sides(batch.column("b"), ["text"]), batch.column("alone").to_pylist(), strict=True)
+            for at, ((no_a, x), (no_b, y), alone) in enumerate(pairs):
+                scores = blocks.jaccard_matrix(x, y)
+                i, j = np.nonzero(scores >= least)
+                score = scores[i, j]
+                if matching and alone:
+                    kept = blocks.best_first(no_a, no_b, i, j, score)
+                    i, j, score = i[kept], j[kept], score[kept]
+                found.append((np.full(len(i), at), no_a[i], no_b[j], score, np.full(len(i), alone)))
+            at, *columns = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+            docs = batch.column("doc_id").take(pa.array(at, pa.int64()))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([docs, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "old_no", "new_no", "likeness", "alone"])
+
+    return run
+
+
+def alike_pairs(old: DataFrame, new: DataFrame, least: float, matching: bool = False) -> DataFrame:
+    """doc_id, old_no, new_no, likeness of paragraphs (doc_id, no, text) of one document whose character pairs have a Jaccard similarity of `least` or more (above 0).
+
+    Also alone: the document has one block of paragraphs on either side.  If `matching`, of
+    such a document only the pairs come that are taken best first, each end once.
     """
-    sides = old.select("doc_id", "no", "grams", F.lit("old").alias("side")).unionByName(new.select("doc_id", "no", "grams", F.lit("new").alias("side")))
-    seen = sides.sample(SAMPLE, 1).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    common = F.array(*(F.lit(r["gram"]) for r in reversed(seen.orderBy(F.desc("n"), "gram").limit(COMMON).collect()))).cast("array<string>")
-    rare = F.transform(F.array_sort(F.transform(F.array_except("grams", common), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))), lambda x: x["gram"])
-    # the small term keeps a product such as 0.55 * 20 from being taken for more than it is
-    size = F.size("grams")
-    kept = (size - F.ceil(size * least - 1e-9) + 1).cast("int")
-    first = F.slice(F.concat(rare, F.array_intersect(common, F.col("grams"))), F.lit(1), kept)
-    heads = written(sides.where(size > 0).select("doc_id", "side", "no", size.alias("size"), F.posexplode(first).alias("at", "gram")), "heads")
-    x = heads.where("side = 'old'").select("doc_id", "gram", F.col("no").alias("old_no"), F.col("size").alias("sa"), F.col("at").alias("ia"))
-    y = heads.where("side = 'new'").select("doc_id", "gram", F.col("no").alias("new_no"), F.col("size").alias("sb"), F.col("at").alias("ib"))
-    room = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= (F.col("sa") + F.col("sb")) * (least / (1 + least)) - 1e-9
-    near = (F.col("sb") >= F.col("sa") * least - 1e-9) & (F.col("sa") >= F.col("sb") * least - 1e-9)
-    pairs = x.join(y, ["doc_id", "gram"]).where(near & room).select("doc_id", "old_no", "new_no").distinct()
-    one = old.select("doc_id", F.col("no").alias("old_no"), F.col("grams").alias("ga"))
-    two = new.select("doc_id", F.col("no").alias("new_no"), F.col("grams").alias("gb"))
-    scored = pairs.join(one, ["doc_id", "old_no"]).join(two, ["doc_id", "new_no"]).withColumn("likeness", jaccard(F.col("ga"), F.col("gb")))
-    return scored.where(F.col("likeness") >= least).select("doc_id", "old_no", "new_no", "likeness")
-
-
-def alike_pairs(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
-    """doc_id, old_no, new_no, likeness of paragraphs (doc_id, no, text) of one document whose character pairs have a Jaccard similarity of `least` or more."""
-    rows = lambda d, name: written(d.select("doc_id", "no", bigrams(F.col("text")).alias("grams")).where(F.size("grams") > 0), name)
-    return _alike(rows(old, "old-grams"), rows(new, "new-grams"), least)
+    rows = lambda d: d.where(F.length("text") >= 2)
+    kind = old.schema["doc_id"].dataType.simpleString()
+    return blocks.met(rows(old), rows(new), ["doc_id"], ["text"]).mapInArrow(_alike(least, matching), f"doc_id {kind}, old_no long, new_no long, likeness double, alone boolean")
+
+
+def _best(least: float):
+    """Each old line of a pair of blocks with its most alike new line, the earliest of equals; none below `least`."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("at", "no", "line", "n", "likeness", "new_no", "new_line")}
+            pairs = zip(blocks.sides(batch.column("a"), ["line", "n"]), blocks.sides(batch.column("b"), ["line", "n"]), strict=True)
+            for at, ((no_a, x, n), (no_b, y, _)) in enumerate(pairs):
+                top = np.zeros(len(x), np.int64)
+                score = np.zeros(len(x))
+                if y:
+                    scores = blocks.jaccard_matrix(x, y)
+                    top = scores.argmax(axis=1)
+                    score = scores[np.arange(len(x)), top]
+                good = (score >= least) & (score > 0)
+                out["at"] += [at] * len(x)
+                out["no"] += no_a.tolist()
+                out["line"] += x
+                out["n"] += n
+                out["likeness"] += np.where(good, score, 0.0).tolist()
+                out["new_no"] += [int(no_b[k]) if g else None for k, g in zip(top.tolist(), good.tolist(), strict=True)]
+                out["new_line"] += [y[k] if g else None for k, g in zip(top.tolist(), good.tolist(), strict=True)]
+            at = pa.array(out.pop("at"), pa.int64())
+            docs = batch.column("doc_id").take(at)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.string()]
+            columns = [pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([docs, *columns, batch.column("alone").take(at)], ["doc_id", *out, "alone"])
+
+    return run
 
 
 def best_partners(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
@@ -62,21 +91,17 @@ def best_partners(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFra
 
     likeness is the Jaccard similarity of character pairs with the most alike line of the
     new version (the earliest of equals); 0 and a null new_line if none has `least`.
-    Lines with the same pairs meet in a hash join, the others by `_alike`.
+    Blocks of a document's lines meet, each pair of blocks in one product.
     """
-    a, b = written(_texts(old, "old"), "old-lines"), written(_texts(new, "new"), "new-lines")
-    same = lambda d: d.withColumn("key", F.sha2(F.array_join(F.array_sort("grams"), "\x1f"), 256))
-    first = same(b).groupBy("doc_id", "key").agg(F.min(F.struct(F.col("no").alias("new_no"), F.col("line").alias("new_line"))).alias("m"))
-    met = same(a).join(first, ["doc_id", "key"], "left")
-    equal = met.where("m is not null").select("doc_id", "line", "n", "m.new_line", F.lit(1.0).alias("likeness"))
-    rest = written(met.where("m is null").select("doc_id", "no", "line", "n", "grams"), "other-lines")
-    # only documents that still have a line to place
-    there = b.join(rest.select("doc_id").distinct(), "doc_id", "left_semi")
-    two = there.select("doc_id", F.col("no").alias("new_no"), F.col("line").alias("new_line"))
-    scored = _alike(rest, there, least).join(two, ["doc_id", "new_no"])
-    best = scored.groupBy("doc_id", "old_no").agg(F.max(F.struct("likeness", (-F.col("new_no")).alias("o"), "new_line")).alias("m"))
-    placed = rest.select("doc_id", F.col("no").alias("old_no"), "line", "n").join(best, ["doc_id", "old_no"], "left")
-    return equal.unionByName(placed.select("doc_id", "line", "n", F.col("m.new_line").alias("new_line"), F.coalesce("m.likeness", F.lit(0.0)).alias("likeness")))
+    a, b = written(_texts(old), "old-lines"), written(_texts(new), "new-lines")
+    kind = old.schema["doc_id"].dataType.simpleString()
+    met = blocks.met(a, b, ["doc_id"], ["line", "n"], "left")
+    best = met.mapInArrow(_best(least), f"doc_id {kind}, no long, line string, n long, likeness double, new_no long, new_line string, alone boolean")
+    best = written(best, "best")
+    # only lines of documents of several blocks have several partners to choose from
+    order = F.struct("likeness", (-F.col("new_no")).alias("early"), "new_line")
+    several = best.where("not alone").groupBy("doc_id", "no", "line", "n").agg(F.max(order).alias("m")).select("doc_id", "line", "n", "m.new_line", "m.likeness")
+    return best.where("alone").select("doc_id", "line", "n", "new_line", "likeness").unionByName(several)
 
 
 def content_overlap(old: DataFrame, new: DataFrame, least: float = 0.5, versions: float = 0.5) -> DataFrame:
