@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.normal import content_key, has_sentences
-from palimpsest.functions.text import window_hashes
+from palimpsest.functions.normal import BOUNDARIES, content_key
+from palimpsest.operators import blocks
 from palimpsest.sources.durable import written
 
 #: Shorter contents are not paired by this rule.
@@ -33,32 +34,75 @@ def in_turn(wishes: DataFrame, ends: list[str]) -> DataFrame:
         left = written(left.join(refused, [*ends, "a", "b"], "left_anti").select(*left.columns), "wishes")
 
 
+def _holding(outer: list[str], inner: list[str]) -> set[tuple[int, int]]:
+    """(place in outer, place in inner) of contents that hold another as whole sentences; inner ones have PROBE characters or more."""
+    heads: dict[str, list[int]] = {}
+    for j, t in enumerate(inner):
+        if len(t) >= SHORTEST:
+            heads.setdefault(t[:PROBE], []).append(j)
+    out = set()
+    for i, t in enumerate(outer):
+        for k in range(len(t) - PROBE + 1):
+            for j in heads.get(t[k : k + PROBE], ()):
+                s, end = inner[j], k + len(inner[j])
+                if len(s) < len(t) and t.startswith(s, k) and (k == 0 or t[k - 1] in BOUNDARIES) and (end == len(t) or t[end - 1] in BOUNDARIES or t[end] in BOUNDARIES):
+                    out.add((i, j))
+    return out
+
+
+def _wishes(batches):
+    """(a, b, relation) of the contents of each pair of blocks; of a chapter's only one those that come about if the a's choose in turn."""
+    for batch in batches:
+        at, a, b, relation = [], [], [], []
+        pairs = zip(blocks.sides(batch.column("a"), ["key"]), blocks.sides(batch.column("b"), ["key"]), batch.column("alone").to_pylist(), strict=True)
+        for row, ((no_a, x), (no_b, y), alone) in enumerate(pairs):
+            no_a, no_b = no_a.tolist(), no_b.tolist()
+            equal: dict[str, list[int]] = {}
+            for j, key in enumerate(y):
+                if len(key) >= SHORTEST:
+                    equal.setdefault(key, []).append(j)
+            holds: dict[int, set[int]] = {}
+            for i, j in _holding(x, y):
+                holds.setdefault(i, set()).add(j)
+            for j, i in _holding(y, x):
+                holds.setdefault(i, set()).add(j)
+            used: set[int] = set()
+            for i, key in enumerate(x):
+                for kind, wished in ((2, equal.get(key, ())), (1, holds.get(i, ()))):
+                    some = [j for j in wished if j not in used]
+                    if alone and some:
+                        some = [min(some, key=lambda j: (abs(no_a[i] - no_b[j]), no_b[j]))]
+                        used.update(some)
+                    at += [row] * len(some)
+                    a += [no_a[i]] * len(some)
+                    b += [no_b[j] for j in some]
+                    relation += [kind] * len(some)
+                    if alone and some:
+                        break
+        place = pa.array(at, pa.int64())
+        ends = [batch.column(c).take(place) for c in ("doc_id", "chapter")]
+        yield pa.RecordBatch.from_arrays([*ends, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(relation, pa.int32()), batch.column("alone").take(place)], ["doc_id", "chapter", "a", "b", "relation", "alone"])
+
+
 def same_content(old: DataFrame, new: DataFrame) -> DataFrame:
     """doc_id, chapter, a, b and score of paragraphs (doc_id, chapter, no, text) that pair by content.
 
     Within a chapter, contents are the same if their keys are equal (1.0), or if one
     holds the other as whole sentences (0.95).  Old paragraphs choose in order: equal
     before holding, the nearest place, then the earlier one.  Keys under SHORTEST characters are not
-    paired.
+    paired.  A chapter's keys meet in pairs of blocks; one of several blocks chooses in rounds.
     """
-    keyed = lambda d: d.select("doc_id", "chapter", "no", content_key(F.col("text"), False).alias("key")).where(F.length("key") >= SHORTEST)
-    x, y = written(keyed(old), "old"), written(keyed(new), "new")
-    left, right = x.select("doc_id", "chapter", F.col("no").alias("a"), F.col("key").alias("ka")), y.select("doc_id", "chapter", F.col("no").alias("b"), F.col("key").alias("kb"))
-    ends = ["doc_id", "chapter"]
-    # a chapter's copies of one content are the largest group here
-    equal = left.join(right.withColumnRenamed("kb", "ka"), [*ends, "ka"]).select(*ends, "a", "b", F.lit(2).alias("relation"))
-
-    def holds(outer: DataFrame, inner: DataFrame, o: str, i: str) -> DataFrame:
-        # windows travel as hashes, without the text; what meets is verified by its texts
-        windows = outer.select(*ends, F.col(o), F.explode(window_hashes(F.col(f"k{o}"), PROBE)).alias("probe"))
-        met = windows.join(inner.select(*ends, F.col(i), F.xxhash64(F.left(f"k{i}", F.lit(PROBE))).alias("probe")), [*ends, "probe"]).select(*ends, "a", "b")
-        both = met.join(left, [*ends, "a"]).join(right, [*ends, "b"])
-        return both.where(has_sentences(F.col(f"k{o}"), F.col(f"k{i}"))).select(*ends, "a", "b", F.lit(1).alias("relation")).distinct()
-
-    wishes = equal.unionByName(holds(right, left, "b", "a")).unionByName(holds(left, right, "a", "b"))
+    keyed = lambda d: d.select("doc_id", "chapter", "no", content_key(F.col("text"), False).alias("key"))
+    # short keys are passed over where keys meet, as a filter here would make every key twice
+    ends, no = ["doc_id", "chapter"], old.schema["no"].dataType
+    kind = old.schema["doc_id"].dataType.simpleString()
+    met = blocks.met(keyed(old), keyed(new), ends, ["key"])
+    wishes = written(met.mapInArrow(_wishes, f"doc_id {kind}, chapter string, a long, b long, relation int, alone boolean"), "content")
+    several = wishes.where("not alone").drop("alone")
     rank = F.struct("relation", (-F.abs(F.col("a") - F.col("b"))).alias("near"), (-F.col("b")).alias("early"))
-    pairs = in_turn(wishes.withColumn("rank", rank), ends)
-    return pairs.select(*ends, "a", "b", F.when(F.col("rank.relation") == 2, 1.0).otherwise(0.95).alias("score"))
+    turned = in_turn(several.withColumn("rank", rank), ends).select(*ends, "a", "b", F.col("rank.relation").alias("relation"))
+    pairs = wishes.where("alone").select(*ends, "a", "b", "relation").unionByName(turned)
+    return pairs.select(*ends, F.col("a").cast(no).alias("a"), F.col("b").cast(no).alias("b"), F.when(F.col("relation") == 2, 1.0).otherwise(0.95).alias("score"))
 
 
 def without_copies(pairs: DataFrame) -> DataFrame:

@@ -65,6 +65,21 @@ def test_pairs_are_those_of_the_sequential_rule(spark):
         assert got == serial(old, new)
 
 
+def test_chapters_of_several_blocks_pair_by_the_same_rule(spark, monkeypatch):
+    monkeypatch.setattr(pairing.blocks, "BLOCK", 4)
+    test_pairs_are_those_of_the_sequential_rule(spark)
+
+
+def test_contents_meet_without_a_row_for_a_window_or_a_round_for_a_copy(spark, monkeypatch):
+    made, kept = [], pairing.written
+    monkeypatch.setattr(pairing, "written", lambda df, name: made.append(kept(df, name)) or made[-1])
+    old = [(1, "1", i, "设备，每月检查一次并且记录结果。" * 40) for i in range(12)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, chapter string, no int, text string")
+    got = sorted((r.a, r.b, r.score) for r in pairing.same_content(table(old), table(old)).collect())
+    assert got == [(i, i, 1.0) for i in range(12)]
+    assert sum(t.count() for t in made) <= 12 and len(made) <= 3
+
+
 PARTS = "doc_id long, page long, pos long, chapter string, top double, bottom double, rows array<array<string>>"
 
 
