@@ -26,11 +26,11 @@ def _streamed(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    """Documents that land in three files, one after the other, and are added to a library."""
+    """Documents that land in three batches of files, one after the other, and are added to a library."""
     root = f"{spark.conf.get('spark.checkpoint.dir')}/palimpsest/library-{uuid.uuid4().hex}"
     docs = base._documents(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("")).alias("family"), "text").where("doc_id is not null")
     for part in range(3):
-        docs.where(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        docs.where(F.col("doc_id") % 3 == part).write.mode("append").parquet(f"{root}/landing")
         landing = spark.readStream.schema(docs.schema).parquet(f"{root}/landing")
         ingest.follow(landing, f"{root}/store")
     return ingest.documents(spark, f"{root}/store").select("doc_id", "family", "sha256", "n_paragraphs", "status")

@@ -109,3 +109,18 @@ def test_confirmation_and_deletion(spark, tmp_path):
     assert library(spark, root) == ([(1, "a", 2, "active")], [(1, 0, "one"), (1, 1, "two")])
     ingest.add_batch(spark.createDataFrame([], DOCS), 1, root)
     assert ingest.ledger(spark, root).count() == 2
+
+
+def test_landing_is_written_by_several_tasks(spark, tmp_path):
+    """Documents of four files land in files of four tasks, in three batches, and none is lost."""
+    import glob
+
+    from palimpsest.plans import streams
+
+    rows = [(d, f"text {d % 50}", f"s{d % 3}", "en", 6) for d in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/palimpsest/library-*"
+    before = set(glob.glob(f"{root}/landing/part-*"))
+    got = streams._ingested(spark, str(tmp_path)).collect()
+    assert len(set(glob.glob(f"{root}/landing/part-*")) - before) >= 9
+    assert len(got) == 50 and sum(r.status == "active" for r in got) == 3
