@@ -104,22 +104,19 @@ def pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-6
 
-    def blocks(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
         placed = written(_pivoted(rows, pivots), side)
         sizes = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
         parts = F.coalesce(*(F.when(F.col("pivot") == p, -(-k // BLOCK)) for p, k in sizes.items()), F.lit(1))
         named = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        full = named.groupBy("pivot", "block").agg(F.max("angle").alias("radius"), F.collect_list(F.struct("id", "vector")).alias("rows"))
-        full = written(full.select(*(F.col(c).alias(f"{side}_{c}") for c in full.columns)), f"{side}-blocks")
-        return full, full.drop(f"{side}_rows")
-
-    x, small_x = blocks(left, "x")
-    y, small_y = blocks(right, "y")
-    between = spark.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "x_pivot int, y_pivot int, apart double")
-    # what says where blocks lie: no more rows than pairs of blocks, without vectors
-    near = small_x.crossJoin(small_y).join(F.broadcast(between), ["x_pivot", "y_pivot"], "left")
-    near = near.where((F.col("apart") <= F.col("x_radius") + F.col("y_radius") + reach) | ((F.col("x_pivot") < 0) & (F.col("x_pivot") == F.col("y_pivot"))))
-    met = near.select("x_pivot", "x_block", "y_pivot", "y_block").join(x, ["x_pivot", "x_block"]).join(y, ["y_pivot", "y_block"]).select("x_rows", "y_rows")
+        full = named.groupBy("pivot", "block").agg(F.max("angle").alias("radius"), F.collect_list(F.struct("id", "vector")).alias("rows")).drop("block")
+        return written(full.select(*(F.col(c).alias(f"{side}_{c}") for c in full.columns)), f"{side}-blocks")
+
+    # tasks read the blocks of both tables where these lie: a block is shuffled once, however many it meets
+    between = F.split(F.lit(",".join(map(repr, apart.ravel().tolist()))), ",").cast("array<double>")
+    there = F.when((F.col("x_pivot") >= 0) & (F.col("y_pivot") >= 0), F.get(between, F.col("x_pivot") * len(pivots) + F.col("y_pivot")))
+    near = (there <= F.col("x_radius") + F.col("y_radius") + reach) | ((F.col("x_pivot") < 0) & (F.col("x_pivot") == F.col("y_pivot")))
+    met = blocks(left, "x").crossJoin(blocks(right, "y")).where(near).select("x_rows", "y_rows")
 
     def run(parts):
         for batch in parts:

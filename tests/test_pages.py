@@ -215,3 +215,15 @@ def test_pairs_of_a_likeness_carry_no_texts(spark, monkeypatch):
     lines = spark.createDataFrame([(d, t) for d in range(40) for t in ("all have it", "all have it", f"own {d % 9}")], "doc_id long, line string")
     met = likeness.sharing(lines.where("doc_id < 3"), lines)
     assert sorted((r.doc_a, r.doc_b) for r in met.collect()) == [(a, b) for a in range(3) for b in range(40) if a != b]
+
+
+def test_blocks_of_vectors_are_not_shuffled_for_each_pair(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval.pairs_above(rows, rows, 0.9)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" in plan and "Exchange" not in plan
