@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -33,10 +34,31 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(shown, SPACES, " "))
 
 
+# ZERO_WIDTH, SPACES and NUMBERED_ITEM as Spark's expressions read them
+_GONE = re.compile("[\u200b\u200c\u200d\ufeff\u2060 \t\n\v\f\r\u00a0\u2000-\u200a\u202f\u205f\u3000]+")
+_ITEM = re.compile("(\\A|(?<=[\x85\u2028\u2029])|[。；;])[0-9]+(?:\\.[0-9]+)+[、.]?")
+_ASCII_SPACES = dict.fromkeys(map(ord, " \t\n\v\f\r"))
+
+
+def _bare(text: str | None) -> str:
+    if text is None:
+        return ""
+    return text.translate(_ASCII_SPACES) if text.isascii() else _GONE.sub("", unicodedata.normalize("NFKC", text))
+
+
+@F.pandas_udf(StringType())
+def _key(texts: pd.Series) -> pd.Series:
+    return texts.map(_bare)
+
+
+@F.pandas_udf(StringType())
+def _numberless_key(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _ITEM.sub(r"\1", _bare(t)))
+
+
 def content_key(text: Column, item_numbers: bool = True, fold: bool = True) -> Column:
-    """What two paragraphs of the same content share: no white space and, if asked, no case or numbers of items."""
-    bare = F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), ZERO_WIDTH, ""), SPACES, "")
-    key = bare if item_numbers else F.regexp_replace(bare, NUMBERED_ITEM, "$1")
+    """What two paragraphs of the same content share: no white space and, if asked, no case or numbers of items; null is empty."""
+    key = _key(text) if item_numbers else _numberless_key(text)
     return F.lower(key) if fold else key
 
 

@@ -111,3 +111,24 @@ def test_cleaned_tables(spark):
     table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, rows array<array<string>>")
     got = [r.c for r in table.select("i", continued.cleaned(F.col("rows")).alias("c")).orderBy("i").collect()]
     assert got == [[["a", ""], ["b", "c"]], [], []]
+
+
+def test_content_keys_in_one_pass(spark):
+    """Keys are those of the Spark expressions, made in one pass over a text."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from palimpsest.functions import normal
+
+    def plain(text, items):
+        bare = F.regexp_replace(F.regexp_replace(normal.nfkc(F.coalesce(text, F.lit(""))), normal.ZERO_WIDTH, ""), normal.SPACES, "")
+        return F.lower(bare if items else F.regexp_replace(bare, normal.NUMBERED_ITEM, "$1"))
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aB1.2；;。、 \t\n\x0b\x1c\x85  　​Ａ①İΣ٣.１", k=rng.randrange(14))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for items in (True, False):
+        made = rows.select(normal.content_key(F.col("t"), items).alias("k"))
+        assert "regexp_replace" not in made._jdf.queryExecution().executedPlan().toString()
+        assert rows.where(~plain(F.col("t"), items).eqNullSafe(normal.content_key(F.col("t"), items))).count() == 0
