@@ -19,20 +19,29 @@ the n-grams of its texts, told apart by their words' bytes; it returns a spannin
 of its links, not the links.  Nothing is capped: many classes under one entry give more
 blocks, not larger ones.
 
-Where segments would get too small (lower thresholds), sets are indexed by prefixes
-instead: of two sets at the threshold, the first len - ceil(threshold * len) + 1 n-grams
-of each, in one order of all n-grams, share one.  The order has n-grams that are common
-in a sample last, so that unrelated sets rarely meet; any order finds every pair.
+Lower thresholds make segments so small that chance and common n-grams fill many.  There
+an allocation has SPARE segments to spare (m + 2 x > H + 2 SPARE), so alike sets agree on
+more than SPARE segments, and a set with at most so many "weak" segments leaves their weak
+entries out: entries of no n-gram, or only of n-grams that are common in a sample.  Two
+sets agree by weak entries alone on no more segments than either has weak ones, so one of
+the others still leads them to each other; which n-grams count as common tells nothing
+about the links.  The entries of such an index are made and met in rounds, each over some of
+the groups.
+
+Sets can be indexed by prefixes too: of two sets at the threshold, the first
+len - ceil(threshold * len) + 1 n-grams of each, in one order of all n-grams, share one.
+The order has n-grams that are common in a sample last.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hidden, ranged, salted_join, stored, table
@@ -45,6 +54,8 @@ BLOCK = 128
 BITS, WIDE = 512, 4096
 #: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
 SAMPLE, COMMON = 20_000, 1 << 16
+#: Where deletion segments alone would have fewer n-grams than this, they get SPARE segments to spare and are indexed in so many rounds.
+SMALL_SEGMENT, SPARE, ROUNDS = 8, 8, 3
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 _SPACE = _CLASS == _WS
 
@@ -118,7 +129,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.edges = [1]
+        self.edges, self.shapes = [1], {}
 
     def most(self, size: int) -> int:
         """The largest size that can still be alike."""
@@ -135,12 +146,19 @@ class Bands:
         self.band(self.edges[own + 1])
         return [own, own + 1] if self.most(size) >= self.edges[own + 1] else [own]
 
-    def shape(self, group: int) -> tuple[int, int]:
-        """(exact segments, deletion segments) of a group."""
-        self.band(self.edges[group])
-        low, high = self.edges[group], self.edges[group + 1] - 1
-        differ = 2 * high * (self.den - self.num) // (self.den + self.num)
-        return allocate(differ, low)
+    def shape(self, group: int, spare: int = 0) -> tuple[int, int]:
+        """(exact segments, deletion segments) of a group, of which alike sets agree on more than `spare`."""
+        if (group, spare) not in self.shapes:
+            self.band(self.edges[group])
+            low, high = self.edges[group], self.edges[group + 1] - 1
+            differ = 2 * high * (self.den - self.num) // (self.den + self.num)
+            self.shapes[group, spare] = allocate(differ + 2 * spare, low)
+        return self.shapes[group, spare]
+
+    def small(self) -> bool:
+        """Whether deletion segments alone have fewer than SMALL_SEGMENT n-grams, so that chance fills many."""
+        ratio = self.den / self.num
+        return (self.den + self.num) < SMALL_SEGMENT * ratio * ratio * (self.den - self.num)
 
 
 def allocate(differ: int, size: int) -> tuple[int, int]:
@@ -183,6 +201,40 @@ def signatures(items: np.ndarray, size: int, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def spare_signatures(items: np.ndarray, size: int, bands: Bands, common: np.ndarray, rounds: int = 1, turn: int = 0) -> np.ndarray:
+    """Index entries (uint64) of one set as `signatures` has them, with SPARE segments to spare.
+
+    Weak entries are left out where no more than SPARE segments have any (common: sorted
+    hashes).  Only groups with a number of `turn`, modulo `rounds`, are told.  n-grams whose
+    hashes meet count once.
+    """
+    rare = np.ones(len(items), np.int64)
+    if len(common):
+        rare[common[np.minimum(np.searchsorted(common, items), len(common) - 1)] == items] = 0
+    out = []
+    for g in bands.groups(size):
+        if g % rounds != turn:
+            continue
+        m, x = bands.shape(g, SPARE)
+        salt = mix(np.array([g + 1], np.uint64))[0]
+        mixed = mix(items + salt)
+        spot = ((mixed >> np.uint64(32)) % np.uint64(m + x)).astype(np.int64)
+        order = np.argsort(spot, kind="stable")
+        sums = np.r_[np.uint64(0), np.cumsum(mixed[order])]
+        edge = np.searchsorted(spot[order], np.arange(m + x + 1))
+        total = sums[edge[1:]] - sums[edge[:-1]]
+        known = np.bincount(spot, rare, m + x).astype(np.int64)
+        loose = np.arange(m + x) >= m
+        keep_weak = np.count_nonzero(known <= loose) > SPARE
+        name = mix(np.arange(m + x, dtype=np.uint64) * np.uint64(2) + salt)
+        out.append(mix(total + name)[keep_weak | (known > 0)])
+        tail = order[edge[m] :]
+        left = known[spot[tail]] - rare[tail]
+        tail = tail[keep_weak | (left > 0)]
+        out.append(mix(total[spot[tail]] - mixed[tail] + name[spot[tail]]))
+    return np.concatenate(out)
+
+
 def parity(items: np.ndarray, bits: int = BITS) -> bytes:
     """The parity sketch of a set: sets that differ in d elements have sketches that differ in d bits at most."""
     odd = np.bincount((mix(items ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -249,8 +301,8 @@ def prefixes(items: np.ndarray, size: int, bands: Bands, common: tuple[np.ndarra
     return np.concatenate([mix(first + mix(np.array([g + 1], np.uint64))[0]) for g in bands.groups(size)])
 
 
-def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """row, doc_id, n_shingles, k1, k2 (digest of the set), bits (its sketch) and sigs of every row of docs; sigs are prefixes if common is given."""
+def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarray, np.ndarray] | None = None, bare: bool = False) -> DataFrame:
+    """row, doc_id, n_shingles, k1, k2 (digest of the set), bits (its sketch) and sigs of every row of docs; sigs are prefixes if common is given, none if bare."""
 
     def run(parts):
         words, bands = WordTable(), Bands(num, den)
@@ -263,7 +315,7 @@ def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarra
                     sizes.append(size)
                     keys.append(key)
                     bits.append(parity(s))
-                    sigs.append(s if not size else signatures(s, size, bands) if common is None else prefixes(s, size, bands, common))
+                    sigs.append(s[:0] if bare or not size else signatures(s, size, bands) if common is None else prefixes(s, size, bands, common))
                 ends = np.r_[0, np.cumsum([len(x) for x in sigs])]
                 flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
                 k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -272,6 +324,37 @@ def indexed(docs: DataFrame, n: int, num: int, den: int, common: tuple[np.ndarra
     return docs.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bits binary, sigs array<bigint>")
 
 
+def _met(entries: DataFrame) -> DataFrame:
+    """c, sig and hub (the least class) of the entries (c, sig) that several classes have; entries of one class alone say nothing."""
+    hubs = entries.groupBy("sig").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("sig", "hub")
+    return entries.join(stored(hubs, "hubs"), "sig")
+
+
+def _met_in_rounds(texts: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+    """`_met` of the entries of texts (c, text, n_shingles) with segments to spare; a round makes and joins those of a part of the groups."""
+    found = []
+    for turn in range(ROUNDS):
+
+        def run(parts, turn=turn):
+            words, bands = WordTable(), Bands(num, den)
+            for batch in parts:
+                here = [any(g % ROUNDS == turn for g in bands.groups(size)) for size in batch.column(2).to_pylist()]
+                batch = batch.filter(pa.array(here, pa.bool_()))
+                for lo in range(0, batch.num_rows, 512):
+                    words.trim()
+                    part = batch.slice(lo, 512)
+                    sigs = [np.unique(spare_signatures(s, size, bands, common, ROUNDS, turn)) for s, size, _ in shingle_sets(part.column(1), n, words)]
+                    c = np.repeat(part.column(0).to_numpy(), [len(x) for x in sigs])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(np.concatenate(sigs).view(np.int64))], ["c", "sig"])
+
+        # one shuffle, and none for the least class of an entry
+        own = Window.partitionBy("sig")
+        entries = texts.select("c", "text", "n_shingles").mapInArrow(run, "c bigint, sig bigint")
+        met = entries.withColumns({"hub": F.min("c").over(own), "far": F.max("c").over(own)}).where("hub < far")
+        found.append(stored(met.select("sig", "c", "hub"), "shared"))
+    return reduce(DataFrame.union, found)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links between n nodes."""
     up, forest = list(range(n)), []
@@ -360,15 +443,17 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     index and compare it.  by_prefix indexes prefixes in place of segments; the links are
     the same.
     """
-    sets = stored(indexed(docs, n, num, den, common_grams(docs, n) if by_prefix else None), "sets")
+    in_rounds = not by_prefix and Bands(num, den).small()
+    common = common_grams(docs, n) if by_prefix or in_rounds else None
+    sets = stored(indexed(docs, n, num, den, common if by_prefix else None, in_rounds), "sets")
     some = sets.where("n_shingles > 0")
     classes = stored(some.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("c"), F.count(F.lit(1)).alias("rows")), "classes")
-    reps = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
-    entries = reps.select(F.col("row").alias("c"), F.explode("sigs").alias("sig"))
-    hubs = entries.groupBy("sig").agg(F.min("c").alias("hub"), F.max("c").alias("far")).where("hub < far").select("sig", "hub")
-    # entries of one class alone say nothing; the others with the hub of theirs
-    shared = stored(entries.join(stored(hubs, "hubs"), "sig"), "shared")
     texts = docs.select(F.col("row").alias("c"), "text")
+    if in_rounds:
+        shared = _met_in_rounds(texts.join(classes.select("c", "n_shingles"), "c"), n, num, den, common[0])
+    else:
+        reps = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
+        shared = stored(_met(reps.select(F.col("row").alias("c"), F.explode("sigs").alias("sig"))), "shared")
     sketch = sets.select(F.col("row").alias("c"), F.col("n_shingles").alias("n"), "bits")
     pairs = shared.where("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("common"))
     pairs = stored(_not_ruled_out(pairs, sketch, num, den), "pairs")

@@ -125,3 +125,40 @@ def test_packing_and_ids_of_meeting_words(spark, tmp_path):
         ids = tok.encode(TEXTS[r.doc_id], add_special_tokens=False).ids + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+@pytest.mark.parametrize("spare", [0, 2])
+def test_components_at_low_thresholds_by_segments(spark, monkeypatch, spare):
+    import random
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "SPARE", spare)
+    monkeypatch.setattr(jaccard, "prefixes", None)  # the stage's index has segments, as its method says
+    rng, words = random.Random(5), [f"w{i}" for i in range(400)]
+    texts, line = [*TEXTS, None, ""], " ".join(rng.choices(words, k=9))
+    for _ in range(15):
+        base = rng.choices(words, k=rng.choice([7, 12, 30, 90, 260]))
+        texts += [" ".join(base), " ".join(base) + " " + line, line + " " + " ".join(base)]
+        texts += [" ".join(rng.choice(words) if rng.random() < p else w for w in base) for p in (0.01, 0.02, 0.03)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    docs = docs.select(docs.row.alias("doc_id"), "text")
+    want = brute_groups(texts, 5, 80, 100)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i, (_, top) in enumerate(want) if top == i}
+
+
+def test_segments_to_spare_lose_no_pair():
+    rng = np.random.default_rng(3)
+    bands = jaccard.Bands(80, 100)
+    assert bands.small() and not jaccard.Bands(90, 100).small()
+    for _ in range(300):
+        size = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        gone = int(rng.integers(0, len(a) // 5 + 1))
+        b = np.unique(np.r_[a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, len(a) // 8 + 1)), dtype=np.uint64)])
+        inter = len(np.intersect1d(a, b))
+        common = np.sort(rng.permutation(a)[: int(rng.integers(0, len(a) + 1))])
+        if 100 * inter >= 80 * (len(a) + len(b) - inter):
+            one, other = (jaccard.spare_signatures(x, len(x), bands, common) for x in (a, b))
+            assert len(np.intersect1d(one, other))
