@@ -229,3 +229,25 @@ def test_validated(spark):
 def test_review_queries_run(spark):
     for name in ("segment_stream", "cross_page_merge", "token_diff", "dedup_findings", "quantity_changes"):
         assert review.QUERIES[name](spark, DATA).count() > 0, name
+
+
+def test_exact_pairs_of_lines_with_many_copies(spark, monkeypatch):
+    from palimpsest.operators import paragraphs
+
+    rng, want = random.Random(2), set()
+    sides = [[(d, "\n".join(rng.choice(["a", "a", "a", "b", f"c{rng.randrange(9)}", " "]) for _ in range(12))) for d in range(20)] for _ in range(2)]
+    places = [{}, {}]
+    for side, docs in enumerate(sides):
+        for d, text in docs:
+            for i, line in enumerate(text.split("\n")):
+                if line.strip():
+                    places[side].setdefault(line, []).append((d, i))
+    for line in places[0]:
+        want |= {(line, *a, *b) for a, b in zip(places[0][line], places[1].get(line, []))}
+    old, new = (spark.createDataFrame(docs, "doc_id long, text string") for docs in sides)
+    for most in (20_000, 60):
+        monkeypatch.setattr(paragraphs, "COPIES", most)
+        pairs = paragraphs.exact_pairs(old, new)
+        if most > 60:  # a line's copies meet without a join
+            assert "Join" not in pairs._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, pairs.collect())) == sorted(want)
