@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from palimpsest.sources.durable import written
 
 #: Points that tops of words of one line may lie below that of its first word.
 TOLERANCE = 3.0
+#: Words of a page that are put together as one row.
+PAGE_WORDS = 50_000
 
 
 def line_starts(tops: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -37,30 +40,73 @@ def line_starts(tops: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return rows.join(reached, [*page, "i"]).select(*page, "top")
 
 
+def _line_tops(tolerance: float):
+    """A function of the ascending tops of a page's words: for each the top that its line begins with."""
+
+    @F.pandas_udf("array<double>")
+    def starts(tops: pd.Series) -> pd.Series:
+        def page(values: list[float]) -> list[float]:
+            out, start = [], None
+            for top in values:
+                # differences with NaN, which sorts last, are never small
+                if start is None or not (top - start <= tolerance or top == start):
+                    start = top
+                out.append(start)
+            return out
+
+        return tops.map(lambda x: page(x.tolist()))
+
+    return starts
+
+
+def _whole_pages(words: DataFrame, page: list[str], tolerance: float) -> DataFrame:
+    """The page's columns, start and words (x0, top, text, in order) of each line, by one shuffle of whole pages."""
+    row = F.sort_array(F.collect_list(F.struct("top", "x0", "text")))
+    pages = words.groupBy(*page).agg(row.alias("w")).withColumn("s", _line_tops(tolerance)(F.col("w.top").cast("array<double>")))
+    # a line's words stand next to each other
+    heads = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == 1) | ~F.get("s", i - 1).eqNullSafe(F.get("s", i - 2)))
+    ends = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(F.size("s") + 1))
+    cut = pages.withColumn("heads", heads).select(*page, "w", F.posexplode(F.arrays_zip("heads", ends.alias("ends"))).alias("line", "at"))
+    own = F.transform(F.slice("w", F.col("at.heads"), F.col("at.ends") - F.col("at.heads")), lambda x: F.struct(x["x0"].alias("x0"), x["top"].alias("top"), x["text"].alias("text")))
+    return cut.select(*page, (F.col("line") + 1).alias("line_no"), F.get("w", F.col("at.heads") - 1)["top"].alias("start"), F.sort_array(own).alias("words"))
+
+
+def _dealt_pages(words: DataFrame, page: list[str], tolerance: float) -> DataFrame:
+    """The same for pages of any number of words: their words are dealt over tasks, lines found by successors."""
+    words = written(words, "words")
+    starts = line_starts(words.select(*page, "top").distinct(), tolerance).withColumn("start", F.col("top"))
+    by_page = Window.partitionBy(*page).orderBy("top")
+    tops = words.select(*page, "top").distinct().join(starts, [*page, "top"], "left").withColumn("start", F.last("start", ignorenulls=True).over(by_page))
+    placed = words.join(tops, [*page, "top"])
+    lines = placed.groupBy(*page, "start").agg(F.sort_array(F.collect_list(F.struct("x0", "top", "text"))).alias("words"))
+    return lines.select(*page, F.row_number().over(Window.partitionBy(*page).orderBy("start")).alias("line_no"), "start", "words")
+
+
 def words_to_lines(words: DataFrame, tolerance: float = TOLERANCE, margin: float = 0.0, numbers: str | None = None) -> DataFrame:
     """The page's columns, line_no (from 1), top and text of the lines of words (top, x0, text and columns that name the page).
 
     Words of a line are joined by spaces from left to right (of equals the higher first,
     then by text).  With a margin, words left of it that match `numbers` from their start go
     to the front, joined by dots, and the others are joined without spaces between Chinese
-    characters.  Null texts are empty words; words without a place are left out.
+    characters.  Null texts are empty words; words without a place are left out.  A page of
+    at most PAGE_WORDS words is one row on the way; larger ones are dealt over tasks.
     """
     page = [c for c in words.columns if c not in ("top", "x0", "text")]
-    words = written(words.where("top is not null and x0 is not null").withColumn("text", F.coalesce("text", F.lit(""))), "words")
-    starts = line_starts(words.select(*page, "top").distinct(), tolerance).withColumn("start", F.col("top"))
-    by_page = Window.partitionBy(*page).orderBy("top")
-    tops = words.select(*page, "top").distinct().join(starts, [*page, "top"], "left").withColumn("start", F.last("start", ignorenulls=True).over(by_page))
-    placed = words.join(tops, [*page, "top"])
-    # a line's words
-    lines = placed.groupBy(*page, "start").agg(F.sort_array(F.collect_list(F.struct("x0", "top", "text"))).alias("words"))
+    words = words.where("top is not null and x0 is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    for c in page:
+        words = words.where(F.col(c).isNotNull())
+    large = written(words.groupBy(*page).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAGE_WORDS).drop("n"), "large")
+    if large.isEmpty():
+        lines = _whole_pages(words, page, tolerance)
+    else:
+        lines = _whole_pages(words.join(large, page, "left_anti"), page, tolerance).unionByName(_dealt_pages(words.join(large, page, "left_semi"), page, tolerance))
     if margin > 0 and numbers is not None:
         number = lambda w: (w["x0"] < margin) & F.trim(w["text"]).rlike(f"^(?:{numbers})")
         front = F.array_join(F.transform(F.filter("words", number), lambda w: F.trim(w["text"])), ".")
         text = F.trim(F.concat_ws(" ", front, joined(F.transform(F.filter("words", lambda w: ~number(w)), lambda w: w["text"]))))
     else:
         text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    order = Window.partitionBy(*page).orderBy("start")
-    return lines.select(*page, F.row_number().over(order).alias("line_no"), F.col("start").alias("top"), text.alias("text"))
+    return lines.select(*page, "line_no", F.col("start").alias("top"), text.alias("text"))
 
 
 def inside(top: Column, table_top: Column, table_bottom: Column) -> Column:

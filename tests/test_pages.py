@@ -227,3 +227,17 @@ def test_blocks_of_vectors_are_not_shuffled_for_each_pair(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_pages_of_many_words_and_few_shuffles(spark, monkeypatch):
+    rng = random.Random(9)
+    pages = {d: [(rng.randrange(300) / 2, rng.randrange(9) * 10.0, rng.choice("abcdef")) for _ in range(n)] for d, n in enumerate((1, 30, 400, 500))}
+    frame = spark.createDataFrame([(d, *w) for d, words in pages.items() for w in words], "doc_id long, top double, x0 double, text string")
+    want = [(d, i, *line) for d, words in sorted(pages.items()) for i, line in enumerate(plain_lines(words, 3.0), 1)]
+    few = page_lines.words_to_lines(frame)
+    # words are shuffled once, to their page
+    assert few._jdf.queryExecution().sparkPlan().toString().count("ObjectHashAggregate(") <= 2 and "Join" not in few._jdf.queryExecution().sparkPlan().toString()
+    for most in (50_000, 100):
+        monkeypatch.setattr(page_lines, "PAGE_WORDS", most)
+        got = page_lines.words_to_lines(frame).orderBy("doc_id", "line_no").collect()
+        assert [(r.doc_id, r.line_no, r.top, r.text) for r in got] == want
