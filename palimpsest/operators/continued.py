@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Likeness of two header rows from which on they are the same.
 SAME_HEADER = 0.85
@@ -57,6 +56,26 @@ def continues(table: dict, part: dict) -> bool:
     return bool(ties) and abs(len(table["rows"][0]) - len(part["rows"][0])) <= slack
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("table_no", T.IntegerType()), T.StructField("repeated", T.BooleanType()), T.StructField("width", T.IntegerType())])))
+def _numbers(docs: pa.Array) -> pa.Array:
+    """For each part of a document (in order of place; rows: its first one) its table, whether its header is a repeated one, and the table's width."""
+
+    def number(parts: list[dict]) -> list[dict]:
+        out, now, n = [], None, 0
+        for r in parts:
+            r["page_end"] = r["page"]
+            goes_on = now is not None and continues(now, r)
+            repeated = goes_on and likeness(now["rows"][0], r["rows"][0]) >= SAME_HEADER
+            if goes_on:
+                now = {**now, "page_end": r["page"], "bottom": r["bottom"], "chapter": now["chapter"] or r["chapter"]}
+            else:
+                now, n = r, n + 1
+            out.append({"table_no": n, "repeated": repeated, "width": len(now["rows"][0]) if now["rows"] else 0})
+        return out
+
+    return pa.array([number(x) for x in docs.to_pylist()], pa.list_(pa.struct([("table_no", pa.int32()), ("repeated", pa.bool_()), ("width", pa.int32())])))
+
+
 def joined(parts: DataFrame) -> DataFrame:
     """doc_id, table_no (from 1), page, page_end, chapter and rows of logical tables.
 
@@ -66,27 +85,16 @@ def joined(parts: DataFrame) -> DataFrame:
     cut to the header's width.
     """
 
-    def number(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        out, now = [], None
-        for r in groups.sort_values(["page", "pos"]).to_dict("records"):
-            r["page_end"] = r["page"]
-            goes_on = now is not None and continues(now, r)
-            repeated = goes_on and likeness(now["rows"][0], r["rows"][0]) >= SAME_HEADER
-            if not goes_on:
-                now = r
-                n = out[-1]["table_no"] + 1 if out else 1
-            else:
-                now = {**now, "page_end": r["page"], "bottom": r["bottom"], "chapter": now["chapter"] or r["chapter"]}
-            out.append({"doc_id": r["doc_id"], "page": r["page"], "pos": r["pos"], "table_no": n, "repeated": bool(repeated), "width": len(now["rows"][0]) if len(now["rows"]) else 0})
-        return pd.DataFrame(out)
-
-    # what decides goes through Python: places, chapters and first rows; rows are joined by Spark
-    slim = parts.withColumn("rows", F.slice("rows", F.lit(1), F.lit(1)))
-    marks = slim.groupBy("doc_id").applyInPandas(number, "doc_id long, page long, pos long, table_no int, repeated boolean, width int")
-    shaped = lambda r, w: F.slice(F.concat(r, F.array_repeat(F.lit(""), w)), 1, w)
-    rows = parts.select("doc_id", F.col("page").cast("long"), F.col("pos").cast("long"), "chapter", "rows").join(marks, ["doc_id", "page", "pos"])
+    title = F.col("title") if "title" in parts.columns else F.lit(None).cast("string")
+    part = F.struct(F.col("page").cast("long").alias("page"), F.col("pos").cast("long").alias("pos"), "chapter", "top", "bottom", title.alias("title"), "rows")
+    docs = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    # what decides goes through Python: places, chapters and first rows; rows stay in Spark
+    first = lambda x: F.coalesce(F.slice(x["rows"], 1, 1), F.array().cast("array<array<string>>"))
+    slim = F.transform("p", lambda x: F.struct(x["page"].alias("page"), x["chapter"].alias("chapter"), x["top"].alias("top"), x["bottom"].alias("bottom"), x["title"].alias("title"), first(x).alias("rows")))
+    marked = docs.withColumn("m", _numbers(slim)).select("doc_id", F.explode(F.arrays_zip("p", "m")).alias("x")).select("doc_id", "x.p.*", "x.m.*")
     own = F.when(F.col("repeated"), F.slice("rows", F.lit(2), F.greatest(F.lit(0), F.size("rows") - 1))).otherwise(F.col("rows"))
-    rows = rows.withColumn("own", F.transform(own, lambda r: shaped(r, F.col("width"))))
-    first = F.min(F.when(F.coalesce("chapter", F.lit("")) != "", F.struct("page", "pos", "chapter")))
-    out = rows.groupBy("doc_id", "table_no").agg(F.min("page").alias("page"), F.max("page").alias("page_end"), first.alias("c"), F.array_sort(F.collect_list(F.struct("page", "pos", "own"))).alias("all"))
+    shaped = lambda r, w: F.slice(F.concat(r, F.array_repeat(F.lit(""), w)), 1, w)
+    rows = marked.withColumn("own", F.transform(own, lambda r: shaped(r, F.col("width"))))
+    named = F.min(F.when(F.coalesce("chapter", F.lit("")) != "", F.struct("page", "pos", "chapter")))
+    out = rows.groupBy("doc_id", "table_no").agg(F.min("page").alias("page"), F.max("page").alias("page_end"), named.alias("c"), F.sort_array(F.collect_list(F.struct("page", "pos", "own"))).alias("all"))
     return out.select("doc_id", "table_no", "page", "page_end", F.coalesce("c.chapter", F.lit("")).alias("chapter"), F.flatten(F.transform("all", lambda x: x["own"])).alias("rows"))

@@ -132,3 +132,12 @@ def test_content_keys_in_one_pass(spark):
         made = rows.select(normal.content_key(F.col("t"), items).alias("k"))
         assert "regexp_replace" not in made._jdf.queryExecution().executedPlan().toString()
         assert rows.where(~plain(F.col("t"), items).eqNullSafe(normal.content_key(F.col("t"), items))).count() == 0
+
+
+def test_tables_over_pages_start_no_group_in_python(spark):
+    parts = [(d, p, 0, "", 0.1, 0.9, [["k", "v"], [str(d), str(p)]]) for d in range(30) for p in range(1, 4)]
+    out = continued.joined(spark.createDataFrame(parts, PARTS))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # a document is one row in Python, and met again by no join
+    assert "FlatMapGroups" not in plan and "Join" not in plan and plan.count("Exchange") <= 2
+    assert {(r.doc_id, r.page, r.page_end, len(r.rows)) for r in out.collect()} == {(d, 1, 3, 4) for d in range(30)}
