@@ -80,31 +80,39 @@ def _entries(line: Column) -> Column:
 
 
 def _cut(codes, sizes, raws) -> list[dict]:
-    """The segment (from 1; 0: none) of each entry, with the segment's first and end offset."""
-    seg, length, at, open_, last = 0, 0, 0, False, 0
-    mine, spans = [], {}
-    for code, size, raw in zip(codes, sizes, raws):
+    """The segments of a document's entries: start and end offset, first and last page, and the places of their entries."""
+    length, at, open_, last, held = 0, 0, False, 0, 0
+    out = []
+    for pos, (code, size, raw) in enumerate(zip(codes, sizes, raws)):
         after = at + raw + 1
         if open_ and (code == 0 or code & HEADING):
-            spans[seg][1], open_ = at, False
+            out[-1]["stop"], open_ = at, False
+        # pages go by lines: the two entries of one line count once
+        page = (pos - held) // PAGE_LINES + 1
         if code & HEADING or code & TEXT and not open_:
-            seg, length = seg + 1, 0
-            spans[seg] = [at, after]
+            length = 0
+            out.append({"start": at, "stop": after, "page": page, "page_end": page, "at": []})
         if code & TEXT:
             glue = 1 if open_ and not (last & CJK_LAST and code & CJK_FIRST) else 0
             length, last, open_ = length + size + glue, code, True
             if code & HELD or code & ENDS and length >= SENTENCE_BREAK or code & SOFT and length > LONGEST:
-                spans[seg][1], open_ = after, False
-        mine.append(seg if code & (HEADING | TEXT) else 0)
+                out[-1]["stop"], open_ = after, False
+        if code & (HEADING | TEXT):
+            out[-1]["at"].append(pos)
+            out[-1]["page_end"] = page
+        held += bool(code & HELD)
         at = at if code & HELD else after
     if open_:
-        spans[seg][1] = at
-    return [{"seg": s, "start": spans[s][0] if s else 0, "stop": spans[s][1] if s else 0} for s in mine]
+        out[-1]["stop"] = at
+    return out
+
+
+_SPAN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "stop")] + [T.StructField(c, T.IntegerType()) for c in ("page", "page_end")] + [T.StructField("at", T.ArrayType(T.IntegerType()))])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("seg", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
+@F.pandas_udf(T.ArrayType(_SPAN))
 def _cuts(codes: pd.Series, sizes: pd.Series, raws: pd.Series) -> pd.Series:
-    return pd.Series([_cut(*x) for x in zip(codes, sizes, raws)])
+    return pd.Series([_cut(c.tolist(), s.tolist(), r.tolist()) for c, s, r in zip(codes, sizes, raws)])
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -119,15 +127,9 @@ def segments(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     entries = lines.select("doc_id", F.flatten(F.transform("lines", _entries)).alias("e"))
     marked = entries.withColumn("cut", _cuts(F.col("e.code"), F.col("e.size"), F.col("e.raw")))
-    rows = marked.select("doc_id", F.posexplode(F.arrays_zip("e", "cut")).alias("pos", "r")).select("doc_id", "pos", "r.e.text", "r.e.code", "r.cut.*")
-    # pages go by lines: the two entries of one line count once
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    held = F.sum(F.when(F.col("code").bitwiseAND(HELD) > 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("page", (F.floor((F.col("pos") - F.coalesce(held, F.lit(0))) / PAGE_LINES) + 1).cast("int")).where("seg > 0")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    segs = rows.groupBy("doc_id", "seg").agg(
-        joined(F.transform(parts, lambda p: p.text)).alias("text"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("page").alias("page"), F.max("page").alias("page_end")
-    )
+    # a segment's lines stand in its document's row: nothing is shuffled for them
+    rows = marked.select("doc_id", F.col("e.text").alias("texts"), F.posexplode_outer("cut").alias("seg", "s")).where("s is not null")
+    segs = rows.select("doc_id", "seg", joined(F.transform("s.at", lambda i: F.get("texts", i))).alias("text"), "s.start", "s.stop", "s.page", "s.page_end")
     segs = segs.withColumn("ch", chapter(F.col("text"))).where((F.length("text") >= SHORTEST) | F.col("ch").isNotNull())
     by = Window.partitionBy("doc_id").orderBy("seg")
     filled = segs.withColumn("ch", F.last("ch", ignorenulls=True).over(by)).withColumn("seg_no", F.row_number().over(by))

@@ -151,3 +151,17 @@ def test_no_row_for_a_window_of_a_page():
     assert set(anchors._probes([stream[3:11], stream[-8:]]).tolist()) <= probes and not set(anchors._probes(["x" * 8]).tolist()) & probes
     assert [f["no"] for f in anchors._walk(stream, {}, targets)] == [0, 1, 3, 5]
     assert anchors._walk("short", {}, targets) == []
+
+
+def test_segments_move_no_lines(spark):
+    from palimpsest.operators import segments
+
+    text = "\n".join(["1.1 Scope", "words " * 9 + "go on", "and end here, after the line before.", "", *["x y z without an end"] * 45, "1.2 Rest", "the last one of them."])
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    out = segments.segments(docs)
+    # lines are not shuffled; segments are, to their document's window
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    rows = [(r.seg_no, r.start, r.stop, r.page, r.page_end, r.chapter) for r in out.orderBy("seg_no").collect()]
+    assert rows[0] == (1, 0, 10, 1, 1, "1.1") and rows[1][:2] == (2, 10) and rows[1][3:] == (1, 1, "1.1")
+    assert (rows[2][3], rows[-3][4]) == (1, 3) and rows[-2][5] == "1.2" and rows[-1][2] == len(text) + 1
