@@ -12,7 +12,8 @@ Sets that are equal are one class, found by a cryptographic digest of the sorted
 differ in at least as many n-grams as their parity sketches differ in bits (each n-gram
 turns one of `BITS` bits), so most pairs that share an entry are ruled out by sketches
 alone, without losing any.  Classes are compared with the least class of each of their
-entries ("hub") first, in groups of a hub and some others.  What still has unconnected
+entries ("hub") first, in groups of a hub and some others; sketches as wide as the sets are
+large leave few of these pairs to texts.  What still has unconnected
 classes under one entry is sorted by entry into blocks; where two blocks meet, sketches say
 which of their classes may be linked, and those are compared there.  A comparison is a matrix product over
 the n-grams of its texts, told apart by their words' bytes; it returns a spanning forest
@@ -50,8 +51,8 @@ from .pieces import _CLASS, _WS, PieceTable, WordTable, mix, plain_table, runs,
 
 #: Classes of a block.
 BLOCK = 128
-#: Bits of a parity sketch, and of one for classes that are still to be compared.
-BITS, WIDE = 512, 4096
+#: Bits of a parity sketch, and of one for classes that are still to be compared: so many at least, and WIDE_SHARE for each n-gram.
+BITS, WIDE, WIDE_SHARE = 512, 4096, 2
 #: Documents, about, whose n-grams are counted to order prefixes, and most n-grams that are told to be common.
 SAMPLE, COMMON = 20_000, 1 << 16
 #: Where deletion segments alone would have fewer n-grams than this, they get SPARE segments to spare and are indexed in so many rounds.
@@ -252,8 +253,39 @@ def _sketches(column, bits: int = BITS) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, bits // 64)
 
 
+def wide_bits(size: int) -> int:
+    """Bits of the wide sketch of a set of so many n-grams: a narrow one of a large set has about half its bits set, whatever it holds."""
+    return max(WIDE, 1 << (WIDE_SHARE * size - 1).bit_length())
+
+
+def fold(bits: bytes, length: int) -> bytes:
+    """A sketch as the same set has it in `length` bytes (both powers of two)."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, length), axis=0).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, at the narrower of their widths."""
+    length = min(len(a), len(b))
+    a, b = (x if len(x) == length else fold(x, length) for x in (a, b))
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
+def may_be_alike_wide(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], num: int, den: int) -> np.ndarray:
+    """`may_be_alike` for sketches of several widths; two of them meet at the narrower width."""
+    out = np.zeros((len(n), len(m)), bool)
+    wide, other_wide = np.array([len(b) for b in bits], np.int64), np.array([len(b) for b in others], np.int64)
+    for w in np.unique(wide):
+        for v in np.unique(other_wide):
+            i, j = np.flatnonzero(wide == w), np.flatnonzero(other_wide == v)
+            length = int(min(w, v))
+            a, b = (np.frombuffer(b"".join(fold(s[k], length) for k in at), np.uint64).reshape(-1, length // 8) for s, at in ((bits, i), (others, j)))
+            for k in range(0, len(i), 16):
+                out[np.ix_(i[k : k + 16], j)] = may_be_alike(n[i[k : k + 16]], a[k : k + 16], m[j], b, num, den)
+    return out
+
+
 def _wide_sketches(texts: DataFrame, n: int) -> DataFrame:
-    """c, n and wide (a sketch of WIDE bits) of the n-gram sets of texts (c, text)."""
+    """c, n and wide (a sketch of `wide_bits`) of the n-gram sets of texts (c, text)."""
 
     def run(parts):
         words = WordTable()
@@ -261,7 +293,7 @@ def _wide_sketches(texts: DataFrame, n: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 words.trim()
                 part = batch.slice(lo, 512)
-                made = [(size, parity(s, WIDE)) for s, size, _ in shingle_sets(part.column(1), n, words)]
+                made = [(size, parity(s, wide_bits(size))) for s, size, _ in shingle_sets(part.column(1), n, words)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.binary())], ["c", "n", "wide"])
 
     return texts.select("c", "text").mapInArrow(run, "c bigint, n bigint, wide binary")
@@ -450,13 +482,16 @@ def similar_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, b
     classes = stored(some.groupBy("n_shingles", "k1", "k2").agg(F.min("row").alias("c"), F.count(F.lit(1)).alias("rows")), "classes")
     texts = docs.select(F.col("row").alias("c"), "text")
     if in_rounds:
-        shared = _met_in_rounds(texts.join(classes.select("c", "n_shingles"), "c"), n, num, den, common[0])
+        shared = _met_in_rounds(stored(texts.join(classes.select("c", "n_shingles"), "c"), "reps"), n, num, den, common[0])
     else:
         reps = some.join(classes.select(F.col("c").alias("row")), "row", "left_semi")
         shared = stored(_met(reps.select(F.col("row").alias("c"), F.explode("sigs").alias("sig"))), "shared")
     sketch = sets.select(F.col("row").alias("c"), F.col("n_shingles").alias("n"), "bits")
     pairs = shared.where("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("common"))
     pairs = stored(_not_ruled_out(pairs, sketch, num, den), "pairs")
+    concerned = pairs.select("c").union(pairs.select(F.col("hub").alias("c"))).distinct()
+    wide = stored(_wide_sketches(texts.join(concerned, "c", "left_semi"), n), "wide")
+    pairs = stored(_not_ruled_out(pairs, wide.withColumnRenamed("wide", "bits"), num, den), "pairs")
     best = pairs.groupBy("c").agg(F.max_by("hub", F.struct("common", -F.col("hub"))).alias("hub"))
     found = stored(_with_hubs(best, texts, n, num, den), "links")
     roots = stored(components(found), "roots")
@@ -494,7 +529,7 @@ def _not_ruled_out(pairs: DataFrame, sketch: DataFrame, num: int, den: int) -> D
         for batch in parts:
             table = pa.table(batch)
             n, m = table.column("n").to_numpy(), table.column("hub_n").to_numpy()
-            differ = np.bitwise_count(_sketches(table.column("bits")) ^ _sketches(table.column("hub_bits"))).sum(axis=1, dtype=np.int64)
+            differ = np.array([differing(x, y) for x, y in zip(table.column("bits").to_pylist(), table.column("hub_bits").to_pylist(), strict=True)], np.int64)
             alike = (differ * (den + num) <= (n + m) * (den - num)) & (num * n <= den * m) & (num * m <= den * n)
             yield from table.select(["c", "hub", "common"]).filter(pa.array(alike)).to_batches()
 
@@ -545,9 +580,9 @@ def _by_blocks(rest: DataFrame, sketch: DataFrame, texts: DataFrame, n: int, num
 
     def narrowed(group):
         c, size, root = (group.column(k).to_numpy() for k in ("c", "n", "root"))
-        bits = _sketches(group.column("wide"), WIDE)
+        bits = group.column("wide").to_pylist()
         left, right = (np.flatnonzero(group.column(k).to_numpy(zero_copy_only=False)) for k in ("left", "right"))
-        alike = may_be_alike(size[left], bits[left], size[right], bits[right], num, den) & (root[left][:, None] != root[right][None, :])
+        alike = may_be_alike_wide(size[left], [bits[k] for k in left], size[right], [bits[k] for k in right], num, den) & (root[left][:, None] != root[right][None, :])
         keep_left, keep_right = np.zeros(len(c), bool), np.zeros(len(c), bool)
         keep_left[left[alike.any(axis=1)]] = True
         keep_right[right[alike.any(axis=0)]] = True

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard
@@ -57,3 +58,39 @@ def test_blocks_find_every_link(spark, monkeypatch):
         assert 1 < len(set(want.values())) < 120
         # 7,140 pairs; 36 pairs of blocks, each with a row and a forest
         assert max(made) < 1200
+
+
+def test_wide_sketches_meet_at_the_narrower_width():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    for size, other in ((9000, 8000), (2100, 2000), (300, 290), (4096, 4097)):
+        a, b = base[:size], base[:other]
+        bits = [jaccard.parity(x, jaccard.wide_bits(len(x))) for x in (a, b)]
+        width = min(len(x) for x in bits)
+        assert jaccard.fold(bits[0], width) == jaccard.parity(a, 8 * width)
+        assert jaccard.differing(*bits) <= abs(size - other)
+        assert jaccard.may_be_alike_wide(np.array([size]), bits[:1], np.array([other]), bits[1:], 80, 100).all()
+
+
+def test_long_unlike_texts_are_not_moved(spark, monkeypatch):
+    """Texts of 2,000 words that are alike at 0.5 meet in entries; sketches of 512 bits say nothing about sets of that size."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(2000)]
+    rows = []
+    for k in range(12):
+        words = list(base)
+        for lo in rng.sample(range(0, 2000, 20), 30):
+            words[lo : lo + 20] = [f"x{k}-{lo}-{i}" for i in range(20)]
+        rows.append((k, k, " ".join(words)))
+    rows.append((12, 12, rows[0][2] + " one more"))
+    moved = []
+    real = jaccard._with_hubs
+
+    def counted(pairs, *rest):
+        moved.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_with_hubs", counted)
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "row long, doc_id long, text string"), 5, 80, 100).select("row", "component").collect()
+    assert {r.row: r.component for r in got} == {k: 0 if k == 12 else k for k in range(13)}
+    assert moved[0] <= 2, moved
