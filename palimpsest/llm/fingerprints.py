@@ -8,10 +8,12 @@ of their 64-bit digests goes into three tables of cells; a cell holds how many d
 fell into it, their exclusive or, and the exclusive or of their check values.  The
 sketches of two versions subtract cell by cell, so what both share is gone; cells that
 hold one digest are peeled until nothing is left, which gives every differing digest.
-If cells stay, the pair is tried again with larger tables: up to DENSE paragraphs with
-blocks of them in small tables of their own, which is faster there, and then with tables
-as wide as the two texts have paragraphs, and wider.  These are held as sorted lists of the
-cells in use, so that the work grows with the number of paragraphs alone.
+If cells stay, the pair is tried again with larger tables.  The first of these is made for
+all pairs at once, as rows: a digest is three rows of (pair, cell), which a hash aggregate adds
+up in the task that has the pair's digests, and only cells in use are there.  It is so wide
+that most digests are alone in a cell, so it is peeled in one turn; the cells' sums
+tell whether that gave all.  Pairs that are stuck there get wider tables as sorted lists of the
+cells in use, and are peeled in turns.
 
 Likeness: shared paragraphs / all paragraphs of both texts.  DataFrame expressions only.
 """
@@ -21,20 +23,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Cells of one table of the base sketch, which is the fingerprint.
 BASE = 6
-#: Cells of one table at the second try, and of each block of about BLOCK digests at the third.
-SECOND, THIRD, BLOCK = 24, 32, 24
-#: Digests of both texts up to which these tries are made, as they take time with their square.
-DENSE = 800
+#: Cells of one table of the second try, for each character of both texts, and cells (rows) of a task about.
+WIDTH, CELLS = 2, 1 << 20
 #: Cells of one table of later tries, for each digest of both texts, and at least.
 WIDER, LEAST = (1, 4, 32), 16
 #: Rounds of peeling; a table of these widths is empty, or stuck, after ten or so.
 _ROUNDS = 64
 #: Line ends, and sentence ends: full stops of scripts that set no space after them cut by themselves.
-_CUTS = r"[\r\n]+|(?<=[.!?\u2026\u061f\u06d4\u0589\u1362][\"')\]\u2019\u201d\u00bb]{0,2})[ \t\u00a0]+|(?<=[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u17d4\u104b\u0f0d])"
+#: A look-ahead, or one at a range, comes before what looks back, as most characters can't be a cut.
+_CUTS = r"[\r\n]+|(?=[ \t\u00a0])(?<=[.!?\u2026\u061f\u06d4\u0589\u1362][\"')\]\u2019\u201d\u00bb]{0,2})[ \t\u00a0]+|(?<=[\u0964-\uff61])(?<=[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u17d4\u104b\u0f0d])"
 #: After a space, or a character of a script without spaces.
 _UNITS = r"(?<=\s)|(?<=[\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u2e80-\ud7ff\uf900-\ufaff])"
 #: Characters of a stretch that is cut after words too; one unit in so many ends a part, and a part has PART characters at most.
@@ -90,12 +91,12 @@ def sketch(digests: Column, width: Column) -> Column:
     """array<struct<n, k, c>> of 3 * width cells."""
     spread = F.transform(digests, lambda d: F.struct(d.alias("k"), _check(d).alias("c"), *(s.alias(f"s{t}") for t, s in enumerate(_spots(d, width)))))
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("c"))
+    add = lambda a, q: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(q["c"]).alias("c"))
 
-    def cell(items: Column, i: Column) -> Column:
-        here = lambda q: (q["s0"] == i) | (q["s1"] == i) | (q["s2"] == i)
-        return F.aggregate(F.filter(items, here), empty, lambda a, q: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["c"].bitwiseXOR(q["c"]).alias("c")))
+    def one(items: Column, t: int) -> Column:
+        return F.transform(F.sequence(width * t, width * (t + 1) - 1), lambda i: F.aggregate(F.filter(items, lambda q: q[f"s{t}"] == i), empty, add))
 
-    return _bind(spread, lambda items: F.transform(F.sequence(F.lit(0), width * 3 - 1), lambda i: cell(items, i)))
+    return _bind(spread, lambda items: F.concat(*(one(items, t) for t in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -124,15 +125,6 @@ def peel(cells: Column, width: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, turn, lambda s: F.when(~rest(s), s["found"]))
 
 
-def _blocks(a: Column, b: Column, width: int) -> Column:
-    """The count over blocks of digests; null if any block can't be peeled."""
-    n = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / BLOCK).cast("int"))
-    w = F.lit(width)
-    part = lambda p, i: F.filter(p, lambda d: F.pmod(F.xxhash64(d, F.lit(17)), n) == i)
-    one = lambda i: peel(subtract(sketch(part(a, i), w), sketch(part(b, i), w)), w)
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, i: total + one(i))
-
-
 def peel_list(cells: Column, width: Column) -> Column:
     """How many digests the difference holds; null if cells are left that can't be peeled."""
 
@@ -158,21 +150,19 @@ def _wider(a: Column, b: Column, times: int) -> Column:
     return _bind(width, lambda w: peel_list(_merged(F.concat(_spread(a, F.lit(1), w), _spread(b, F.lit(-1), w))), w))
 
 
-def differing(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    """Number of digests in one of a and b, from ever larger sketches."""
-    second, size = F.lit(SECOND), F.size(a) + F.size(b)
+def differing(a: Column, b: Column, base_a: Column, base_b: Column, second: Column) -> Column:
+    """Number of digests in one of a and b, from ever larger sketches (second: the result of the second try)."""
     return F.coalesce(
         peel(subtract(base_a, base_b), F.lit(BASE)),
-        F.when(size <= 4 * SECOND, peel(subtract(sketch(a, second), sketch(b, second)), second)),
-        F.when(size <= DENSE, _blocks(a, b, THIRD)),
+        second,
         *(_wider(a, b, times) for times in WIDER),
         # two digests in the same three cells of every try: not to be told apart by peeling
         F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)),
     )
 
 
-def likeness(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    d, n = differing(a, b, base_a, base_b), F.size(a) + F.size(b)
+def likeness(a: Column, b: Column, base_a: Column, base_b: Column, second: Column) -> Column:
+    d, n = differing(a, b, base_a, base_b, second), F.size(a) + F.size(b)
     return F.when(n == 0, F.lit(1.0)).otherwise(_bind(d, lambda x: (n - x).cast("double") / (n + x)))
 
 
@@ -182,12 +172,13 @@ def as_text(cells: Column) -> Column:
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text, digests and next (text, digests): those of the next row in descending doc_id, round at the end.
+    """id, guest, doc_id, text, next (text) and prev (id, guest, text's length): rows beside each other in descending doc_id, round at the end.
 
     Rows are dealt to ranges of doc_id; each range also gets the first row of the range
-    below, so a window over one range finds every next row and no range is read twice.
+    below as a guest, so a window over one range finds every next row and no range is read twice.
     Null doc_ids come last, ties in descending order of a hash of the text; all rows of
-    one doc_id, or without one, are in one range.
+    one doc_id, or without one, are in one range.  The id is that of a row of docs; a guest
+    has its row's.
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -200,17 +191,41 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie")
     tops = sorted((r["range"], r["top"]["id"], r["top"]["tie"]) for r in ranged.groupBy("range").agg(F.max(order).alias("top")).collect())
     above = {tops[i]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
-    guests = spark.createDataFrame([(r, i, t, to) for (r, i, t), to in above.items()], "range int, id long, top long, host int") if tops else None
-    if guests is None:
-        return base.withColumns({"digests": F.lit(None).cast("array<bigint>"), "next": F.struct("text", F.lit(None).cast("array<bigint>").alias("digests"))})
+    guests = spark.createDataFrame([(r, i, t, to) for (r, i, t), to in above.items()], "range int, id long, top long, host int")
     same = (F.col("r.range") == F.col("g.range")) & (F.coalesce("r.doc_id", F.lit(-(1 << 63))) == F.col("g.id")) & (F.col("r.tie") == F.col("g.top"))
-    met = ranged.alias("r").join(F.broadcast(guests.coalesce(1)).alias("g"), same, "left")
+    met = ranged.withColumn("row", F.monotonically_increasing_id()).alias("r").join(F.broadcast(guests.coalesce(1)).alias("g"), same, "left")
     places = F.array_compact(F.array(F.struct(F.col("r.range").alias("range"), F.lit(False).alias("guest")), F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("range"), F.lit(True).alias("guest")))))
-    # digests are made once a text, before it is dealt
-    made = met.select("doc_id", "text", "tie", paragraphs(F.col("text")).alias("digests"), places.alias("places"))
-    spread = made.select("doc_id", "text", "tie", "digests", F.explode("places").alias("place")).select("doc_id", "text", "tie", "digests", "place.range", "place.guest")
+    spread = met.select("row", "doc_id", "text", "tie", F.explode(places).alias("place")).select(F.col("row").alias("id"), "doc_id", "text", "tie", "place.range", "place.guest")
     window = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
-    return spread.withColumn("next", F.lead(F.struct("text", "digests")).over(window)).where(~F.col("guest")).select("doc_id", "text", "digests", "next")
+    beside = spread.withColumns({"next": F.lead("text").over(window), "prev": F.lag(F.struct("id", "guest", F.length("text").cast("long").alias("n"))).over(window)})
+    return beside.select("id", "guest", "doc_id", "text", "next", "prev")
+
+
+def _second(moved: DataFrame) -> DataFrame:
+    """id and d0, d1: the number of digests in one text alone, for both pairs of a text; null where the second try is stuck.
+
+    moved has digests of one side (id, digests, w0, w1: widths of the pairs that they are in; both for the text itself).
+    """
+    side = lambda pair, sign: F.struct(F.lit(pair).alias("pair"), F.lit(sign).alias("sign"), F.col(f"w{pair}").alias("width"))
+    sides = F.when(F.col("w1").isNull(), F.array(side(0, -1))).when(F.col("w0").isNull(), F.array(side(1, -1))).otherwise(F.array(side(0, 1), side(1, 1)))
+    each = moved.select("id", "digests", F.explode(sides).alias("p")).select("id", "p.*", F.explode_outer("digests").alias("k")).where("k is not null")
+    spots = F.array(*(F.pmod(F.xxhash64("k", F.lit(t)), F.col("width")) * 3 + t for t in range(3)))
+    cells = each.select("id", "pair", "sign", "k", _check(F.col("k")).alias("c"), F.explode(spots).alias("i"))
+    cells = cells.groupBy("id", "pair", "i").agg(F.sum("sign").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n <> 0 or k <> 0 or c <> 0")
+    alone = (F.abs("n") == 1) & (F.col("c") == _check(F.col("k")))
+    # every digest lies in one cell of the first table: its cells sum up to what is to be found
+    all_ = {f"{x}_all": F.when(F.col("i") % 3 == 0, F.col(x)).otherwise(F.lit(0)) for x in "nkc"}
+    found = cells.select("id", "pair", F.when(alone, F.col("k")).alias("digest"), F.when(alone, F.col("n")).alias("sign"), *(v.alias(k) for k, v in all_.items()))
+    found = found.groupBy("id", "pair", "digest").agg(F.max("sign").alias("sign"), F.sum("n_all").alias("n_all"), F.bit_xor("k_all").alias("k_all"), F.bit_xor("c_all").alias("c_all"))
+
+    def count(pair: int) -> Column:
+        of = lambda x: F.when(F.col("pair") == pair, x)
+        digest = F.col("digest")
+        got = [F.sum(of(F.coalesce("sign", F.lit(0)))), F.bit_xor(of(F.coalesce(digest, F.lit(0)))), F.bit_xor(of(F.when(digest.isNotNull(), _check(digest)).otherwise(F.lit(0))))]
+        want = [F.sum(of(F.col("n_all"))), F.bit_xor(of(F.col("k_all"))), F.bit_xor(of(F.col("c_all")))]
+        return F.when(got[0].eqNullSafe(want[0]) & got[1].eqNullSafe(want[1]) & got[2].eqNullSafe(want[2]), F.count(of(digest)).cast("int"))
+
+    return found.groupBy("id").agg(count(0).alias("d0"), count(1).alias("d1"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -220,21 +235,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the next text.  Null texts are empty; an empty text has no paragraphs, and two such
     texts are alike (1.0); repeated rows give a row each; an empty table gives none; other
     columns are left out, whatever their names.  A text's digests stand in one array, so a
-    text may have as many paragraphs as fit one value (some ten million).
+    text may have as many paragraphs as fit one value (some ten million), and one task has
+    the cells of its pairs, and may spill them.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next.text", F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("digests").alias("pa"), paragraphs(F.col("edited")).alias("pe"), F.col("next.digests").alias("pn"))
-    rows = rows.select("*", *(sketch(F.col(p), F.lit(BASE)).alias(k) for p, k in (("pa", "sa"), ("pe", "se"), ("pn", "sn"))))
-    return rows.select(
+    rows = rows.withColumn("edited", F.when(~F.col("guest"), F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("next", F.lit(1), half))))
+    width = lambda *n: F.greatest(F.lit(LEAST).cast("long"), WIDTH * sum(n))
+    n = F.col("n_chars")
+    made = rows.select(
+        *("id", "guest", "doc_id", "n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        paragraphs(F.col("text")).alias("pa"),
+        paragraphs(F.col("edited")).alias("pe"),
+        F.when(~F.col("prev.guest"), F.col("prev.id")).alias("prev"),
+        *(width(*x).alias(w) for w, x in (("w_edited", (n, n)), ("w_next", (n, F.length("next"))), ("w_prev", (n, F.col("prev.n"))))),
+    )
+    kept = stored(made.select("*", (3 * F.size("pa") + F.greatest(F.lit(0), F.size("pe"))).alias("n_sides")), "digests")
+
+    # digests go to the texts whose pairs they are in: a text's own, its edited text's, and those of the text before which it comes next
+    parts = 1 + (kept.agg(F.sum(F.col("n_sides").cast("long") * 3).alias("n")).first()["n"] or 0) // CELLS
+    none, side = F.lit(None).cast("long"), lambda i, p, w0, w1: F.struct(F.col(i).alias("id"), F.col(p).alias("digests"), w0.alias("w0"), w1.alias("w1"))
+    own = F.array(side("id", "pa", F.col("w_edited"), F.col("w_next")), side("id", "pe", F.col("w_edited"), none))
+    other = F.when(F.col("prev").isNotNull(), F.array(side("prev", "pa", none, F.col("w_prev"))))
+    empty = F.slice(own, 1, 0)
+    moved = kept.select(F.explode(F.concat(F.when(~F.col("guest"), own).otherwise(empty), F.coalesce(other, empty))).alias("s")).select("s.*").where("id is not null").repartition(parts, "id")
+    texts = {"pa": F.col("w0").isNotNull() & F.col("w1").isNotNull(), "pe": F.col("w1").isNull(), "pn": F.col("w0").isNull()}
+    met = moved.groupBy("id").agg(*(F.first(F.when(here, F.col("digests")), ignorenulls=True).alias(p) for p, here in texts.items()))
+    met = met.join(_second(moved), "id", "left").join(kept.where(~F.col("guest")).select("id", "doc_id", "n_chars", "edited_sha256"), "id")
+    met = met.select("*", *(sketch(F.col(p), F.lit(BASE)).alias(k) for p, k in (("pa", "sa"), ("pe", "se"), ("pn", "sn"))))
+    return met.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("sa")).alias("fingerprint"),
         as_text(F.col("se")).alias("edited_fingerprint"),
-        likeness(F.col("pa"), F.col("pe"), F.col("sa"), F.col("se")).alias("near_edited"),
-        likeness(F.col("pa"), F.col("pn"), F.col("sa"), F.col("sn")).alias("near_next"),
+        likeness(F.col("pa"), F.col("pe"), F.col("sa"), F.col("se"), F.col("d0")).alias("near_edited"),
+        likeness(F.col("pa"), F.col("pn"), F.col("sa"), F.col("sn"), F.col("d1")).alias("near_next"),
     )
 
 

@@ -183,3 +183,21 @@ def test_pipeline_stages_and_whole(spark):
     want = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows["sequence_packing"].collect())
     got = sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == want
+
+
+def test_second_sketches_count_what_differs_or_say_that_they_are_stuck(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(30):
+        a, b, c = ({rng.randrange(1 << 62) for _ in range(rng.choice([0, 1, 20, 150]))} for _ in range(3))
+        b |= set(list(a)[::2])
+        wide = 1 if i == 29 else 1 << 16
+        if i == 29:
+            a, b = {1, 2, 3, 4}, {5, 6, 7}
+        rows += [(i, list(a), wide, 1 << 16), (i, list(b), wide, None), (i, list(c), None, 1 << 16)]
+        want[i] = (None if i == 29 else len(a ^ b), len(a ^ c))
+    moved = spark.createDataFrame(rows, "id long, digests array<long>, w0 long, w1 long").repartition(3, "id")
+    got = {r.id: (r.d0, r.d1) for r in fingerprints._second(moved).collect()}
+    for i, (d0, d1) in want.items():
+        # pairs without a difference have no cells
+        assert got.get(i, (0, 0)) == (d0, d1), i
