@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,22 @@ def top_k(library: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 #: Most pivots of a self-made index, and rows of the library for each.
 PIVOTS, PER_PIVOT = 64, 4096
+#: Blocks of the library in one of pairs, rows of it in one product, and pairs that are multiplied again at once.
+NEAR, STRIP, PAIRS = 4, 256, 1 << 16
+
+
+def _unit(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of a batch (id, vector), for each length; rows without an id, or without a whole vector, are left out."""
+    ids, lists = batch.column(0), batch.column(1)
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    good = pc.is_valid(ids).to_numpy(zero_copy_only=False) & (length > 0)
+    flat = lists.flatten()
+    if flat.null_count:
+        good[np.unique(pc.list_parent_indices(lists).to_numpy()[pc.is_null(flat).to_numpy(zero_copy_only=False)])] = False
+    for dim in np.unique(length[good]).tolist():
+        at = pa.array(np.flatnonzero(good & (length == dim)))
+        x = lists.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        yield ids.take(at).to_numpy(zero_copy_only=False).astype(np.int64), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def _pivoted(rows: DataFrame, pivots: np.ndarray):
@@ -66,65 +85,116 @@ def _pivoted(rows: DataFrame, pivots: np.ndarray):
 
     def run(parts):
         for batch in parts:
-            out = []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if v is None or None in v or i is None or not v:
-                    continue
-                x = np.array(v, np.float64)
-                x = x / max(float(np.linalg.norm(x)), 1e-12)
-                if len(x) != pivots.shape[1]:
-                    out.append((-len(x), 0.0, i, x.tobytes()))
-                    continue
-                near = pivots @ x
-                p = int(near.argmax())
-                out.append((p, float(np.arccos(np.clip(near[p], -1.0, 1.0))), i, x.tobytes()))
-            kinds = [pa.int32(), pa.float64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(4)], ["pivot", "angle", "id", "vector"])
+            for ids, x in _unit(batch):
+                pivot, angle = np.full(len(x), -x.shape[1]), np.zeros(len(x))
+                if x.shape[1] == pivots.shape[1]:
+                    near = x @ pivots.T
+                    pivot = near.argmax(axis=1)
+                    angle = np.arccos(np.clip(near[np.arange(len(x)), pivot], -1.0, 1.0))
+                vectors = pa.array([v.tobytes() for v in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(pivot, pa.int32()), pa.array(angle), pa.array(ids), vectors], ["pivot", "angle", "id", "vector"])
 
     return rows.select("vec_id", "embedding").mapInArrow(run, "pivot int, angle double, id long, vector binary")
 
 
-def pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """a, b, score of all pairs (vec_id, embedding) with a cosine of `least` or more; none is left out.
+def _packed(blocks: DataFrame) -> DataFrame:
+    """pivot, block, radius, ids and vectors of blocks whose rows are structs: arrays as bytes."""
 
-    Rows lie in blocks of about BLOCK with one nearest pivot (a bounded sample of the right
-    side).  Two blocks can hold such a pair only if the angle between their pivots is no
-    more than both blocks' radii and the angle of `least`, so most pairs of blocks aren't
-    compared where vectors cluster.  Null vectors meet nothing, nor do those of different
-    lengths; vectors of length 0 have score 0.
-    """
-    spark = right.sparkSession
-    right = right.where("embedding is not null and size(embedding) > 0")
-    n = min(PIVOTS, max(1, right.count() // PER_PIVOT))
-    found = [r["embedding"] for r in right.orderBy("vec_id").limit(n).collect()]
+    def run(parts):
+        for batch in parts:
+            lists = batch.column("rows")
+            for at in range(batch.num_rows):
+                rows = lists[at].values
+                ids, vectors = rows.field("id").to_numpy().astype(np.int64), b"".join(rows.field("vector").to_pylist())
+                told = [batch.column(c).slice(at, 1) for c in ("pivot", "block", "radius")]
+                yield pa.RecordBatch.from_arrays([*told, pa.array([ids.tobytes()], pa.binary()), pa.array([vectors], pa.binary())], ["pivot", "block", "radius", "ids", "vectors"])
+
+    return blocks.mapInArrow(run, "pivot int, block int, radius double, ids binary, vectors binary")
+
+
+def _products(least: float):
+    """a, b, score of the pairs of vectors of two blocks with a cosine of `least` or more; of a block with itself (same), each pair once."""
+
+    def run(parts):
+        for batch in parts:
+            for at in range(batch.num_rows):
+                ia, u, jb, v, same = (batch.column(c)[at].as_py() for c in ("x_ids", "x_vectors", "y_ids", "y_vectors", "same"))
+                ia, jb = np.frombuffer(ia, np.int64), np.frombuffer(jb, np.int64)
+                u, v = (np.frombuffer(z, np.float64).reshape(len(i), -1) for z, i in ((u, ia), (v, jb)))
+                # what single precision rules out, whatever its rounding, isn't multiplied again
+                low = np.float32(least - (u.shape[1] + 8) * 2.0**-22)
+                u32, v32 = u.astype(np.float32), v.T.astype(np.float32)
+                for lo in range(0, len(u), STRIP):
+                    first = lo if same else 0
+                    found = np.flatnonzero(u32[lo : lo + STRIP] @ v32[:, first:] >= low)
+                    for part in range(0, len(found), PAIRS):
+                        i, j = np.divmod(found[part : part + PAIRS], len(v) - first)
+                        i, j = i + lo, j + first
+                        if same:
+                            i, j = i[i < j], j[i < j]
+                        score = np.einsum("ij,ij->i", u[i], v[j])
+                        good = score >= least
+                        yield pa.RecordBatch.from_arrays([pa.array(ia[i[good]]), pa.array(jb[j[good]]), pa.array(score[good])], ["a", "b", "score"])
+
+    return run
+
+
+def _clusters(rows: DataFrame):
+    """pivots (unit vectors: a bounded sample of rows), or None if there is no vector."""
+    n = min(PIVOTS, max(1, rows.count() // PER_PIVOT))
+    found = [r["embedding"] for r in rows.orderBy("vec_id").limit(n).collect()]
     found = [np.array(v, np.float64) for v in found if len(v) == len(found[0]) and None not in v]
-    if not found:
-        return spark.createDataFrame([], "a long, b long, score double")
-    pivots = np.stack([v / max(float(np.linalg.norm(v)), 1e-12) for v in found])
-    apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
-    reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-6
+    return np.stack([v / max(float(np.linalg.norm(v)), 1e-12) for v in found]) if found else None
+
+
+def _laid(rows: DataFrame, pivots: np.ndarray, side: str) -> DataFrame:
+    """The blocks of rows, about NEAR vectors with one nearest pivot each, as a table."""
+    placed = written(_pivoted(rows, pivots), side)
+    sizes = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.coalesce(*(F.when(F.col("pivot") == p, -(-k // (NEAR * BLOCK))) for p, k in sizes.items()), F.lit(1))
+    named = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    full = named.groupBy("pivot", "block").agg(F.max("angle").alias("radius"), F.collect_list(F.struct("id", "vector")).alias("rows"))
+    return written(_packed(full), f"{side}-blocks")
 
-    def blocks(rows: DataFrame, side: str) -> DataFrame:
-        placed = written(_pivoted(rows, pivots), side)
-        sizes = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-        parts = F.coalesce(*(F.when(F.col("pivot") == p, -(-k // BLOCK)) for p, k in sizes.items()), F.lit(1))
-        named = placed.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        full = named.groupBy("pivot", "block").agg(F.max("angle").alias("radius"), F.collect_list(F.struct("id", "vector")).alias("rows")).drop("block")
-        return written(full.select(*(F.col(c).alias(f"{side}_{c}") for c in full.columns)), f"{side}-blocks")
 
+def _met(x: DataFrame, y: DataFrame, pivots: np.ndarray, least: float, once: bool) -> DataFrame:
+    """Pairs (a, b, score) of the blocks x and y that can hold any; if `once`, x and y are one table and each pair of its rows comes once."""
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + 1e-6
+    x, y = (d.select(*(F.col(c).alias(f"{side}_{c}") for c in d.columns)) for d, side in ((x, "x"), (y, "y")))
     # tasks read the blocks of both tables where these lie: a block is shuffled once, however many it meets
     between = F.split(F.lit(",".join(map(repr, apart.ravel().tolist()))), ",").cast("array<double>")
     there = F.when((F.col("x_pivot") >= 0) & (F.col("y_pivot") >= 0), F.get(between, F.col("x_pivot") * len(pivots) + F.col("y_pivot")))
     near = (there <= F.col("x_radius") + F.col("y_radius") + reach) | ((F.col("x_pivot") < 0) & (F.col("x_pivot") == F.col("y_pivot")))
-    met = blocks(left, "x").crossJoin(blocks(right, "y")).where(near).select("x_rows", "y_rows")
+    same = F.lit(False)
+    if once:
+        one, other = (F.struct(F.col(f"{side}_pivot").alias("pivot"), F.col(f"{side}_block").alias("block")) for side in "xy")
+        near, same = near & (one <= other), one == other
+    met = x.crossJoin(y).where(near).select("x_ids", "x_vectors", "y_ids", "y_vectors", same.alias("same"))
+    return met.mapInArrow(_products(least), "a long, b long, score double")
 
-    def run(parts):
-        for batch in parts:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                u, v = (np.stack([np.frombuffer(r["vector"], np.float64) for r in side]) for side in (a, b))
-                scores = u @ v.T
-                i, j = np.nonzero(scores >= least)
-                ia, jb = np.array([r["id"] for r in a], np.int64), np.array([r["id"] for r in b], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(jb[j]), pa.array(scores[i, j])], ["a", "b", "score"])
-
-    return met.mapInArrow(run, "a long, b long, score double")
+
+def pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, score of all pairs (vec_id, embedding) with a cosine of `least` or more; none is left out.
+
+    Rows lie in blocks of about NEAR * BLOCK with one nearest pivot (a bounded sample of the right
+    side).  Two blocks can hold such a pair only if the angle between their pivots is no
+    more than both blocks' radii and the angle of `least`, so most pairs of blocks aren't
+    compared where vectors cluster.  Null vectors meet nothing, nor do those of different
+    lengths; vectors of length 0 have score 0.
+    """
+    right = right.where("embedding is not null and size(embedding) > 0")
+    pivots = _clusters(right)
+    if pivots is None:
+        return right.sparkSession.createDataFrame([], "a long, b long, score double")
+    return _met(_laid(left, pivots, "x"), _laid(right, pivots, "y"), pivots, least, False)
+
+
+def pairs_within(rows: DataFrame, least: float) -> DataFrame:
+    """`pairs_above` of rows and themselves with a < b, each pair of blocks compared once."""
+    rows = rows.where("embedding is not null and size(embedding) > 0")
+    pivots = _clusters(rows)
+    if pivots is None:
+        return rows.sparkSession.createDataFrame([], "a long, b long, score double")
+    blocks = _laid(rows, pivots, "x")
+    return _met(blocks, blocks, pivots, least, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a < b")

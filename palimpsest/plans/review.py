@@ -76,7 +76,7 @@ def _findings(spark, sf_dir):
     rows = base._embeddings(spark, sf_dir).select("vec_id", "embedding")
     again = rows.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.concat(F.array(F.lit(0.0).cast("float")), F.slice("embedding", F.lit(2), F.size("embedding") - 1)).alias("embedding"))
     rows = rows.unionByName(again)
-    edges = retrieval.pairs_above(rows, rows, SAME_FINDING).where("a < b").select("a", "b")
+    edges = retrieval.pairs_within(rows, SAME_FINDING).select("a", "b")
     return answers.keep_first(rows.select(F.col("vec_id").alias("id")), edges)
 
 
