@@ -37,13 +37,16 @@ def canonical(text: Column) -> Column:
 # ZERO_WIDTH, SPACES and NUMBERED_ITEM as Spark's expressions read them
 _GONE = re.compile("[\u200b\u200c\u200d\ufeff\u2060 \t\n\v\f\r\u00a0\u2000-\u200a\u202f\u205f\u3000]+")
 _ITEM = re.compile("(\\A|(?<=[\x85\u2028\u2029])|[。；;])[0-9]+(?:\\.[0-9]+)+[、.]?")
-_ASCII_SPACES = dict.fromkeys(map(ord, " \t\n\v\f\r"))
+# what the first has besides the space, and what any item has
+_RARE = re.compile("[\u200b\u200c\u200d\ufeff\u2060\t\n\v\f\r\u00a0\u2000-\u200a\u202f\u205f\u3000]")
+_DOTTED = re.compile("[0-9]\\.[0-9]")
 
 
 def _bare(text: str | None) -> str:
     if text is None:
         return ""
-    return text.translate(_ASCII_SPACES) if text.isascii() else _GONE.sub("", unicodedata.normalize("NFKC", text))
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).replace(" ", "")
+    return _GONE.sub("", text) if _RARE.search(text) else text
 
 
 @F.pandas_udf(StringType())
@@ -51,9 +54,24 @@ def _key(texts: pd.Series) -> pd.Series:
     return texts.map(_bare)
 
 
+def _numberless(text: str | None) -> str:
+    bare = _bare(text)
+    return _ITEM.sub(r"\1", bare) if _DOTTED.search(bare) else bare
+
+
 @F.pandas_udf(StringType())
 def _numberless_key(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _ITEM.sub(r"\1", _bare(t)))
+    return texts.map(_numberless)
+
+
+def plain_key(text: str) -> str:
+    """`content_key` with the case and numbers of items, of one text."""
+    return _bare(text)
+
+
+def folded_key(text: str) -> str:
+    """`content_key` without them."""
+    return _numberless(text).lower()
 
 
 def content_key(text: Column, item_numbers: bool = True, fold: bool = True) -> Column:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.normal import folded_key, plain_key
 from palimpsest.functions.text import (
     TRACKING_HINTS,
     is_noise,
@@ -14,7 +18,10 @@ from palimpsest.functions.text import (
     strip_revision_noise,
     window_hashes,
 )
-from palimpsest.operators.pair_chain import left_over, paragraph_pairs, rewritten_pairs
+from palimpsest.operators import blocks, pair_chain
+from palimpsest.operators.overlap import alike_edges
+from palimpsest.operators.pair_chain import NEAR, NEAREST, left_over, near_edges, paragraph_pairs, rewritten_pairs
+from palimpsest.operators.pairing import wished
 from palimpsest.sources.durable import written
 
 #: Least likeness of a removed and an added line that makes them one rewritten line.
@@ -26,13 +33,91 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.trim("text") != "").withColumn("chapter", F.lit(""))
 
 
+def _document_changes(old: str, new: str, least: float) -> list[tuple[str, int, int, str | None, str | None]]:
+    """kind, old_no, new_no, old_line, new_line of the changes between two texts of few lines: all stages, one after the other."""
+    texts = [{i: t for i, t in enumerate(side.split("\n")) if t.strip(" ")} for side in (old, new)]
+    left: list[dict[int, str]] = [{}, {}]
+    found: list[tuple[int, int]] = []
+    copies: dict[str, list[int]] = {}
+    for j in reversed(texts[1]):
+        copies.setdefault(plain_key(texts[1][j]), []).append(j)
+    met = set()
+    for i, t in texts[0].items():
+        places = copies.get(plain_key(t))
+        if places:
+            met.add(places.pop())
+        else:
+            left[0][i] = t
+    left[1] = {j: t for j, t in texts[1].items() if j not in met}
+
+    def take(pairs: list[tuple[int, int]]) -> None:
+        found.extend(pairs)
+        for i, j in pairs:
+            del left[0][i], left[1][j]
+
+    if left[0] and left[1]:
+        a, b = (list(side) for side in left)
+        x, y = ([folded_key(t) for t in side.values()] for side in left)
+        take([(a[i], b[j]) for i, j, _ in wished(a, x, b, y, True)])
+    for edges in (partial(near_edges, top=NEAREST, least=NEAR, matching=True), partial(alike_edges, least=least, matching=True)):
+        a, b = ([i for i, t in side.items() if len(t) >= 2] for side in left)
+        if a and b:
+            i, j, _ = edges(np.array(a), [left[0][k] for k in a], np.array(b), [left[1][k] for k in b])
+            take([(a[k], b[m]) for k, m in zip(i.tolist(), j.tolist(), strict=True)])
+    out = [("modified", i, j, texts[0][i], texts[1][j]) for i, j in found]
+    out += [("removed", i, -1, t, None) for i, t in left[0].items()]
+    return out + [("added", -1, j, None, t) for j, t in left[1].items()]
+
+
+def _compared(least: float):
+    """The changes of documents (doc_id, old, new: texts) of one text and one block on either side; other texts come back, kind is old or new."""
+    size = min(blocks.BLOCK, pair_chain.BLOCK)
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            at: list[int] = []
+            for k in range(batch.num_rows):
+                old, new = batch.column("old")[k].as_py(), batch.column("new")[k].as_py()
+                if len(old) > 1 or len(new) > 1 or any(t.count("\n") >= size for t in (*old, *new)):
+                    made = [("old", -1, -1, t, None) for t in old] + [("new", -1, -1, t, None) for t in new]
+                else:
+                    made = _document_changes("".join(old), "".join(new), least)
+                rows += made
+                at += [k] * len(made)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "kind", "old_no", "new_no", "old_line", "new_line"])
+
+    return run
+
+
 def line_changes(old: DataFrame, new: DataFrame, least: float = REWRITTEN) -> DataFrame:
     """doc_id, kind (added, removed, modified), old_no, new_no, old_line, new_line of what differs.
 
     A missing line has number -1 and a null text.  Lines of a document pair in stages
     (`pair_chain.paragraph_pairs`); of what is left, removed and added lines whose
     character pairs are alike by `least` are one modified line, the most alike first.
+    Both texts of a document meet in one row, and all stages of a document of one block of lines
+    are one pass; those of more lines meet block by block.
     """
+    text, none = F.coalesce("text", F.lit("")), F.array().cast("array<string>")
+    sides = old.select("doc_id", text.alias("old"), F.lit(None).cast("string").alias("new")).unionByName(new.select("doc_id", F.lit(None).cast("string").alias("old"), text.alias("new")))
+    known = sides.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("old").alias("old"), F.collect_list("new").alias("new"))
+    # a document without an id is like no other
+    alone = sides.where("doc_id is null").select("doc_id", *(F.when(F.col(c).isNull(), none).otherwise(F.array(c)).alias(c) for c in ("old", "new")))
+    kind = old.schema["doc_id"].dataType.simpleString()
+    made = known.unionByName(alone).mapInArrow(_compared(least), f"doc_id {kind}, kind string, old_no int, new_no int, old_line string, new_line string")
+    made = written(made, "changes")
+    rest = lambda side: made.where(F.col("kind") == side).select("doc_id", F.col("old_line").alias("text"))
+    found = made.where(~F.col("kind").isin("old", "new"))
+    if made.where(F.col("kind").isin("old", "new")).isEmpty():
+        return found
+    return found.unionByName(_changes_by_blocks(rest("old"), rest("new"), least))
+
+
+def _changes_by_blocks(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """`line_changes` of documents of any number of lines: blocks of lines meet, one stage after the other."""
     a, b = written(_lines(old), "old-lines"), written(_lines(new), "new-lines")
     paired = written(paragraph_pairs(a, b), "pairs")
     gone, come = written(left_over(a, paired, "a"), "gone"), written(left_over(b, paired, "b"), "come")

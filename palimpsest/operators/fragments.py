@@ -42,12 +42,28 @@ def likeness(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series(both, dtype="float64")
 
 
+def may_be_one_way(a: str, b: str) -> bool:
+    """Whether all of the shorter text can stand in the longer one, with LEAST_ONE_WAY characters and a sentence's end more."""
+    a, b = (a, b) if len(a) > len(b) else (b, a)
+    if len(a) - len(b) < LEAST_ONE_WAY or not any(a.count(c) > b.count(c) for c in SENTENCE_END):
+        return False
+    at = 0
+    for c in b:
+        at = a.find(c, at) + 1
+        if not at:
+            return False
+    return True
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("direction", "text")]))
 def one_way(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """deleted or inserted, and the text, if the change only does one of the two and has a sentence's end; else nulls."""
 
     def one(a, b):
         a, b = a or "", b or ""
+        # the matcher takes time with the square of a text's length at worst
+        if not may_be_one_way(a, b):
+            return None, None
         steps = [s for s in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if s[0] != "equal"]
         tags = {s[0] for s in steps}
         if len(tags) != 1 or "replace" in tags:

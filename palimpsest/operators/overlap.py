@@ -21,6 +21,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "line").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("n"))
 
 
+def alike_edges(no_a: np.ndarray, x: list[str], no_b: np.ndarray, y: list[str], least: float, matching: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, place in y, likeness) of texts that are alike by `least`; if `matching`, those that are taken best first."""
+    scores = blocks.jaccard_matrix(x, y)
+    i, j = np.nonzero(scores >= least)
+    score = scores[i, j]
+    if matching:
+        kept = blocks.best_first(no_a, no_b, i, j, score)
+        i, j, score = i[kept], j[kept], score[kept]
+    return i, j, score
+
+
 def _alike(least: float, matching: bool):
     """Pairs of each pair of blocks that are alike by `least`; if `matching`, of a document's only one those that are taken best first."""
 
@@ -29,12 +40,7 @@ def _alike(least: float, matching: bool):
             found = []
             pairs = zip(blocks.sides(batch.column("a"), ["text"]), blocks.sides(batch.column("b"), ["text"]), batch.column("alone").to_pylist(), strict=True)
             for at, ((no_a, x), (no_b, y), alone) in enumerate(pairs):
-                scores = blocks.jaccard_matrix(x, y)
-                i, j = np.nonzero(scores >= least)
-                score = scores[i, j]
-                if matching and alone:
-                    kept = blocks.best_first(no_a, no_b, i, j, score)
-                    i, j, score = i[kept], j[kept], score[kept]
+                i, j, score = alike_edges(no_a, x, no_b, y, least, matching and alone)
                 found.append((np.full(len(i), at), no_a[i], no_b[j], score, np.full(len(i), alone)))
             at, *columns = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
             docs = batch.column("doc_id").take(pa.array(at, pa.int64()))

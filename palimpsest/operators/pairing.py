@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ SHORTEST = 12
 #: Characters by which contents meet that may hold one another.
 PROBE = 12
 
+_BOUNDARY = re.compile(f"[{BOUNDARIES}]")
+
 
 def in_turn(wishes: DataFrame, ends: list[str]) -> DataFrame:
     """The pairs that come about if the a's of each group, in order, take the best free b each.
@@ -42,14 +46,40 @@ def _holding(outer: list[str], inner: list[str]) -> set[tuple[int, int]]:
             heads.setdefault(t[:PROBE], []).append(j)
     out = set()
     for i, t in enumerate(outer):
-        for k in range(len(t) - PROBE + 1):
+        # a sentence begins where the text does, or after the end of one
+        for k in (0, *(m.end() for m in _BOUNDARY.finditer(t))) if heads else ():
             for j in heads.get(t[k : k + PROBE], ()):
                 s, end = inner[j], k + len(inner[j])
-                if len(s) < len(t) and t.startswith(s, k) and (k == 0 or t[k - 1] in BOUNDARIES) and (end == len(t) or t[end - 1] in BOUNDARIES or t[end] in BOUNDARIES):
+                if len(s) < len(t) and t.startswith(s, k) and (end == len(t) or t[end - 1] in BOUNDARIES or t[end] in BOUNDARIES):
                     out.add((i, j))
     return out
 
 
+def wished(no_a: list[int], x: list[str], no_b: list[int], y: list[str], alone: bool) -> list[tuple[int, int, int]]:
+    """(place in x, place in y, relation) of contents that are the same; if `alone`, those that come about if the a's choose in turn."""
+    out: list[tuple[int, int, int]] = []
+    equal: dict[str, list[int]] = {}
+    for j, key in enumerate(y):
+        if len(key) >= SHORTEST:
+            equal.setdefault(key, []).append(j)
+    holds: dict[int, set[int]] = {}
+    for i, j in _holding(x, y):
+        holds.setdefault(i, set()).add(j)
+    for j, i in _holding(y, x):
+        holds.setdefault(i, set()).add(j)
+    used: set[int] = set()
+    for i, key in enumerate(x):
+        for kind, found in ((2, equal.get(key, ())), (1, holds.get(i, ()))):
+            some = [j for j in found if j not in used]
+            if alone and some:
+                some = [min(some, key=lambda j: (abs(no_a[i] - no_b[j]), no_b[j]))]
+                used.update(some)
+            out += [(i, j, kind) for j in some]
+            if alone and some:
+                break
+    return out
+
+
 def _wishes(batches):
     """(a, b, relation) of the contents of each pair of blocks; of a chapter's only one those that come about if the a's choose in turn."""
     for batch in batches:
@@ -57,28 +87,11 @@ def _wishes(batches):
         pairs = zip(blocks.sides(batch.column("a"), ["key"]), blocks.sides(batch.column("b"), ["key"]), batch.column("alone").to_pylist(), strict=True)
         for row, ((no_a, x), (no_b, y), alone) in enumerate(pairs):
             no_a, no_b = no_a.tolist(), no_b.tolist()
-            equal: dict[str, list[int]] = {}
-            for j, key in enumerate(y):
-                if len(key) >= SHORTEST:
-                    equal.setdefault(key, []).append(j)
-            holds: dict[int, set[int]] = {}
-            for i, j in _holding(x, y):
-                holds.setdefault(i, set()).add(j)
-            for j, i in _holding(y, x):
-                holds.setdefault(i, set()).add(j)
-            used: set[int] = set()
-            for i, key in enumerate(x):
-                for kind, wished in ((2, equal.get(key, ())), (1, holds.get(i, ()))):
-                    some = [j for j in wished if j not in used]
-                    if alone and some:
-                        some = [min(some, key=lambda j: (abs(no_a[i] - no_b[j]), no_b[j]))]
-                        used.update(some)
-                    at += [row] * len(some)
-                    a += [no_a[i]] * len(some)
-                    b += [no_b[j] for j in some]
-                    relation += [kind] * len(some)
-                    if alone and some:
-                        break
+            for i, j, kind in wished(no_a, x, no_b, y, alone):
+                at.append(row)
+                a.append(no_a[i])
+                b.append(no_b[j])
+                relation.append(kind)
         place = pa.array(at, pa.int64())
         ends = [batch.column(c).take(place) for c in ("doc_id", "chapter")]
         yield pa.RecordBatch.from_arrays([*ends, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(relation, pa.int32()), batch.column("alone").take(place)], ["doc_id", "chapter", "a", "b", "relation", "alone"])
