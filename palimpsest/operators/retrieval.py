@@ -198,3 +198,17 @@ def pairs_within(rows: DataFrame, least: float) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "a long, b long, score double")
     blocks = _laid(rows, pivots, "x")
     return _met(blocks, blocks, pivots, least, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").where("a < b")
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, embedding) without those that repeat the vector of a smaller vec_id; vec_id is unique.
+
+    Whatever is tied to a vector is tied to all its copies, and they to each other, so a rule that
+    leaves out what is tied to an earlier row that is kept leaves out every copy but the first.
+    Vectors without a length (null, of nulls, zero, too short or too long to be measured) are
+    tied to nothing, and stay.
+    """
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    whole = F.coalesce((square > 1e-20) & (square < float("inf")), F.lit(False))
+    first = rows.where(whole).groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding")
+    return first.unionByName(rows.where(~whole).select("vec_id", "embedding"))

@@ -37,3 +37,23 @@ def test_findings_meet_once(spark, monkeypatch):
     kept = retrieval._met
     monkeypatch.setattr(retrieval, "_met", lambda *a: made.append(a[-1]) or kept(*a))
     assert review.QUERIES["dedup_findings"](spark, "/root/testdata/sf0.001").select(F.count(F.lit(1))).first()[0] and made == [True]
+
+
+def test_copies_of_a_vector_make_no_pairs(spark, tmp_path, monkeypatch):
+    """The rule item by item, on vectors that come many times, zero ones and null ones; edges are those of different vectors alone."""
+    rng = np.random.default_rng(2)
+    some = [rng.normal(size=3).round(1).tolist() for _ in range(25)]
+    vectors = [(i, some[int(rng.integers(0, 25))]) for i in rng.permutation(200).tolist()] + [(300 + i, [0.0] * 3) for i in range(4)] + [(400, None), (401, None), (402, [1.0, None, 1.0]), (403, [1e-13, 0.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, label int")
+    frame.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    made = []
+    kept = retrieval.pairs_within
+    monkeypatch.setattr(retrieval, "pairs_within", lambda *a: made.append(kept(*a)) or made[-1])
+    got = sorted(r.id for r in review.QUERIES["dedup_findings"](spark, f"file://{tmp_path}").collect())
+    every = vectors + [(i + 1_000_000_000, [0.0, *v[1:]] if v else None) for i, v in vectors if i % 5 == 0]
+    unit = {i: np.float32(v).astype(float) / max(np.linalg.norm(np.float32(v).astype(float)), 1e-12) for i, v in every if v and None not in v}
+    want = []
+    for i in sorted(i for i, _ in every):
+        if i not in unit or not any(k in unit and unit[i] @ unit[k] >= review.SAME_FINDING for k in want):
+            want.append(i)
+    assert got == want and made[0].count() < 25 * 50
